@@ -30,10 +30,29 @@ def signed_label(value: str) -> Column:
     return F.concat(F.lit("+"), F.col(value).cast("string"))
 
 
+def one_decimal(amount: Column) -> Column:
+    """Text with one decimal of an amount (not negative) that has at most two.
+
+    A second decimal of 5 goes the way of the binary number behind it, and to the even digit only
+    if that is a true half, as C and Python format it. ``20 x amount`` is compared with the halfway
+    point as ``16 x + 4 x``, each of which is exact.
+    """
+    cents = F.round(amount * 100).cast("bigint")
+    half = (cents / F.lit(5)) - amount * 16
+    tenths = F.floor(cents / F.lit(10))
+    up = (amount * 4 > half) | ((amount * 4 == half) & (tenths % 2 == 1))
+    chosen = F.when(up, tenths + 1).otherwise(tenths) / F.lit(10.0)
+    return F.format_string("%.1f", F.when(cents % 10 == 5, chosen).otherwise(amount))
+
+
 def amount_label(amount: str, units: str, word: str = " Games") -> Column:
     """``$12.3M  (20 Games)``."""
     return F.concat(
-        F.format_string("$%.1fM  (", F.col(amount)), F.col(units).cast("string"), F.lit(f"{word})")
+        F.lit("$"),
+        one_decimal(F.col(amount)),
+        F.lit("M  ("),
+        F.col(units).cast("string"),
+        F.lit(f"{word})"),
     )
 
 
