@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 20
-_NULL_BUCKET = -(1 << 62)
+_NULL_STEP = -(1 << 62)
 
 
 def top_k(df: DataFrame, by: str, k: int | None, ties: Sequence[str], ascending=False) -> DataFrame:
@@ -54,9 +54,9 @@ def extremes(
     return top.unionByName(bottom).dropDuplicates()
 
 
-def _steps(value: Column, digits: int) -> Column:
-    """The value as a whole number of its smallest steps."""
-    return F.round(value * F.lit(10**digits)).cast("bigint")
+def _steps(value: str, digits: int) -> str:
+    """The value as a whole number of its smallest steps; NULL as a number below all others."""
+    return f"coalesce(cast(round(cast({value} as double) * {10**digits}) as bigint), {_NULL_STEP})"
 
 
 def value_positions(
@@ -65,43 +65,48 @@ def value_positions(
     """Per (``within``, column, distinct value): rows with it, rows below it, rows in all.
 
     ``digits`` is the number of decimals the columns are known to have. NULLs sort below
-    everything.
+    everything. A place (``within``, metric, step) is one struct column, ``at``.
     """
-    within = list(within)
-    long = df.unpivot(within, [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
-    steps = long.select(*within, "metric", _steps(F.col("value"), digits).alias("step"))
-    bucket = F.coalesce(F.shiftright("step", BUCKET_BITS), F.lit(_NULL_BUCKET))
-    part = [*within, "metric"]
+    part = ", ".join([*within, "metric"])
+    steps = ", ".join(f"'{c}', {_steps(f'`{c}`', digits)}" for c in columns)
     counts = (
-        steps.withColumn("bucket", bucket)
-        .groupBy(*part, "bucket", "step")
-        .agg(F.count(F.lit(1)).alias("same"))
+        df.selectExpr(*within, f"stack({len(columns)}, {steps}) as (metric, step)")
+        .groupBy(*within, "metric", "step")
+        .agg(F.expr("count(1) as same"))
+        .selectExpr("*", f"shiftright(step, {BUCKET_BITS}) as bucket")
     )
-    before = (Window.unboundedPreceding, -1)
-    in_bucket = Window.partitionBy(*part, "bucket").orderBy("step").rowsBetween(*before)
-    inside = counts.withColumn("inside", F.coalesce(F.sum("same").over(in_bucket), F.lit(0)))
-    buckets = counts.groupBy(*part, "bucket").agg(F.sum("same").alias("held"))
-    over_buckets = Window.partitionBy(*part).orderBy("bucket").rowsBetween(*before)
-    offsets = buckets.select(
-        *[F.col(c).alias(f"__{c}") for c in [*part, "bucket"]],
-        F.coalesce(F.sum("held").over(over_buckets), F.lit(0)).alias("offset"),
-        F.sum("held").over(Window.partitionBy(*part)).alias("in_all"),
+    so_far = "rows between unbounded preceding and 1 preceding"
+    whole = "rows between unbounded preceding and unbounded following"
+    in_bucket = f"over (partition by {part}, bucket order by step"
+    inside = counts.selectExpr(
+        "*",
+        f"coalesce(sum(same) {in_bucket} {so_far}), 0) as inside",
+        f"sum(same) {in_bucket} {whole}) as held",
+        f"max(step) {in_bucket} {whole}) = step as last",
     )
-    same_bucket = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*part, "bucket"]]
-    return inside.join(offsets, same_bucket).select(
-        *part, "step", "same", (F.col("inside") + F.col("offset")).alias("below"), "in_all"
+    over_buckets = f"over (partition by {part} order by bucket"
+    offsets = inside.filter("last").selectExpr(
+        f"struct({part}, bucket) as in_bucket",
+        f"coalesce(sum(held) {over_buckets} {so_far}), 0) as offset",
+        f"sum(held) {over_buckets} {whole}) as in_all",
+    )
+    return inside.join(offsets, F.expr(f"struct({part}, bucket) = in_bucket")).selectExpr(
+        f"struct({part}, step) as at", "same", "inside + offset as below", "in_all"
     )
 
 
-def _percent_rank(below: Column, in_all: Column) -> Column:
-    return F.when(in_all == 1, F.lit(0.0)).otherwise(below / (in_all - 1))
+def _percent_rank(place: str) -> str:
+    return f"case when {place}in_all = 1 then 0.0D else {place}below / ({place}in_all - 1) end"
 
 
-_POSITION_MEASURES = {
-    "rank": lambda p: (p["below"] + 1),
-    "desc_rank": lambda p: (p["in_all"] - p["below"] - p["same"] + 1),
-    "percent_rank": lambda p: _percent_rank(p["below"], p["in_all"]),
-}
+def _measure(measure: str, place: str) -> str:
+    if measure == "rank":
+        return f"{place}below + 1"
+    if measure == "desc_rank":
+        return f"{place}in_all - {place}below - {place}same + 1"
+    if measure == "percent_rank":
+        return _percent_rank(place)
+    raise ValueError(f"unknown measure: {measure}")
 
 
 def with_positions(
@@ -117,22 +122,20 @@ def with_positions(
     """
     columns = list(dict.fromkeys(column for column, _ in outputs.values()))
     positions = value_positions(df, columns, digits, within)
-    place = F.struct("same", "below", "in_all")
-    result = df
+    # Every column looks up the very same table, by a key that holds the column's name. A plain
+    # condition on the name would be pushed below the counting and repeat it for every column.
+    result, measured = df, []
     for i, column in enumerate(columns):
-        # One lookup per column out of the same counts. An aggregate picks the column's places
-        # where a filter would be pushed below the counting and repeat it for every column.
-        lookup = positions.groupBy(
-            *[F.col(w).alias(f"__w{i}_{w}") for w in within], F.col("step").alias(f"__s{i}")
-        ).agg(F.max(F.when(F.col("metric") == column, place)).alias(f"__p{i}"))
-        on = [F.col(w).eqNullSafe(F.col(f"__w{i}_{w}")) for w in within]
-        step = _steps(F.col(column).cast("double"), digits)
-        result = result.join(lookup, [*on, step.eqNullSafe(F.col(f"__s{i}"))])
-    measured = [
-        _POSITION_MEASURES[measure](F.col(f"__p{columns.index(column)}")).alias(name)
-        for name, (column, measure) in outputs.items()
-    ]
-    return result.select(*[F.col(c) for c in df.columns], *measured)
+        lookup = positions.selectExpr(
+            f"at as __at{i}", f"struct(same, below, in_all) as __place{i}"
+        )
+        place = [f"{w} as {w}" for w in within]
+        place += [f"'{column}' as metric", f"{_steps(f'`{column}`', digits)} as step"]
+        result = result.join(lookup, F.expr(f"struct({', '.join(place)}) = __at{i}"))
+    for name, (column, measure) in outputs.items():
+        place = f"__place{columns.index(column)}."
+        measured.append(f"{_measure(measure, place)} as {name}")
+    return result.selectExpr(*[f"`{c}`" for c in df.columns], *measured)
 
 
 def percent_rank_floor(
@@ -144,9 +147,8 @@ def percent_rank_floor(
     on the rank, without attaching it to every row. One row per ``within``.
     """
     positions = value_positions(df, [value], digits, [within])
-    reached = _percent_rank(F.col("below"), F.col("in_all")) >= floor
     return (
-        positions.filter(reached)
-        .groupBy(within)
-        .agg((F.min("step") / F.lit(10**digits)).alias("cut"))
+        positions.filter(f"{_percent_rank('')} >= {floor} and at.step > {_NULL_STEP}")
+        .groupBy(F.expr(f"at.{within} as {within}"))
+        .agg(F.expr(f"min(at.step) / {10**digits}D as cut"))
     )

@@ -276,16 +276,21 @@ def availability_trend(
     cuts = percent_rank_floor(amounts, "salary_int", money_layout.period, floor).select(
         F.col(money_layout.period).alias("__period"), "cut"
     )
+    # Compared null-safe, with the known side free of NULLs: the answer is that of plain equality,
+    # but no null filter is pushed below the amounts. They stay one plan with those that are
+    # counted, and are made only once.
     better_paid = amounts.join(
-        F.broadcast(cuts),
-        (F.col(money_layout.period) == F.col("__period")) & (F.col("salary_int") >= F.col("cut")),
+        F.broadcast(cuts.filter(F.col("__period").isNotNull())),
+        F.col(money_layout.period).eqNullSafe(F.col("__period"))
+        & F.coalesce(F.col("salary_int") >= F.col("cut"), F.lit(False)),
     )
-    same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
-        F.col(layout.period) == F.col(money_layout.period)
+    known = stats.dropna(subset=layout.key)
+    same = F.col(layout.entity).eqNullSafe(F.col(money_layout.entity)) & (
+        F.col(layout.period).eqNullSafe(F.col(money_layout.period))
     )
     share = F.col(layout.units).cast("double") / F.lit(float(season_length))
     return (
-        clean_stats(stats, layout)
+        clean_stats(known, layout)
         .join(better_paid, same)
         .groupBy(layout.period)
         .agg(

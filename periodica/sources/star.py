@@ -9,15 +9,15 @@ Order of work, chosen so that no hot key ever reaches a join or a window as raw
 2. orders join those totals one to one and are totalled again per customer, year and priority,
    so a customer with a third of all orders is down to a few dozen rows;
 3. only then come the names: customer (and nation) join on the customer key;
-4. one shuffle by ``cluster_by`` finishes the rows per name, year and priority. The combined rows,
-   the removal of double-counted rows and any window over those keys reuse that partitioning.
+4. one shuffle by ``cluster_by`` finishes the rows per name, year and priority and the combined
+   rows; the removal of double-counted rows and any window over those keys reuse its partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.layout import STATS
@@ -42,10 +42,10 @@ class Star:
         if seasons is not None:
             first, last = seasons
             orders = orders.filter(
-                (F.col("o_orderdate") >= F.lit(f"{first}-01-01").cast("timestamp_ntz"))
-                & (F.col("o_orderdate") < F.lit(f"{last + 1}-01-01").cast("timestamp_ntz"))
+                f"o_orderdate >= timestamp_ntz'{first}-01-01'"
+                f" and o_orderdate < timestamp_ntz'{last + 1}-01-01'"
             )
-        return orders.withColumn("Season", F.year("o_orderdate"))
+        return orders.selectExpr("*", "year(o_orderdate) as Season")
 
     def player_stats(
         self,
@@ -57,51 +57,36 @@ class Star:
             self.table("lineitem")
             .groupBy("l_orderkey")
             .agg(
-                F.count(F.lit(1)).alias("G"),
-                F.sum("l_quantity").alias("PTS"),
-                F.sum("l_linenumber").alias("AST"),
-                _sum_if(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("TRB"),
-                _sum_if(F.col("l_returnflag") == "A").alias("STL"),
-                _sum_if(F.col("l_linestatus") == "F").alias("BLK"),
-                _sum_if(F.col("l_returnflag") == "N").alias("TOV"),
+                F.expr("count(1) as G"),
+                F.expr("sum(l_quantity) as PTS"),
+                F.expr("sum(l_linenumber) as AST"),
+                F.expr("sum(case when l_returnflag = 'R' then l_quantity else 0 end) as TRB"),
+                F.expr("count_if(l_returnflag = 'A') as STL"),
+                F.expr("count_if(l_linestatus = 'F') as BLK"),
+                F.expr("count_if(l_returnflag = 'N') as TOV"),
             )
         )
-        orders = self.orders(seasons).select(
-            "o_orderkey", "o_custkey", "Season", F.col("o_orderpriority").alias("Tm")
+        orders = self.orders(seasons).selectExpr(
+            "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderpriority as Tm"
         )
+        sums = [F.expr(f"sum({c}) as {c}") for c in _SUMS]
         per_customer = (
-            per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("o_custkey", "Season", "Tm")
-            .agg(*[F.sum(c).alias(c) for c in _SUMS])
+            per_order.join(orders, "l_orderkey").groupBy("c_custkey", "Season", "Tm").agg(*sums)
         )
-        key = F.col("c_custkey")
-        named = per_customer.join(
-            self._customers(), F.col("o_custkey") == key
-        ).select(
-            F.col("c_name").alias("Player"),
+        named = per_customer.join(self._customers(), "c_custkey").selectExpr(
+            "c_name as Player",
             "Season",
             "Tm",
-            F.when(key % 3 == 0, F.concat("c_mktsegment", F.lit("-"), "n_name"))
-            .otherwise(F.col("c_mktsegment"))
-            .alias("Pos"),
-            (F.lit(19) + (key + F.col("Season")) % 25).cast("int").alias("Age"),
+            "if(c_custkey % 3 = 0, concat(c_mktsegment, '-', n_name), c_mktsegment) as Pos",
+            "cast(19 + (c_custkey + Season) % 25 as int) as Age",
             *_SUMS,
         )
-        stints = (
-            named.repartition(*cluster_by)
-            .groupBy("Player", "Season", "Tm")
-            .agg(
-                F.max("Pos").alias("Pos"),
-                F.max("Age").alias("Age"),
-                *[F.sum(c).cast("bigint").alias(c) for c in _SUMS],
-            )
-        )
-        return _with_combined_rows(stints)
+        return _with_combined_rows(named.repartition(*cluster_by))
 
     def player_boxscores(self, seasons: tuple[int, int] | None = None) -> DataFrame:
         """One row per player and game."""
-        return self._games(self.table("lineitem"), seasons).select(
-            "PLAYER_NAME", "Team", "Season", F.col("l_quantity").alias("PTS")
+        return self._games(self.table("lineitem"), seasons).selectExpr(
+            "c_name as PLAYER_NAME", "Team", "Season", "l_quantity as PTS"
         )
 
     def player_boxscores_counted(self, seasons: tuple[int, int] | None = None) -> DataFrame:
@@ -110,57 +95,48 @@ class Star:
         per_order = (
             self.table("lineitem")
             .groupBy("l_orderkey", "l_quantity")
-            .agg(F.count(F.lit(1)).alias("games"))
+            .agg(F.expr("count(1) as games"))
         )
-        return self._games(per_order, seasons).select(
-            "PLAYER_NAME", "Team", "Season", F.col("l_quantity").alias("PTS"), "games"
+        return self._games(per_order, seasons).selectExpr(
+            "c_name as PLAYER_NAME", "Team", "Season", "l_quantity as PTS", "games"
         )
 
     def _games(self, lines: DataFrame, seasons: tuple[int, int] | None) -> DataFrame:
-        orders = self.orders(seasons).select(
-            "o_orderkey", "o_custkey", "Season", F.col("o_orderpriority").alias("Team")
-        )
-        names = self._customers().select("c_custkey", F.col("c_name").alias("PLAYER_NAME"))
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            names, F.col("o_custkey") == F.col("c_custkey")
+        orders = self.orders(seasons).selectExpr(
+            "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderpriority as Team"
         )
+        return lines.join(orders, "l_orderkey").join(self._customers(), "c_custkey")
 
     def salaries(self, seasons: tuple[int, int] | None = None) -> DataFrame:
         """Text money per player and season, with exact duplicates for names ending in 7."""
         per_customer = (
             self.orders(seasons)
-            .groupBy("o_custkey", "Season")
-            .agg(F.max("o_totalprice").alias("top"))
+            .groupBy(F.expr("o_custkey as c_custkey"), "Season")
+            .agg(F.expr("max(o_totalprice) as top"))
         )
-        customers = self.table("customer").select("c_custkey", "c_name")
-        amount = F.floor(F.max("top")).cast("bigint")
         per_name = (
-            per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(F.col("c_name").alias("playerName"), F.col("Season").alias("seasonStartYear"))
-            .agg(amount.alias("amount"))
-        )
-        percent = F.lit(100) + F.lit(3) * (F.lit(2001) - F.col("seasonStartYear"))
-        adjusted = F.expr("amount * percent div 100")
-        copies = F.when(F.col("playerName").endswith("7"), F.lit(2)).otherwise(F.lit(1))
-        return (
-            per_name.withColumn("percent", percent)
-            .withColumn("adjusted", adjusted)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-            .select(
-                "playerName",
-                "seasonStartYear",
-                _money_text("amount").alias("salary"),
-                _money_text("adjusted").alias("inflationAdjSalary"),
-            )
+            per_customer.join(self.table("customer"), "c_custkey")
+            .groupBy(F.expr("c_name as playerName"), F.expr("Season as seasonStartYear"))
+            .agg(F.expr("cast(floor(max(top)) as bigint) as amount"))
         )
+        return per_name.selectExpr(
+            "playerName",
+            "seasonStartYear",
+            "concat('$', format_number(amount, 0)) as salary",
+            "concat('$', format_number(amount * (100 + 3 * (2001 - seasonStartYear)) div 100, 0))"
+            " as inflationAdjSalary",
+            "explode(if(endswith(playerName, '7'), array(1, 2), array(1))) as copy",
+        ).drop("copy")
 
     def payroll(self) -> DataFrame:
         """Money per team and season, as text."""
         return (
             self.orders(None)
-            .groupBy(F.col("o_orderpriority").alias("team"), F.col("Season").alias("seasonStartYear"))
-            .agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("amount"))
-            .select("team", "seasonStartYear", _money_text("amount").alias("payroll"))
+            .groupBy(F.expr("o_orderpriority as team"), F.expr("Season as seasonStartYear"))
+            .agg(F.expr("sum(cast(floor(o_totalprice) as bigint)) as amount"))
+            .selectExpr(
+                "team", "seasonStartYear", "concat('$', format_number(amount, 0)) as payroll"
+            )
         )
 
     def logical(self) -> dict[str, DataFrame]:
@@ -172,42 +148,26 @@ class Star:
         }
 
     def _customers(self) -> DataFrame:
-        nation = self.table("nation").select("n_nationkey", "n_name")
-        return self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-
-
-def _sum_if(condition: Column, value: Column | None = None) -> Column:
-    return F.sum(F.when(condition, F.lit(1) if value is None else value).otherwise(F.lit(0)))
-
-
-def _money_text(amount: str) -> Column:
-    return F.concat(F.lit("$"), F.format_number(amount, 0))
+        nation = self.table("nation").selectExpr("n_nationkey as c_nationkey", "n_name")
+        return self.table("customer").join(nation, "c_nationkey")
 
 
-def _with_combined_rows(stints: DataFrame) -> DataFrame:
-    """Add one row with the sums of an entity-period's groups, if there are several.
+def _with_combined_rows(parts: DataFrame) -> DataFrame:
+    """Rows per player, season and team, and one with the sums of several teams.
 
-    A group's sums are taken by a window over rows that are already together, and one row of each
-    entity-period (the one with the smallest group name) is doubled to carry them. Nothing is read
-    or shuffled a second time, and unused columns can still be pruned.
+    Each part counts once for its team and once for the season as a whole. One aggregation, over
+    rows that are already together, finishes both kinds; a season's row stays if it has more than
+    one team (a missing team is one of its own).
     """
-    whole = Window.partitionBy(*STATS.key)
-    carries = (F.count(F.lit(1)).over(whole) > 1) & (F.col("Tm") == F.min("Tm").over(whole))
-    kinds = F.when(carries, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    merged = {
-        "Tm": F.lit(STATS.combined),
-        "Pos": F.max("Pos").over(whole),
-        "Age": F.max("Age").over(whole),
-        **{c: F.sum(c).over(whole) for c in _SUMS},
-    }
-    wide = stints.select(
-        "*", *[v.alias(f"__{c}") for c, v in merged.items()], kinds.alias("__kinds")
+    doubled = parts.selectExpr("*", "explode(array(false, true)) as combined")
+    totals = doubled.groupBy(
+        *STATS.key, "combined", F.expr("if(combined, null, Tm) as team")
+    ).agg(
+        F.expr("min(Tm) < max(Tm) or (count(Tm) > 0 and count(Tm) < count(1)) as several"),
+        F.expr("max(Pos) as Pos"),
+        F.expr("max(Age) as Age"),
+        *[F.expr(f"cast(sum({c}) as bigint) as {c}") for c in _SUMS],
     )
-    doubled = wide.withColumn("__combined", F.explode("__kinds"))
-    return doubled.select(
-        *STATS.key,
-        *[
-            F.when(F.col("__combined"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
-            for c in merged
-        ],
+    return totals.filter("not combined or several").selectExpr(
+        *STATS.key, f"if(combined, '{STATS.combined}', team) as Tm", "Pos", "Age", *_SUMS
     )
