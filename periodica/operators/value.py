@@ -280,7 +280,7 @@ def availability_trend(
     # but no null filter is pushed below the amounts. They stay one plan with those that are
     # counted, and are made only once.
     better_paid = amounts.join(
-        F.broadcast(cuts.filter(F.col("__period").isNotNull())),
+        F.broadcast(cuts),
         F.col(money_layout.period).eqNullSafe(F.col("__period"))
         & F.coalesce(F.col("salary_int") >= F.col("cut"), F.lit(False)),
     )

@@ -401,7 +401,9 @@ def percentile_lookup(spark: SparkSession, sf: str) -> DataFrame:
     typed = F.concat(F.lower("c_name"), F.lit(" ,  "), F.upper("c_name"))
     lists = star.table("customer").select(typed.alias("typed_list"))
     entries = names.split_list(lists, "typed_list").select("raw")
-    known = names.name_dimension(league, "Player", order=-F.col("PPG"))
+    # By falling rates, all of them: the names then come out of the very plan of the profile.
+    falling = F.struct(*[-F.col(rate) for rate in trends.PROFILE_RATES])
+    known = names.name_dimension(league, "Player", order=falling)
     found = names.resolve(entries, "raw", known, method=None).filter(F.col("match").isNotNull())
     return names.first_rows(profile, "Player", [F.desc("pts_percentile"), F.asc("Tm")]).join(
         found.select("raw", "match"), F.col("Player") == F.col("match")

@@ -7,9 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A session on this machine, for tests and the benchmark."""
-    return (
+def local_session(
+    app: str, cores: int | str = "*", partitions: int = 8, **settings: str
+) -> SparkSession:
+    """A session on this machine, for tests and the benchmark; ``settings`` use _ for dots."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -19,5 +21,7 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
+    return builder.getOrCreate()

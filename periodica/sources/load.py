@@ -28,13 +28,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     missing = sorted(set(declared) - set(kept))
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    quoted = {c: F.col(f"`{c}`") for c in kept}
-    return raw.select(
-        *[
-            (quoted[c].try_cast(declared[c]) if c in declared else quoted[c]).alias(c)
-            for c in kept
-        ]
-    )
+
+    def typed(name: str):
+        column = F.col(f"`{name}`")
+        if name not in declared:
+            return column
+        value = column.try_cast(declared[name])
+        # "NaN" in a number column is a missing value, not a number that sorts above all others
+        return F.nullif(value, F.lit(float("nan"))) if declared[name] == T.DoubleType() else value
+
+    return raw.select(*[typed(c).alias(c) for c in kept])
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:

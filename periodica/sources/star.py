@@ -81,7 +81,16 @@ class Star:
             "cast(19 + (c_custkey + Season) % 25 as int) as Age",
             *_SUMS,
         )
-        return _with_combined_rows(named.repartition(*cluster_by))
+        stints = (
+            named.repartition(*cluster_by)
+            .groupBy("Player", "Season", "Tm")
+            .agg(
+                F.expr("max(Pos) as Pos"),
+                F.expr("max(Age) as Age"),
+                *[F.expr(f"cast(sum({c}) as bigint) as {c}") for c in _SUMS],
+            )
+        )
+        return _with_combined_rows(stints)
 
     def player_boxscores(self, seasons: tuple[int, int] | None = None) -> DataFrame:
         """One row per player and game."""
@@ -152,22 +161,21 @@ class Star:
         return self.table("customer").join(nation, "c_nationkey")
 
 
-def _with_combined_rows(parts: DataFrame) -> DataFrame:
-    """Rows per player, season and team, and one with the sums of several teams.
+def _with_combined_rows(stints: DataFrame) -> DataFrame:
+    """Add one row with the sums of an entity-period's groups, if there are several.
 
-    Each part counts once for its team and once for the season as a whole. One aggregation, over
-    rows that are already together, finishes both kinds; a season's row stays if it has more than
-    one team (a missing team is one of its own).
+    Each row counts once for its group and once for the whole; one aggregation over rows that are
+    already together finishes both kinds, so nothing is read or shuffled a second time.
     """
-    doubled = parts.selectExpr("*", "explode(array(false, true)) as combined")
+    doubled = stints.selectExpr("*", "explode(array(false, true)) as combined")
     totals = doubled.groupBy(
         *STATS.key, "combined", F.expr("if(combined, null, Tm) as team")
     ).agg(
-        F.expr("min(Tm) < max(Tm) or (count(Tm) > 0 and count(Tm) < count(1)) as several"),
+        F.expr("count(1) as teams"),
         F.expr("max(Pos) as Pos"),
         F.expr("max(Age) as Age"),
-        *[F.expr(f"cast(sum({c}) as bigint) as {c}") for c in _SUMS],
+        *[F.expr(f"sum({c}) as {c}") for c in _SUMS],
     )
-    return totals.filter("not combined or several").selectExpr(
+    return totals.filter("not combined or teams > 1").selectExpr(
         *STATS.key, f"if(combined, '{STATS.combined}', team) as Tm", "Pos", "Age", *_SUMS
     )
