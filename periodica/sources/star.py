@@ -6,11 +6,14 @@ several priorities in a year also gets a combined row.
 Order of work, chosen so that no hot key ever reaches a join or a window as raw rows:
 
 1. line items are totalled per order (partial totals on the map side), one row per order key;
-2. orders join those totals one to one and are totalled again per customer, year and priority,
-   so a customer with a third of all orders is down to a few dozen rows;
-3. only then come the names: customer (and nation) join on the customer key;
-4. one shuffle by ``cluster_by`` finishes the rows per name, year and priority and the combined
-   rows; the removal of double-counted rows and any window over those keys reuse its partitioning.
+2. orders join those totals one to one and are totalled per customer, year and priority, so a
+   customer with a third of all orders is down to a few dozen rows;
+3. only then come the names: customer (and nation) join on the customer key, and rows of one name
+   are totalled, again on the map side first, so that a name shared by many customers is no hot key
+   either. From here on a player, season and team has one row;
+4. one shuffle by ``cluster_by`` brings a player's rows (of a season) together. The combined rows,
+   the removal of double-counted rows and any window over those keys reuse that partitioning. What
+   meets in one task is bounded by the number of teams (times seasons), not by the data.
 """
 
 from __future__ import annotations
@@ -81,16 +84,12 @@ class Star:
             "cast(19 + (c_custkey + Season) % 25 as int) as Age",
             *_SUMS,
         )
-        stints = (
-            named.repartition(*cluster_by)
-            .groupBy("Player", "Season", "Tm")
-            .agg(
-                F.expr("max(Pos) as Pos"),
-                F.expr("max(Age) as Age"),
-                *[F.expr(f"cast(sum({c}) as bigint) as {c}") for c in _SUMS],
-            )
+        stints = named.groupBy("Player", "Season", "Tm").agg(
+            F.expr("max(Pos) as Pos"),
+            F.expr("max(Age) as Age"),
+            *[F.expr(f"cast(sum({c}) as bigint) as {c}") for c in _SUMS],
         )
-        return _with_combined_rows(stints)
+        return _with_combined_rows(stints.repartition(*cluster_by))
 
     def player_boxscores(self, seasons: tuple[int, int] | None = None) -> DataFrame:
         """One row per player and game."""
