@@ -95,6 +95,15 @@ def value_positions(
     )
 
 
+def kept_rows(df: DataFrame) -> DataFrame:
+    """The rows, shuffled once, so that ranking reads them back where it would derive them anew.
+
+    Counting, lookups and the sampling for a final sort each need all the rows. Hashing by every
+    column keeps every column in every one of these uses: the exchange is the same and is reused.
+    """
+    return df.repartition(*df.columns)
+
+
 def _percent_rank(place: str) -> str:
     return f"case when {place}in_all = 1 then 0.0D else {place}below / ({place}in_all - 1) end"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from periodica.functions import rate, round_half_up, tier
 from periodica.layout import DETAIL, STATS, DetailLayout, StatLayout
 from periodica.operators.clean import clean_stats
-from periodica.operators.ranking import top_k, top_n_per_group, with_positions
+from periodica.operators.ranking import kept_rows, top_k, top_n_per_group, with_positions
 
 #: per-unit rates of a career or percentile profile: name -> column of totals
 PROFILE_RATES = {"PPG": "PTS", "APG": "AST", "RPG": "TRB", "SPG": "STL", "BPG": "BLK"}
@@ -175,7 +175,7 @@ def percentile_profile(
     layout: StatLayout = STATS,
 ) -> DataFrame:
     """Rates of one period and their percentiles among all rows, over the rounded rates."""
-    league = period_rates(stats, period, min_units, rates, layout)
+    league = kept_rows(period_rates(stats, period, min_units, rates, layout))
     percentiles = {f"{names[n]}_percentile": (n, "percent_rank") for n in rates}
     ranked = with_positions(league, percentiles, digits=1)
     for name in percentiles:

@@ -14,7 +14,7 @@ from periodica.functions import (
 )
 from periodica.layout import MONEY, STATS, MoneyLayout, StatLayout
 from periodica.operators.clean import clean_money, clean_stats
-from periodica.operators.ranking import percent_rank_floor, top_k, with_positions
+from periodica.operators.ranking import kept_rows, percent_rank_floor, top_k, with_positions
 
 #: terms of the production score
 SCORE_PLUS = ("PTS", "TRB", "AST", "STL", "BLK")
@@ -121,7 +121,7 @@ def cost_per_unit(
         )
     )
     ranked = with_positions(
-        priced,
+        kept_rows(priced),
         {
             "underpaid_rank": ("cost_per_unit", "rank"),
             "overpaid_rank": ("cost_per_unit", "desc_rank"),
