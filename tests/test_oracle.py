@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from periodica.plans.oracle import ORACLES
+from periodica.plans.registry import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 SPARK_TO_DUCK = {
@@ -30,7 +32,7 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     df = entry_points.queries()[name](spark, str(FOLDER))
     expected = duck.sql(entry_points.oracle_sql()[name])
@@ -46,7 +48,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_only_matching_blocks_go_without_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {"resolve_fuzzy_ratio"}
+    assert set(QUERIES) - set(ORACLES) == {"resolve_fuzzy_ratio"}
 
 
 def test_entry(spark):
