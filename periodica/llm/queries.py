@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import dedup, mixing, shards
+from periodica.llm import bpe, chat, dedup, mixing, shards
 from periodica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +44,39 @@ def op7_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.copies(table(spark, sf, "documents"))
 
 
+def op9_byte_bpe(
+    spark: SparkSession, sf: str, vocabulary: str = "byte_bpe_50k.tiktoken"
+) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
+    encoded = bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.floor(F.octet_length("token_bytes") / 4).alias("n_tokens"),
+        F.sha2("token_bytes", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_PROBE).alias("text"),
+    )
+    return chat.digests(chat.format_turns(turns.unionByName(probe)))
+
+
 QUERIES: dict[str, Query] = {
     "op4_pareto_mix": op4_pareto_mix,
     "op6_byte_shards": op6_byte_shards,
     "op7_chunk_recipes": op7_chunk_recipes,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -60,4 +90,20 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) over (partition by text_sha256) as kept, text_sha256
         from d
     """,
+    "op10_chat_format": f"""
+        with c as (
+          select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+          from conversations
+          union all values (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}')),
+        a as (
+          select conv_id, count(*) as n_turns,
+                 string_agg(role || chr(10) || text || chr(10), '' order by turn) as turns,
+                 coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as loss,
+                 sum(length(role) + length(regexp_replace(text, '<(\\\\*)[|]', '<.\\1|', 'g'))
+                     + length('<|im_start|>' || '<|im_end|>') + 2) as formatted
+          from c group by conv_id)
+        select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars,
+               sha256(loss) as loss_sha256, cast(formatted as bigint) as formatted_chars
+        from a
+    """,
 }
