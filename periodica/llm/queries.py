@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, mixing, shards
-from periodica.llm.common import table
+from periodica.llm import bpe, chat, dedup, langid, mixing, shards
+from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bitmask_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    known = langid.learn(docs, ~held_out("doc_id"))
+    return langid.predict(docs, known).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf, "documents"))
     return planned.select(
@@ -72,6 +80,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bitmask_langid": op1_bitmask_langid,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_byte_shards": op6_byte_shards,
     "op7_chunk_recipes": op7_chunk_recipes,
