@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: characters (or bytes) that a task works on at once; longer texts go alone
@@ -58,6 +58,32 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(f"[^{BLANKS}]+")), F.lit(0)).cast("long")
 
 
+def sampled(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` of the rows (group, id, text) of each group, by a hash of id and text.
+
+    Only hashes are ranked and shuffled; the texts of the chosen rows are then picked out by a join
+    with that list, whose size ``n`` and the number of groups bound. Repeated rows count once, rows
+    without id are not chosen.
+    """
+    chosen = sampled_keys(rows.select(group, "id", F.xxhash64("text").alias("_text")), group, n, seed)
+    return picked(rows, chosen.drop(group))
+
+
+def sampled_keys(keys: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """The same on (group, id, _text), the last being the text's hash."""
+    draw = F.xxhash64(F.lit(seed), "id", "_text").alias("_draw")
+    ranked = keys.where("id is not null").select(group, "id", "_text", draw).distinct()
+    by_draw = Window.partitionBy(group).orderBy("_draw", "id", "_text")
+    ranked = ranked.withColumn("_n", F.row_number().over(by_draw))
+    return ranked.where(F.col("_n") <= n).drop("_n", "_draw")
+
+
+def picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows named by a bounded list of (id, _text, ...), each once."""
+    found = rows.withColumn("_text", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "_text"])
+    return found.dropDuplicates(["id", "_text"])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
 

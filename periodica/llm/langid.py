@@ -8,8 +8,8 @@ counted per language over the whole text, and each count is corrected for the fa
 the fill of that language's slice predicts. The largest corrected count decides; the score is its
 share of all corrected counts.
 
-Learning is bounded: ``sample`` documents of each language, chosen by a hash of the id, with all of
-their text, and ``kept`` trigrams per language. So the filter, which every task gets, has a fixed
+Learning is bounded: ``sample`` documents of each language, chosen by a hash of id and text, with
+all of their text, and ``kept`` trigrams per language. So the filter, which every task gets, has a fixed
 size: 2^``digits`` places of one byte per eight languages (at most 64 languages).
 
 ``und`` with score 0 is the answer for a NULL text, one without a letter, or when nothing was
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.llm.common import PIECE, mixed, runs
+from periodica.llm.common import PIECE, mixed, runs, sampled
 
 UNKNOWN = "und"
 
@@ -157,14 +157,9 @@ def learn(
     rows = docs.where(F.lit(usable) if isinstance(usable, bool) else usable).select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col), F.lit(17)).alias("_draw"),
-        F.xxhash64(F.col(text_col)).alias("_tie"),
+        F.col(id_col).alias("id"),
     )
-    rows = rows.where("lang is not null and text is not null")
-    # a rank with a limit: each task passes on no more than the sample
-    by_draw = Window.partitionBy("lang").orderBy("_draw", "_tie")
-    rows = rows.select("_draw", "_tie", "lang", "text", F.row_number().over(by_draw).alias("_n"))
-    rows = rows.where(F.col("_n") <= how.sample).select("lang", "text")
+    rows = sampled(rows.where("lang is not null and text is not null"), "lang", how.sample, 17)
     counts = rows.mapInArrow(_counted, "lang string, gram long, times long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     share = F.col("times") / F.sum("times").over(Window.partitionBy("lang"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, langid, mixing, shards
+from periodica.llm import bpe, chat, dedup, langid, mixing, quality, shards
 from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,17 @@ def op1_bitmask_langid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_line_crf_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    field = quality.learn(docs, table(spark, sf, "labels"), ~held_out("doc_id"))
+    return quality.score(docs, field).select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op4_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf, "documents"))
     return planned.select(
@@ -81,6 +92,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bitmask_langid": op1_bitmask_langid,
+    "op2_line_crf_quality": op2_line_crf_quality,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_byte_shards": op6_byte_shards,
     "op7_chunk_recipes": op7_chunk_recipes,
