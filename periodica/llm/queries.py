@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, langid, mixing, quality, shards
+from periodica.llm import bpe, chat, dedup, langid, mixing, pii, quality, shards
 from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,33 @@ def op4_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[k] for k in _SPAN])), ",")
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+_SPAN = ("kind", "start", "end")
+
+
+def op5_skip_chain_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = pii.find(docs, pii.learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.size(F.filter(base, _of_kind(kind))).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     placed = shards.shard(table(spark, sf, "documents"), 40)
     return placed.select(
@@ -94,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op1_bitmask_langid": op1_bitmask_langid,
     "op2_line_crf_quality": op2_line_crf_quality,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_byte_shards": op6_byte_shards,
     "op7_chunk_recipes": op7_chunk_recipes,
     "op9_byte_bpe": op9_byte_bpe,
