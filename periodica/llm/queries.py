@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, langid, mixing, pii, quality, shards
+from periodica.llm import bpe, chat, dedup, langid, mixing, nearest, pii, quality, shards
 from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_line_crf_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_multi_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 10)
+
+
 def op4_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf, "documents"))
     return planned.select(
@@ -120,6 +125,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bitmask_langid": op1_bitmask_langid,
     "op2_line_crf_quality": op2_line_crf_quality,
+    "op3_multi_index_topk": op3_multi_index_topk,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_byte_shards": op6_byte_shards,
@@ -129,6 +135,19 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_multi_index_topk": """
+        with b as (
+          select vec_id, list_transform(embedding, lambda x: x > 0) as bits from embeddings),
+        pairs as (
+          select q.vec_id as query_id, v.vec_id,
+                 cast(len(list_filter(range(1, 65), lambda i: q.bits[i] <> v.bits[i])) as int)
+                   as distance
+          from b q join b v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+        select query_id, vec_id, distance,
+               cast(row_number() over (partition by query_id order by distance, vec_id) as int)
+                 as rank
+        from pairs qualify rank <= 10
+    """,
     "op7_chunk_recipes": """
         with d as (
           select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
