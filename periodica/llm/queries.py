@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, langid, mixing, nearest, pii, quality, shards
+from periodica.llm import bpe, chat, dedup, jaccard, langid, mixing, nearest, pii, quality, shards
 from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op7_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.copies(table(spark, sf, "documents"))
 
 
+def op8_prefix_tree_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard.groups(table(spark, sf, "documents"), jaccard.Join(width=4, percent=85))
+    return found.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
+
+
 def op9_byte_bpe(
     spark: SparkSession, sf: str, vocabulary: str = "byte_bpe_50k.tiktoken"
 ) -> DataFrame:
@@ -130,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_byte_shards": op6_byte_shards,
     "op7_chunk_recipes": op7_chunk_recipes,
+    "op8_prefix_tree_join": op8_prefix_tree_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
 }
