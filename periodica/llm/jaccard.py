@@ -392,6 +392,7 @@ def _comparer(join: Join):
 
     def compare(members: pa.Table, block: pa.Table) -> pa.Table:
         nodes, sets = _own_sets(members, join.width)
+        block = block.rename_columns([c.removeprefix("b_") for c in block.column_names])
         block_nodes, block_sets = _own_sets(block, join.width)
         if not len(nodes) or not len(block_nodes):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -440,11 +441,16 @@ def _large(parts: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
         keys = ["part", "block", "share"]
         listed = blocks.select("part", "block").distinct()
         members = parts.join(listed, "part").select(*keys, "node", "text")
+        each = F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)
         spread = blocks.join(parts.select("part", "shares").distinct(), "part").select(
-            "part", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).cast("long").alias("share"), "node", "text"
+            "part", "block", F.explode(each).alias("share"), "node", "text"
         )
+        # the two sides come from one table; new names for one of them tell them apart
+        spread = spread.toDF(*[f"b_{c}" for c in spread.columns])
         return (
-            members.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_comparer(join), _EDGES)
+            members.groupBy(*keys)
+            .cogroup(spread.groupBy(*[f"b_{k}" for k in keys]))
+            .applyInArrow(_comparer(join), _EDGES)
         )
 
     by_hash = Window.partitionBy("part").orderBy(F.xxhash64("node", F.lit(5)), "node")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,10 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(probe)))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bitmask_langid": op1_bitmask_langid,
     "op2_line_crf_quality": op2_line_crf_quality,
@@ -138,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op8_prefix_tree_join": op8_prefix_tree_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
