@@ -19,9 +19,6 @@ table gives an empty result, further columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +27,10 @@ from periodica.llm.common import stored
 
 def code_of(vector: str, bits: int) -> Column:
     """The signs of the components as the bits of one long."""
-    bit = [
-        F.when(F.coalesce(F.get(F.col(vector), F.lit(i)) > 0, F.lit(False)), F.lit(1).cast("long"))
-        .otherwise(F.lit(0).cast("long"))
-        for i in range(bits)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(b, i) for i, b in enumerate(bit)])
+    return F.expr(
+        f"aggregate(sequence(0, {bits - 1}), 0L, (code, i) -> "
+        f"if(get(`{vector}`, i) > 0, code | shiftleft(1L, i), code))"
+    )
 
 
 def _distance(a: str, b: str) -> Column:
@@ -46,17 +41,19 @@ def _segment(code: Column, i: int, width: int) -> Column:
     return F.shiftright(code, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def _values(width: int, distance: int) -> list[int]:
-    """All values of ``width`` bits of which ``distance`` are set."""
-    if distance == 0:
-        return [0]
-    out, v = [], (1 << distance) - 1
-    while v < 1 << width:
-        out.append(v)
-        low = v & -v
-        ripple = v + low
-        v = ripple | (((v ^ ripple) >> 2) // low)
-    return out
+def _probes(queries: DataFrame, radius: int, segments: int, width: int) -> DataFrame:
+    """Per query code and segment all values at exactly this distance: bits are flipped one after
+    the other, each above the last, so every value comes up once."""
+    own = F.array(*[_segment(F.col("query"), i, width) for i in range(segments)])
+    rows = queries.select("query", F.posexplode(own).alias("segment", "value"))
+    rows = rows.withColumn("last", F.lit(-1))
+    for _ in range(radius):
+        above = F.sequence(F.col("last") + 1, F.lit(width - 1))
+        rows = rows.where(F.col("last") < width - 1)
+        rows = rows.select("query", "segment", "value", F.explode(above).alias("last"))
+        flipped = F.expr("value ^ shiftleft(1, last)").alias("value")
+        rows = rows.select("query", "segment", flipped, "last")
+    return rows.drop("last")
 
 
 def _first_nearest(a: str, b: str, segments: int, width: int) -> Column:
@@ -113,16 +110,7 @@ def search(
     left = asked.select(F.col("code").alias("query")).distinct()
     best, done = None, None
     for radius in range(width + 1):
-        flips = F.lit(np.array(_values(width, radius), np.int32))  # one literal
-        probes = left.select(
-            "query",
-            F.posexplode(
-                F.array(*[_segment(F.col("query"), i, width) for i in range(segments)])
-            ).alias("segment", "own"),
-        )
-        probes = probes.select("query", "segment", "own", F.explode(flips).alias("flip")).select(
-            "query", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value")
-        )
+        probes = _probes(left, radius, segments, width)
         met = probes.join(index, ["segment", "value"])
         met = met.where(F.col("segment") == _first_nearest("query", "code", segments, width))
         met = met.select("query", "code", _distance("query", "code").alias("distance"))

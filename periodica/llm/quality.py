@@ -18,6 +18,7 @@ ignored by ``score`` and kept by ``keep``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -375,7 +376,8 @@ def _scorer(shared, keep: float | None):
                 )
             else:
                 kept = batch.filter(pa.array(score >= keep))
-                yield kept.select(kept.schema.names[:-1])
+                # by position: the table may have a column of any name
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
     return run
 
@@ -396,6 +398,7 @@ def keep(
     docs: DataFrame, field: Field | None, cut: float = CUT, text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``cut``."""
-    rows = docs.select("*", F.col(text_col).cast("string").alias("_scored_text"))
+    name = f"_scored_{uuid.uuid4().hex}"
+    rows = docs.select("*", F.col(text_col).cast("string").alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return rows.mapInArrow(_scorer(shared, cut), docs.schema)
