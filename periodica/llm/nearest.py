@@ -9,7 +9,8 @@ verified distance is within m(r+1)-1: nothing nearer can be left. The others go
 Equal codes are searched once: of each code only the ids that can be among k answers are kept, the
 smallest, so a code that a third of all rows share is a few rows. A pair is taken from the first of
 its nearest segments only, which needs no removal of duplicates. Probes meet the index in an
-equi-join; a value of a segment that many codes share is split by the skew join. A segment should
+merge join; a value of a segment that many codes share is split by the skew join, and none of
+the tables is broadcast, however small a round makes it. A segment should
 have about as many bits as the number of vectors (of 64 bits at most in all).
 
 Vectors are told apart by id and code: repeated rows count once. Rows without id or vector are not
@@ -111,12 +112,12 @@ def search(
     best, done = None, None
     for radius in range(width + 1):
         probes = _probes(left, radius, segments, width)
-        met = probes.join(index, ["segment", "value"])
+        met = probes.join(index.hint("merge"), ["segment", "value"])
         met = met.where(F.col("segment") == _first_nearest("query", "code", segments, width))
         met = met.select("query", "code", _distance("query", "code").alias("distance"))
-        found = met.join(members, "code").select("query", "id", "code", "distance")
+        found = met.join(members.hint("merge"), "code").select("query", "id", "code", "distance")
         if best is not None:
-            found = best.drop("rank").join(left, "query").unionByName(found)
+            found = best.drop("rank").join(left.hint("merge"), "query").unionByName(found)
         best = stored(_best(found, k + 1), "nearest-best")
         covered = segments * (radius + 1) - 1
         state = best.groupBy("query").agg(
@@ -124,13 +125,13 @@ def search(
         )
         enough = (F.col("n") > k) & (F.col("far") <= covered)
         ready = state.where(enough).select("query") if radius < width else state.select("query")
-        part = best.join(ready, "query", "left_semi")
+        part = best.join(ready.hint("merge"), "query", "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = stored(left.join(ready, "query", "left_anti"), "nearest-left")
+        left = stored(left.join(ready.hint("merge"), "query", "left_anti"), "nearest-left")
         if left.isEmpty():
             break
     answers = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(
-        done, "query"
+        done.hint("merge"), "query"
     )
     others = answers.where((F.col("id") != F.col("query_id")) | (F.col("code") != F.col("query")))
     # k + 1 rows per query at most
