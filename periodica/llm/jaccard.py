@@ -16,10 +16,13 @@ similarity reaches the threshold; linked documents form groups.
    a subtree is left as soon as what remains of the set and of the subtree's sets cannot reach the
    threshold. Sets that are connected already need no comparison, so a part is done when at most one
    of its groups has sets that have not descended; a group of near copies takes few descents.
-4. A part with more than ``room`` n-grams is not brought into one task. A few of its sets, its
-   pivots, are compared with all others, in as many tasks as its size asks for. All sets outside the
-   largest group that results are then compared with all in the same way, in blocks. So each pair is
-   either compared or connected through others, whatever the size of the part.
+4. A part with more than ``room`` n-grams is not brought into one task. Passages that some documents
+   share can hold such a part together without any links, so its candidates are found once more, in
+   a better order: n-grams that only one of its sets has come first, and they match nothing. What is
+   still too large is many near copies. A few of its sets, its pivots, are compared with all others,
+   in as many tasks as its size asks for. All sets outside the largest group that results are then
+   compared with all in the same way, in blocks. So each pair is either compared or connected
+   through others, whatever the size of the part.
 
 A document with fewer words than n has its whole sequence as its one n-gram. One without words, or
 a NULL, has none, and links with nothing. Ids may be NULL or repeat: NULL is no component's id
@@ -188,17 +191,98 @@ def _prefixes(join: Join, order):
     return run
 
 
-def _rare(grams: np.ndarray, n: int, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first ``n`` of a sorted set: by rank, those without one before, then by hash."""
+def _plain_grams(join: Join, order):
+    """Rows (gram, node) of all n-grams that have no rank, for each set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, _ = order.value
+        for batch in batches:
+            texts, nodes = batch.column("text").to_pylist(), batch.column("node").to_numpy()
+            for a, b in runs([len(t) + 1 for t in texts]):
+                sets = [s[~_among(s, ranked)[0]] for s in gram_sets(texts[a:b], join.width)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(sets).view(np.int64)),
+                        pa.array(np.repeat(nodes[a:b], [len(s) for s in sets])),
+                    ],
+                    ["gram", "node"],
+                )
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of gram those whose gram comes up more than once."""
+    held, told = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grams, nodes = batch.column("gram").to_numpy(), batch.column("node").to_numpy()
+        if held is not None:
+            grams, nodes = np.append(held[0], grams), np.append(held[1], nodes)
+        same = grams[1:] == grams[:-1]
+        keep = np.zeros(len(grams), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None and told:
+            keep[0] = False  # given out with the batch before
+        told = len(same) > 0 and bool(same[-1])
+        held = grams[-1], nodes[-1]
+        if not told:
+            keep[-1] = False  # the next batch tells
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams[keep]), pa.array(nodes[keep])], ["gram", "node"]
+        )
+
+
+def _better_prefixes(join: Join, order):
+    """Rows (gram, node, n) as of ``_prefixes``, where n-grams of one set only come first.
+
+    Those match nothing, so they count for the length of the prefix but are not given out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, rank = order.value
+        for batch in batches:
+            texts, nodes = batch.column("text").to_pylist(), batch.column("node").to_numpy()
+            shared = batch.column("shared").to_pylist()
+            for a, b in runs([len(t) + 1 for t in texts]):
+                first, sizes = [], []
+                for grams, others in zip(gram_sets(texts[a:b], join.width), shared[a:b], strict=True):
+                    n = len(grams)
+                    common = _among(grams, np.sort(np.array(others or [], np.int64).view(np.uint64)))[0]
+                    common |= _among(grams, ranked)[0]
+                    room = n - join.needed(n) + 1 - int((~common).sum())
+                    first.append(_rare(grams[common], max(room, 0), ranked, rank))
+                    sizes.append(n)
+                counts = [len(f) for f in first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(first).view(np.int64)),
+                        pa.array(np.repeat(nodes[a:b], counts)),
+                        pa.array(np.repeat(np.array(sizes, np.int64), counts)),
+                    ],
+                    ["gram", "node", "n"],
+                )
+
+    return run
+
+
+def _among(grams: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are in a sorted list, and where they would be."""
     if not len(ranked):
-        return grams[:n]
+        return np.zeros(len(grams), bool), np.zeros(len(grams), np.int64)
     at = np.minimum(np.searchsorted(ranked, grams), len(ranked) - 1)
-    place = np.where(ranked[at] == grams, rank[at], -1)
-    plain = grams[place < 0]
-    if len(plain) >= n:
-        return plain[:n]
-    others = place >= 0
-    by_rank = np.argsort(place[others], kind="stable")
+    return ranked[at] == grams, at
+
+
+def _rare(grams: np.ndarray, n: int, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first ``n`` of a sorted set: those without a rank by hash, then the others by rank."""
+    others, at = _among(grams, ranked)
+    plain = grams[~others][:n]
+    if len(plain) >= n or not others.any():
+        return plain
+    by_rank = np.argsort(rank[at[others]], kind="stable")
     return np.concatenate([plain, grams[others][by_rank[: n - len(plain)]]])
 
 
@@ -429,12 +513,46 @@ def _ranking(profile: DataFrame):
     return grams[order], rank[order]
 
 
+def _parts(prefixes: DataFrame, join: Join, name: str) -> DataFrame:
+    """``part`` of each node that shares a prefix n-gram with one near in size."""
+    rows = prefixes.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    pairs = rows.mapInArrow(_candidates(join.percent), _EDGES).distinct()
+    return components(pairs, name).select("node", F.col("component").alias("part"))
+
+
+def _verified(found: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Links of the parts that one task takes, and the others with the number of their n-grams."""
+    sizes = found.groupBy("part").agg(F.sum("n").alias("grams"))
+    large = stored(sizes.where(F.col("grams") > join.room), "jaccard-sizes")
+    small = found.join(large, "part", "left_anti")
+    return small.groupBy("part").applyInArrow(_verifier(join), _EDGES), large
+
+
+def _refined(left: DataFrame, join: Join, order) -> DataFrame:
+    """``part`` of the nodes of large parts, from prefixes in the better order.
+
+    The n-grams that are exchanged have no rank, so none of them is frequent.
+    """
+    shared = (
+        left.mapInArrow(_plain_grams(join, order), "gram long, node long")
+        .repartition("gram")
+        .sortWithinPartitions("gram")
+        .mapInArrow(_shared, "gram long, node long")
+    )
+    # at most the n-grams of one set
+    per_node = shared.groupBy("node").agg(F.collect_list("gram").alias("shared"))
+    first = left.join(per_node, "node", "left").select("node", "text", "shared")
+    first = first.mapInArrow(_better_prefixes(join, order), "gram long, node long, n long")
+    return _parts(first, join, "jaccard-narrow-parts")
+
+
 def _large(parts: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     """Links of the parts that are too large for one task, from rows (part, node, n, text)."""
     parts = parts.join(
         sizes.select("part", F.ceil(F.col("grams") / join.room).cast("int").alias("shares")), "part"
     )
-    parts = stored(parts.withColumn("share", F.pmod(F.xxhash64("node"), "shares")), "jaccard-large")
+    parts = parts.withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
+    parts = stored(parts, "jaccard-large")
 
     def against(blocks: DataFrame) -> DataFrame:
         """Every set of a part with those of every block (part, block, node, text)."""
@@ -512,14 +630,8 @@ def _solved(
         "jaccard-profile",
     )
     order = spark.sparkContext.broadcast(_ranking(profile))
-    first = (
-        rows.select("text")
-        .mapInArrow(_prefixes(join, order), "gram long, node long, n long")
-        .repartition("gram")
-        .sortWithinPartitions("gram", "n", "node")
-    )
-    pairs = first.mapInArrow(_candidates(join.percent), _EDGES).distinct()
-    parts = components(pairs, "jaccard-parts").select("node", F.col("component").alias("part"))
+    first = rows.select("text").mapInArrow(_prefixes(join, order), "gram long, node long, n long")
+    parts = _parts(first, join, "jaccard-parts")
     # one text for each node
     texts = profile.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("_one"), F.max("n").alias("n")
@@ -531,15 +643,21 @@ def _solved(
         "jaccard-chosen",
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text"))
-    found = rows.join(chosen, same).select("part", "node", "n", "text")
-    sizes = chosen.groupBy("part").agg(F.sum("n").alias("grams"))
-    large = stored(sizes.where(F.col("grams") > join.room), "jaccard-sizes")
-    if large.isEmpty():
-        links = found.groupBy("part").applyInArrow(_verifier(join), _EDGES)
-    else:
-        small = found.join(large, "part", "left_anti")
-        links = small.groupBy("part").applyInArrow(_verifier(join), _EDGES)
-        links = links.unionByName(_large(found.join(large.select("part"), "part", "left_semi"), large, join))
+    # the texts move here, those of repeated rows once
+    found = rows.join(chosen, same).groupBy("part", "node", "n").agg(F.first("text").alias("text"))
+    found = stored(found, "jaccard-texts")
+    links, large = _verified(found, join)
+    if not large.isEmpty():
+        left = stored(found.join(large, "part", "left_semi").drop("part"), "jaccard-wide")
+        narrow = _refined(left, join, order)
+        narrow = stored(left.join(narrow, "node"), "jaccard-narrow")
+        more, large = _verified(narrow, join)
+        links = links.unionByName(more)
+        if not large.isEmpty():
+            sizes = stored(large, "jaccard-large-sizes")
+            links = links.unionByName(
+                _large(narrow.join(sizes.select("part"), "part", "left_semi"), sizes, join)
+            )
     linked = components(stored(links, "jaccard-links"), "jaccard-groups")
     return profile, linked
 
