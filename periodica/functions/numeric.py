@@ -17,9 +17,11 @@ def round_half_up(x: Column | str, digits: int) -> Column:
     """Round halves away from zero.
 
     Going through a decimal first drops the last-bit noise of a double, so the result does not
-    depend on the order in which a sum was built up across tasks.
+    depend on the order in which a sum was built up across tasks. Beyond 28 digits before the point
+    a double has no digits after it: such a value, an infinity and NaN stay as they are.
     """
-    return F.round(_col(x).cast("decimal(28,10)"), digits).cast("double")
+    exact = F.round(_col(x).try_cast("decimal(38,10)"), digits).cast("double")
+    return F.coalesce(exact, _col(x).cast("double"))
 
 
 def rate(total: Column | str, units: Column | str) -> Column:

@@ -22,21 +22,26 @@ def prefer_rows(
 
     ``window``    one pass and one shuffle on ``keys``, none if the input is already partitioned
                   on them. A key's rows meet in one task, so it is meant for a table whose grain
-                  bounds them (one row per entity, period and group).
+                  bounds them (one row per entity, period and group). Rows with a NULL key, which
+                  no grain bounds, are spread over windows of their own.
     ``anti_join`` the keys that have a preferred row, distinct, against all the other rows. Works
                   for any number of rows per key: the key side shrinks before it is shuffled and
                   an oversized partition of the other side can be split.
     """
     preferred = F.coalesce(preferred, F.lit(False))
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     if method == "window":
-        has_preferred = F.max(preferred).over(Window.partitionBy(*keys))
-        null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        marked = df.withColumn("__keep", preferred | ~has_preferred | null_key)
-        return marked.filter("__keep").drop("__keep")
+        spread = F.when(null_key, F.xxhash64(*df.columns)).otherwise(F.lit(0))
+        rows = df.withColumn("__apart", spread)
+        has_preferred = F.max(preferred).over(Window.partitionBy(*keys, "__apart"))
+        marked = rows.withColumn("__keep", preferred | ~has_preferred | null_key)
+        return marked.filter("__keep").drop("__keep", "__apart")
     if method == "anti_join":
-        chosen = df.filter(preferred)
-        covered = chosen.select(*keys).distinct()
-        return chosen.unionByName(df.filter(~preferred).join(covered, list(keys), "left_anti"))
+        # one exchange that both uses read; hashing by all columns keeps it the same for both
+        rows = df.repartition(*df.columns)
+        covered = rows.filter(preferred).select(*keys).distinct()
+        others = rows.filter(~preferred).join(covered, list(keys), "left_anti")
+        return rows.filter(preferred).unionByName(others)
     raise ValueError(f"unknown method: {method}")
 
 
@@ -67,9 +72,12 @@ def clean_money(
     return typed.distinct()
 
 
+def bad_money_counts(layout: MoneyLayout = MONEY) -> list[Column]:
+    """Aggregates: ``rows``, and ``bad_rows`` that hold text that is no amount."""
+    bad = parse_money(layout.amount).isNull()
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_rows")]
+
+
 def count_bad_money(money: DataFrame, layout: MoneyLayout = MONEY) -> DataFrame:
     """How many rows hold text that is no amount, next to the number of rows."""
-    bad = parse_money(layout.amount).isNull()
-    return money.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_rows")
-    )
+    return money.agg(*bad_money_counts(layout))

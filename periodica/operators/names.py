@@ -1,16 +1,21 @@
 """Resolving typed names against a dimension of known names, as a batch job.
 
-Exact matches are an equi-join on the normalised name. What is left is matched by similarity, and
-only there are candidates needed. They are found without comparing every pair and without losing
-any pair that reaches the cutoff:
-
-* a similarity of at least ``cutoff`` needs a minimum number of letters in common (counting
-  repeats), which depends only on the two lengths;
-* with the letters of both names in one fixed order, two names that share ``t`` of them must share
-  one among the first ``length - t + 1`` of each. Those prefixes, rarest letters first, are the
-  join keys, together with the length of the known name;
-* a pair is taken at its first shared prefix letter only, and scored only if it really shares
-  enough letters.
+Exact matches are an equi-join on the normalised name. What is left is matched by similarity, in
+two steps, neither of which compares all pairs or loses one that counts:
+
+1. Names within ``NEAR_EDITS`` edits. Of a known name cut into one piece more than that, some piece
+   stands unchanged in the typed name, moved by a few places at most: an equi-join on piece, place
+   and length. A typed name is settled if what it found beats all that more edits could reach, which
+   its length tells. That settles names with a slip or two, by keys of several letters.
+2. Names that are still open. A similarity of at least ``cutoff`` needs a minimum number of letters
+   in common (counting repeats), which depends only on the two lengths. With the letters of both
+   names in one fixed order, two names that share ``t`` letters share ``k`` of the first
+   ``length - t + k`` of each, for any k up to t. Combinations of up to ``TOGETHER`` such letters
+   and the length of the known name are the join keys; a pair is taken at its first combination
+   only, and scored only if it really shares enough letters.
+
+The first step's rows grow as the names do. The second's are a small share of all pairs (README),
+of the names that have no near match only.
 """
 
 from __future__ import annotations
@@ -23,6 +28,12 @@ from periodica.functions import normalize_name, sequence_ratio
 #: fixed values: letters from rare to frequent in names; anything else counts as frequent
 RARE_TO_FREQUENT = "qxzjvwfkpgybuhmcdtslnoirea"
 
+#: edits that the first step finds
+NEAR_EDITS = 2
+
+#: letters of a join key of the second step
+TOGETHER = 3
+
 
 def name_dimension(df: DataFrame, name: str, order: Column | None = None) -> DataFrame:
     """Distinct names by normalised form, columns ``norm_key`` and ``name``.
@@ -109,7 +120,26 @@ def best_matches(
     keys: DataFrame, dimension: DataFrame, method: str, cutoff: float
 ) -> DataFrame:
     """Per ``typed_key`` the closest known name at or above ``cutoff``, if there is one."""
-    pairs = _candidates(keys, dimension, method, cutoff)
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
+    near = _best(_near_pairs(keys, dimension), method, cutoff)
+    # the best that a pair with more edits can score
+    edits, length = F.lit(NEAR_EDITS + 1), F.length("typed_key")
+    longest = 2 * length + edits if method == "ratio" else length + edits
+    settled = F.col("best_score") > F.lit(1.0) - edits / longest + F.lit(1e-9)
+    tried = keys.join(near.withColumnRenamed("typed_key", "near_key"),
+                      F.col("typed_key") == F.col("near_key"), "left").drop("near_key")
+    tried = tried.withColumn("settled", F.coalesce(settled, F.lit(False)))
+    far = _best(
+        _candidates(tried.filter(~F.col("settled")).select("typed_key"), dimension, method, cutoff),
+        method,
+        cutoff,
+    )
+    return tried.filter("settled").drop("settled").unionByName(far)
+
+
+def _best(pairs: DataFrame, method: str, cutoff: float) -> DataFrame:
+    """The best pair of each typed key; of equal scores the name that sorts last."""
     longest = F.greatest(F.length("norm_key"), F.length("typed_key"))
     if method == "edit":
         score = F.lit(1.0) - F.levenshtein("norm_key", "typed_key") / longest
@@ -130,6 +160,47 @@ def best_matches(
     )
 
 
+def near_join(keys: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Rows of the first step's join: typed and known names with a piece in common."""
+    pieces = NEAR_EDITS + 1
+    numbers = f"explode(sequence(0, {NEAR_EDITS})) as piece"
+    begin = f"cast(floor(piece * known_len / {pieces}) as int)"
+    end = f"cast(floor((piece + 1) * known_len / {pieces}) as int)"
+    known = dimension.selectExpr(
+        "norm_key", "name", "length(norm_key) as known_len", numbers
+    ).selectExpr(
+        "norm_key", "name", "known_len", "piece", f"substring(norm_key, {begin} + 1, {end} - {begin}) as part"
+    )
+    # a piece moves by at most the edits before it, and those after it make up for the lengths
+    typed = (
+        keys.selectExpr("typed_key", "length(typed_key) as typed_len")
+        .selectExpr(
+            "*",
+            f"explode(sequence(greatest(typed_len - {NEAR_EDITS}, 0), typed_len + {NEAR_EDITS}))"
+            " as known_len",
+        )
+        .selectExpr("*", numbers)
+        .selectExpr("*", f"{begin} as piece_from", f"{end} - {begin} as piece_size")
+        .selectExpr(
+            "*",
+            f"greatest(piece_from - {NEAR_EDITS}, 0) as lowest",
+            f"least(piece_from + {NEAR_EDITS}, typed_len - piece_size) as highest",
+        )
+        .filter("lowest <= highest")
+        .selectExpr("*", "explode(sequence(lowest, highest)) as at")
+        .selectExpr(
+            "typed_key", "known_len", "piece", "substring(typed_key, at + 1, piece_size) as part"
+        )
+        .distinct()
+    )
+    return typed.join(known, ["known_len", "piece", "part"])
+
+
+def _near_pairs(keys: DataFrame, dimension: DataFrame) -> DataFrame:
+    pairs = near_join(keys, dimension).select("typed_key", "norm_key", "name").distinct()
+    return pairs.filter(F.levenshtein("typed_key", "norm_key") <= NEAR_EDITS)
+
+
 def _needed(a: Column, b: Column, method: str, cutoff: float) -> Column:
     """Letters that two names of these lengths must share to reach the cutoff."""
     whole = (a + b) / 2 if method == "ratio" else F.greatest(a, b)
@@ -137,9 +208,9 @@ def _needed(a: Column, b: Column, method: str, cutoff: float) -> Column:
 
 
 def _letters(key: str) -> Column:
-    """The letters of a name as sortable tokens, each repeat a token of its own.
+    """The letters of a name as tokens in order, each repeat a token of its own.
 
-    Later repeats sort before earlier ones and rare letters before frequent ones.
+    Later repeats come before earlier ones and rare letters before frequent ones.
     """
     chars = F.split(F.col(key), "")
 
@@ -147,65 +218,79 @@ def _letters(key: str) -> Column:
         repeat = F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c == char))
         place = F.position(char, F.lit(RARE_TO_FREQUENT))
         frequency = F.when(place == 0, F.lit(99)).otherwise(place)
-        return F.concat(
-            F.lpad((F.lit(99_999) - repeat).cast("string"), 5, "0"),
-            F.lpad(frequency.cast("string"), 2, "0"),
-            char,
-        )
+        return F.struct((-repeat).alias("a"), frequency.alias("b"), char.alias("c"))
 
-    return F.array_sort(F.transform(chars, token))
+    ordered = F.array_sort(F.transform(chars, token))
+    return F.transform(ordered, lambda t: F.concat_ws(":", t["c"], -t["a"]))
+
+
+def _together(needed: Column) -> Column:
+    return F.least(needed, F.lit(TOGETHER))
+
+
+def _combinations(tokens: str, size: str) -> Column:
+    """All combinations of ``size`` tokens (1 to 3), in their order, each as one text."""
+    rest = "slice({0}, {1}, size({0}))"
+    after = rest.format(tokens, "i + 2")
+    later = rest.format(tokens, "i + j + 3")
+    return F.expr(
+        f"case {size} when 1 then {tokens}"
+        f" when 2 then flatten(transform({tokens}, (a, i) ->"
+        f" transform({after}, b -> concat_ws(' ', a, b))))"
+        f" else flatten(transform({tokens}, (a, i) -> flatten(transform({after}, (b, j) ->"
+        f" transform({later}, c -> concat_ws(' ', a, b, c)))))) end"
+    )
 
 
 def _candidates(
     keys: DataFrame, dimension: DataFrame, method: str, cutoff: float
 ) -> DataFrame:
     """Pairs (``typed_key``, ``norm_key``, ``name``) that share enough letters."""
-    if not 0 < cutoff <= 1:
-        raise ValueError("cutoff must be above 0 and at most 1")
-    stretch = (2 - cutoff) / cutoff if method == "ratio" else 1 / cutoff
-    typed = (
-        keys.filter(F.length("typed_key") > 0)
-        .withColumn("typed_len", F.length("typed_key"))
-        .withColumn("typed_letters", _letters("typed_key"))
-        .withColumn("shortest", F.ceil(F.col("typed_len") / stretch - 1e-9).cast("int"))
-        .withColumn("longest", F.floor(F.col("typed_len") * stretch + 1e-9).cast("int"))
-        .withColumn("known_len", F.explode(F.sequence("shortest", "longest")))
-        .withColumn(
-            "needed", _needed(F.col("typed_len"), F.col("known_len"), method, cutoff)
-        )
-        .withColumn(
-            "typed_prefix",
-            F.slice("typed_letters", F.lit(1), F.col("typed_len") - F.col("needed") + 1),
-        )
-        .withColumn("letter", F.explode("typed_prefix"))
-        .drop("shortest", "longest")
-    )
-    length = F.length("norm_key")
-    fewest = F.ceil(length / stretch - 1e-9).cast("int")
-    known = (
-        dimension.filter(length > 0)
-        .withColumn("name_len", length)
-        .withColumn("name_letters", _letters("norm_key"))
-        .withColumn(
-            "widest_prefix",
-            F.slice(
-                "name_letters",
-                F.lit(1),
-                F.col("name_len") - _needed(fewest, F.col("name_len"), method, cutoff) + 1,
-            ),
-        )
-        .withColumn("name_letter", F.explode("widest_prefix"))
-    )
-    name_prefix = F.slice(
-        "name_letters", F.lit(1), F.col("name_len") - F.col("needed") + 1
-    )
-    first_shared = F.get(F.array_intersect("typed_prefix", name_prefix), F.lit(0))
     shared = F.size(F.array_intersect("typed_letters", "name_letters"))
+    first = F.array_join(
+        F.slice(F.array_intersect("typed_prefix", "name_prefix"), F.lit(1), F.col("together")), " "
+    )
     return (
-        typed.join(
-            known,
-            (F.col("letter") == F.col("name_letter")) & (F.col("known_len") == F.col("name_len")),
-        )
-        .filter((first_shared == F.col("letter")) & (shared >= F.col("needed")))
+        far_join(keys, dimension, method, cutoff)
+        .filter((first == F.col("letters")) & (shared >= F.col("needed")))
         .select("typed_key", "norm_key", "name")
     )
+
+
+def far_join(
+    keys: DataFrame, dimension: DataFrame, method: str, cutoff: float
+) -> DataFrame:
+    """Rows of the second step's join: names of fitting lengths with a combination in common.
+
+    How many letters a pair must share depends on both lengths, so either side has a row for each
+    length that the other may have.
+    """
+    stretch = (2 - cutoff) / cutoff if method == "ratio" else 1 / cutoff
+
+    def sides(rows: DataFrame, own: str, other: str, letters: str, prefix: str) -> DataFrame:
+        shortest = F.ceil(F.col(own) / stretch - 1e-9).cast("int")
+        longest = F.floor(F.col(own) * stretch + 1e-9).cast("int")
+        lengths = rows.withColumn(other, F.explode(F.sequence(shortest, longest)))
+        needed = lengths.withColumn(
+            "needed", F.greatest(_needed(F.col(own), F.col(other), method, cutoff), F.lit(1))
+        ).withColumn("together", _together(F.col("needed")))
+        size = F.col(own) - F.col("needed") + F.col("together")
+        return (
+            needed.filter(F.col("needed") <= F.least(own, other))
+            .withColumn(prefix, F.slice(letters, F.lit(1), size))
+            .withColumn("letters", F.explode(_combinations(prefix, "together")))
+        )
+
+    typed = sides(
+        keys.filter(F.length("typed_key") > 0)
+        .withColumn("typed_len", F.length("typed_key"))
+        .withColumn("typed_letters", _letters("typed_key")),
+        "typed_len", "known_len", "typed_letters", "typed_prefix",
+    )
+    known = sides(
+        dimension.filter(F.length("norm_key") > 0)
+        .withColumn("known_len", F.length("norm_key"))
+        .withColumn("name_letters", _letters("norm_key")),
+        "known_len", "typed_len", "name_letters", "name_prefix",
+    ).drop("needed", "together")
+    return typed.join(known, ["typed_len", "known_len", "letters"])

@@ -1,16 +1,19 @@
 """Top-k, top-n per group, and ranks over whole columns without a one-task window.
 
-A rank over an unpartitioned window sends every row to one task. Here the rows are first counted
-per distinct value (combined on the map side, so a value held by a third of the rows costs one
-counter per task), and only those counts are put in order, in two levels:
+A rank over an unpartitioned window sends every row to one task. Here equal rows are first counted
+together, then the rows per distinct value (both combined on the map side, so a value held by a
+third of the rows costs one counter per task), and only those counts are put in order, in two
+levels:
 
-* values become whole numbers at their known number of digits, and ``value >> 20`` is the bucket;
-* a running count inside each bucket sees at most 2^20 distinct values;
-* a running total over the buckets gives each its offset; up to 2^40 steps between the smallest
-  and the largest value that is again at most 2^20 rows.
+* values become whole numbers of their smallest steps, and 2^22 steps are a bucket;
+* a running count inside each bucket sees at most 2^22 distinct values;
+* a running total over the buckets gives each its offset; up to 2^44 steps between the smallest
+  and the largest value that is again at most 2^22 rows. Beyond that range the answers stay right,
+  and this window grows by a row per bucket that has rows.
 
 ``rows below = bucket offset + running count`` then answers rank, descending rank and percent rank
-alike, and joins back on the value. No side is forced to be broadcast: the runtime size decides.
+alike, and joins back on the value: all columns at once, in long form, so that several columns cost
+one join. No side is forced to be broadcast: the runtime size decides.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKET_BITS = 20
-_NULL_STEP = -(1 << 62)
+BUCKET_STEPS = 1 << 22
+#: places of NULLs, infinities and NaN; all other values lie between
+_NULL, _LOW, _HIGH, _NAN = (f"cast({x} as decimal(38,0))" for x in ("-1e37", "-9e36", "9e36", "1e37"))
 
 
 def top_k(df: DataFrame, by: str, k: int | None, ties: Sequence[str], ascending=False) -> DataFrame:
@@ -54,26 +59,45 @@ def extremes(
     return top.unionByName(bottom).dropDuplicates()
 
 
-def _steps(value: str, digits: int) -> str:
-    """The value as a whole number of its smallest steps; NULL as a number below all others."""
-    return f"coalesce(cast(round(cast({value} as double) * {10**digits}) as bigint), {_NULL_STEP})"
+def _steps(df: DataFrame, column: str, digits: int) -> str:
+    """The value as a whole number of its smallest steps, as a decimal of up to 36 digits.
+
+    A value that has more than ``digits`` decimals ends the query: ranks must not merge values.
+    """
+    grid = f"cast(`{column}` as decimal(38,{digits}))"
+    steps = f"cast({grid} * {10**digits} as decimal(38,0))"
+    kind = df.schema[column].dataType
+    fault = f"raise_error('{column} has a value with more than {digits} decimals')"
+    if not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType):
+        fits = f"{grid} = `{column}`"
+        return f"case when `{column}` is null then {_NULL} when {fits} then {steps} else {fault} end"
+    value = f"cast(`{column}` as double)"
+    return (
+        f"case when `{column}` is null then {_NULL} when isnan({value}) then {_NAN}"
+        f" when {value} = double('-Infinity') then {_LOW}"
+        f" when {value} = double('Infinity') then {_HIGH}"
+        f" when cast({grid} as double) = {value} then {steps} else {fault} end"
+    )
+
+
+def _long_form(df: DataFrame, columns: Sequence[str], digits: int, *others: str) -> DataFrame:
+    """``others`` and, per column, its name as ``metric`` and its value as ``step``."""
+    steps = ", ".join(f"'{c}', {_steps(df, c, digits)}" for c in columns)
+    return df.selectExpr(*others, f"stack({len(columns)}, {steps}) as (metric, step)")
 
 
 def value_positions(
-    df: DataFrame, columns: Sequence[str], digits: int, within: Sequence[str] = ()
+    long: DataFrame, times: str = "1", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Per (``within``, column, distinct value): rows with it, rows below it, rows in all.
+    """Per (``within``, metric, step): rows with it, rows below it, rows in all.
 
-    ``digits`` is the number of decimals the columns are known to have. NULLs sort below
-    everything. A place (``within``, metric, step) is one struct column, ``at``.
+    ``times`` says how many rows a row of ``long`` stands for. NULLs sort below everything.
     """
     part = ", ".join([*within, "metric"])
-    steps = ", ".join(f"'{c}', {_steps(f'`{c}`', digits)}" for c in columns)
     counts = (
-        df.selectExpr(*within, f"stack({len(columns)}, {steps}) as (metric, step)")
-        .groupBy(*within, "metric", "step")
-        .agg(F.expr("count(1) as same"))
-        .selectExpr("*", f"shiftright(step, {BUCKET_BITS}) as bucket")
+        long.groupBy(*within, "metric", "step")
+        .agg(F.expr(f"sum({times}) as same"))
+        .selectExpr("*", f"floor(step / {BUCKET_STEPS}) as bucket")
     )
     so_far = "rows between unbounded preceding and 1 preceding"
     whole = "rows between unbounded preceding and unbounded following"
@@ -95,15 +119,6 @@ def value_positions(
     )
 
 
-def kept_rows(df: DataFrame) -> DataFrame:
-    """The rows, shuffled once, so that ranking reads them back where it would derive them anew.
-
-    Counting, lookups and the sampling for a final sort each need all the rows. Hashing by every
-    column keeps every column in every one of these uses: the exchange is the same and is reused.
-    """
-    return df.repartition(*df.columns)
-
-
 def _percent_rank(place: str) -> str:
     return f"case when {place}in_all = 1 then 0.0D else {place}below / ({place}in_all - 1) end"
 
@@ -127,37 +142,48 @@ def with_positions(
     """Add rank columns over the whole frame, or per ``within``.
 
     ``outputs`` maps a new column to (column, measure), with measure ``rank``, ``desc_rank`` or
-    ``percent_rank``.
+    ``percent_rank``. ``digits`` is the number of decimals the columns are known to have, values
+    with more end the query. The rows are shuffled once, as distinct rows with their number, and
+    both the counting and the lookup start from there.
     """
     columns = list(dict.fromkeys(column for column, _ in outputs.values()))
-    positions = value_positions(df, columns, digits, within)
-    # Every column looks up the very same table, by a key that holds the column's name. A plain
-    # condition on the name would be pushed below the counting and repeat it for every column.
-    result, measured = df, []
-    for i, column in enumerate(columns):
-        lookup = positions.selectExpr(
-            f"at as __at{i}", f"struct(same, below, in_all) as __place{i}"
-        )
-        place = [f"{w} as {w}" for w in within]
-        place += [f"'{column}' as metric", f"{_steps(f'`{column}`', digits)} as step"]
-        result = result.join(lookup, F.expr(f"struct({', '.join(place)}) = __at{i}"))
-    for name, (column, measure) in outputs.items():
-        place = f"__place{columns.index(column)}."
-        measured.append(f"{_measure(measure, place)} as {name}")
-    return result.selectExpr(*[f"`{c}`" for c in df.columns], *measured)
+    names = [f"`{c}`" for c in df.columns]
+    rows = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__times"))
+    counted = _long_form(rows, columns, digits, *within, "__times")
+    positions = value_positions(counted, "__times", within)
+    rows = _long_form(rows, columns, digits, f"struct({', '.join(names)}) as __row", "__times")
+    place = ", ".join([*[f"__row.`{w}` as {w}" for w in within], "metric", "step"])
+    found = rows.join(positions, F.expr(f"struct({place}) = at"))
+    if len(columns) > 1:
+        places = [
+            F.expr(f"max(if(metric = '{c}', struct(same, below, in_all), null)) as __place{i}")
+            for i, c in enumerate(columns)
+        ]
+        found = found.groupBy("__row", "__times").agg(*places)
+    else:
+        found = found.selectExpr("__row", "__times", "struct(same, below, in_all) as __place0")
+    measured = [
+        f"{_measure(measure, f'__place{columns.index(column)}.')} as {name}"
+        for name, (column, measure) in outputs.items()
+    ]
+    found = found.selectExpr(
+        *[f"__row.{c} as {c}" for c in names], *measured, "__times as __times"
+    )
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))
+    return found.withColumn("__copy", copies).drop("__times", "__copy")
 
 
 def percent_rank_floor(
     df: DataFrame, value: str, within: str, floor: float, digits: int = 0
 ) -> DataFrame:
-    """Smallest value per ``within`` whose percent rank reaches ``floor``.
+    """Smallest value per ``within`` whose percent rank reaches ``floor``, as a decimal.
 
     Percent rank grows with the value, so keeping the rows at or above this cut equals filtering
     on the rank, without attaching it to every row. One row per ``within``.
     """
-    positions = value_positions(df, [value], digits, [within])
+    positions = value_positions(_long_form(df, [value], digits, within), within=[within])
     return (
-        positions.filter(f"{_percent_rank('')} >= {floor} and at.step > {_NULL_STEP}")
+        positions.filter(f"{_percent_rank('')} >= {floor} and at.step > {_NULL}")
         .groupBy(F.expr(f"at.{within} as {within}"))
-        .agg(F.expr(f"min(at.step) / {10**digits}D as cut"))
+        .agg(F.expr(f"cast(min(at.step) / {10**digits} as decimal(38,{digits})) as cut"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from periodica.functions import rate, round_half_up, tier
 from periodica.layout import DETAIL, STATS, DetailLayout, StatLayout
 from periodica.operators.clean import clean_stats
-from periodica.operators.ranking import kept_rows, top_k, top_n_per_group, with_positions
+from periodica.operators.ranking import top_k, top_n_per_group, with_positions
 
 #: per-unit rates of a career or percentile profile: name -> column of totals
 PROFILE_RATES = {"PPG": "PTS", "APG": "AST", "RPG": "TRB", "SPG": "STL", "BPG": "BLK"}
@@ -54,17 +54,19 @@ def dual_threshold(
     return top_k(rows, names[0], k, [*layout.key, layout.group])
 
 
-def period_trend(stats: DataFrame, min_units: float = 1, layout: StatLayout = STATS) -> DataFrame:
+def period_trend(
+    stats: DataFrame, min_units: float = 1, layout: StatLayout = STATS, method: str = "window",
+) -> DataFrame:
     """Per period: mean rate, how many entities, mean units."""
-    rated = _with_rate(clean_stats(stats, layout), layout, 2).filter(
+    rated = _with_rate(clean_stats(stats, layout, method), layout, 2).filter(
         F.col(layout.units) >= min_units
     )
     return (
         rated.groupBy(layout.period)
         .agg(
-            round_half_up(F.avg("PPG"), 6).alias("avg_PPG"),
+            F.avg("PPG").alias("avg_PPG"),
             F.count(F.lit(1)).alias("player_count"),
-            round_half_up(F.avg(layout.units), 6).alias("avg_GP"),
+            F.avg(layout.units).alias("avg_GP"),
         )
         .orderBy(layout.period)
     )
@@ -77,9 +79,10 @@ def sustained(
     min_units: float = 1,
     limit: int | None = None,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Entities at or above a rate in enough periods, and their mean in those."""
-    reached = _with_rate(clean_stats(stats, layout), layout, 2).filter(
+    reached = _with_rate(clean_stats(stats, layout, method), layout, 2).filter(
         (F.col(layout.units) >= min_units) & (F.col("PPG") >= min_rate)
     )
     kept = (
@@ -100,11 +103,12 @@ def tier_distribution(
     period: int,
     min_units: float = 1,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Entities per tier of the unrounded rate, best tier first."""
     one = stats.filter(F.col(layout.period) == period)
     rated = (
-        clean_stats(one, layout)
+        clean_stats(one, layout, method)
         .filter(F.col(layout.units) >= min_units)
         .withColumn("PPG", rate(layout.total, layout.units))
         .withColumn("scoring_tier", tier("PPG", tiers, otherwise))
@@ -128,6 +132,7 @@ def top_debut(
     min_units: float = 20,
     from_period: int = 1953,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Best rate(s) among the entities in their first period, for each period.
 
@@ -137,7 +142,7 @@ def top_debut(
     career = Window.partitionBy(layout.entity)
     known = stats.filter(F.col(layout.entity).isNotNull())
     debut = clean_stats(
-        known.withColumn("__first", F.min(layout.period).over(career)), layout
+        known.withColumn("__first", F.min(layout.period).over(career)), layout, method
     ).filter((F.col(layout.period) == F.col("__first")) & (F.col(layout.units) >= min_units))
     rated = (
         _with_rate(debut, layout, 2)
@@ -154,11 +159,12 @@ def period_rates(
     min_units: float = 20,
     rates: Mapping[str, str] = PROFILE_RATES,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Rates of one period, rounded to one decimal."""
     one = stats.filter(F.col(layout.period) == period)
     return (
-        clean_stats(one, layout)
+        clean_stats(one, layout, method)
         .filter(F.col(layout.units) >= min_units)
         .select(
             layout.entity, layout.group, layout.units, *_rounded_rates(rates, layout.units, 1)
@@ -173,9 +179,10 @@ def percentile_profile(
     rates: Mapping[str, str] = PROFILE_RATES,
     names: Mapping[str, str] = PROFILE_NAMES,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Rates of one period and their percentiles among all rows, over the rounded rates."""
-    league = kept_rows(period_rates(stats, period, min_units, rates, layout))
+    league = period_rates(stats, period, min_units, rates, layout, method)
     percentiles = {f"{names[n]}_percentile": (n, "percent_rank") for n in rates}
     ranked = with_positions(league, percentiles, digits=1)
     for name in percentiles:
@@ -232,30 +239,34 @@ def period_delta(
     min_units: float = 20,
     k: int | None = 15,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Largest rise of the rounded rate between two periods, for entities with both.
 
-    Equals a self-join of two period slices, but reads the table once: the rates of the earlier
-    period (one per entity, unless names repeat) travel to the later rows inside the entity's
-    window, and one row comes out per pair, as from the join.
+    A join of two slices of one exchange: the rows of both periods are shuffled by entity once, and
+    either side of the join reads them from there. An entity with many rows in both periods is no
+    more than the join's own pairs.
     """
     earlier, later = f"PPG_{before}", f"PPG_{after}"
     both = stats.filter(F.col(layout.period).isin(before, after))
     rated = (
-        clean_stats(both, layout)
+        clean_stats(both, layout, method)
         .filter(F.col(layout.units) >= min_units)
-        .withColumn(later, round_half_up(rate(layout.total, layout.units), 1))
+        .filter(F.col(layout.entity).isNotNull())
+        .select(
+            layout.entity,
+            layout.period,
+            layout.group,
+            round_half_up(rate(layout.total, layout.units), 1).alias("__rate"),
+        )
     )
-    one_entity = Window.partitionBy(layout.entity)
-    is_before = F.col(layout.period) == before
-    held = F.collect_list(F.when(is_before, F.struct(F.col(later).alias("v")))).over(one_entity)
-    pairs = (
-        rated.filter(F.col(layout.entity).isNotNull())
-        .withColumn("__before", held)
-        .filter(F.col(layout.period) == after)
-        .withColumn("__one", F.explode("__before"))
-        .withColumn(earlier, F.col("__one.v"))
+    # the last shuffle is the same on both sides, with all columns, so it is made once
+    rated = rated.repartition(layout.entity)
+    first = rated.filter(F.col(layout.period) == before).select(
+        F.col(layout.entity).alias("__entity"), F.col("__rate").alias(earlier)
     )
+    second = rated.filter(F.col(layout.period) == after).withColumnRenamed("__rate", later)
+    pairs = second.join(first, F.col(layout.entity) == F.col("__entity"))
     changed = pairs.select(
         layout.entity,
         layout.group,
@@ -321,12 +332,13 @@ def career_progression(
     min_units: float = 1,
     rates: Mapping[str, str] = PROFILE_RATES,
     layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """Units and rates of every entity in every period, or only of the given ``names``."""
     if names is not None:
         stats = stats.join(names.select(layout.entity).distinct(), layout.entity, "left_semi")
     return (
-        clean_stats(stats, layout)
+        clean_stats(stats, layout, method)
         .filter(F.col(layout.units) >= min_units)
         .select(*layout.key, layout.units, *_rounded_rates(rates, layout.units, 1))
         .orderBy(*layout.key)

@@ -14,7 +14,7 @@ from periodica.functions import (
 )
 from periodica.layout import MONEY, STATS, MoneyLayout, StatLayout
 from periodica.operators.clean import clean_money, clean_stats
-from periodica.operators.ranking import kept_rows, percent_rank_floor, top_k, with_positions
+from periodica.operators.ranking import percent_rank_floor, top_k, with_positions
 
 #: terms of the production score
 SCORE_PLUS = ("PTS", "TRB", "AST", "STL", "BLK")
@@ -27,11 +27,15 @@ def production(layout: StatLayout = STATS) -> Column:
 
 
 def composite_score(
-    stats: DataFrame, min_units: float = 1, digits: int = 2, layout: StatLayout = STATS
+    stats: DataFrame,
+    min_units: float = 1,
+    digits: int = 2,
+    layout: StatLayout = STATS,
+    method: str = "window",
 ) -> DataFrame:
     """The production score of every entity and period."""
     return (
-        clean_stats(stats, layout)
+        clean_stats(stats, layout, method)
         .filter(F.col(layout.units) >= min_units)
         .select(
             *layout.key,
@@ -50,6 +54,8 @@ def _paid(
     period: int | None,
     layout: StatLayout,
     money_layout: MoneyLayout,
+    lenient: bool,
+    method: str,
 ) -> DataFrame:
     """Deduplicated rows next to their money, joined on entity and period.
 
@@ -58,10 +64,10 @@ def _paid(
     """
     if period is not None:
         stats = stats.filter(F.col(layout.period) == period)
-    rows = clean_stats(stats, layout)
+    rows = clean_stats(stats, layout, method)
     if min_units is not None:
         rows = rows.filter(F.col(layout.units) >= min_units)
-    amounts = clean_money(money, money_layout, period)
+    amounts = clean_money(money, money_layout, period, lenient)
     if min_amount is not None:
         amounts = amounts.filter(F.col("salary_int") > min_amount)
     same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
@@ -82,9 +88,11 @@ def value_per_cost(
     k: int | None = 15,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Rate per unit of money, of unrounded values."""
-    paid = _paid(stats, money, min_units, None, period, layout, money_layout)
+    paid = _paid(stats, money, min_units, None, period, layout, money_layout, lenient, method)
     per_unit = rate(layout.total, layout.units)
     rows = paid.select(
         layout.entity,
@@ -105,9 +113,11 @@ def cost_per_unit(
     min_amount: float = 1_000_000,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Money per rounded production score, ranked from both ends."""
-    paid = _paid(stats, money, min_units, min_amount, period, layout, money_layout)
+    paid = _paid(stats, money, min_units, min_amount, period, layout, money_layout, lenient, method)
     priced = (
         paid.withColumn("prod_per_game", round_half_up(production(layout), 2))
         .filter(F.col("prod_per_game") > 0)
@@ -121,7 +131,7 @@ def cost_per_unit(
         )
     )
     ranked = with_positions(
-        kept_rows(priced),
+        priced,
         {
             "underpaid_rank": ("cost_per_unit", "rank"),
             "overpaid_rank": ("cost_per_unit", "desc_rank"),
@@ -140,12 +150,14 @@ def share_premium(
     min_amount: float = 1_000_000,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Per primary label: its share of mean money over its share of mean production.
 
     The totals run over one row per label.
     """
-    paid = _paid(stats, money, min_units, min_amount, period, layout, money_layout)
+    paid = _paid(stats, money, min_units, min_amount, period, layout, money_layout, lenient, method)
     means = (
         paid.withColumn("__prod", production(layout))
         .filter(F.col("__prod") > 0)
@@ -178,12 +190,14 @@ def peak_index(
     min_amount: float = 1_000_000,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Mean production and money by age, each also as percent of its own peak.
 
     The age range applies before the peak is taken; the peak runs over one row per age.
     """
-    paid = _paid(stats, money, min_units, min_amount, None, layout, money_layout)
+    paid = _paid(stats, money, min_units, min_amount, None, layout, money_layout, lenient, method)
     means = (
         paid.withColumn("__prod", production(layout))
         .filter((F.col("__prod") > 0) & F.col(by).between(lowest, highest))
@@ -232,6 +246,8 @@ def idle_cost(
     whole_units: str | None = None,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Money paid for units missed: amount x (1 - units / season length).
 
@@ -239,7 +255,7 @@ def idle_cost(
     decimal.
     """
     short = F.col(layout.units) < season_length
-    paid = _paid(stats, money, None, min_amount, None, layout, money_layout).filter(short)
+    paid = _paid(stats, money, None, min_amount, None, layout, money_layout, lenient, method).filter(short)
     units = F.col(layout.units).cast("double")
     shown = (
         F.col(layout.units).cast("int").alias(whole_units)
@@ -265,37 +281,39 @@ def availability_trend(
     floor: float = 0.5,
     layout: StatLayout = STATS,
     money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
 ) -> DataFrame:
     """Per period: how many of the better paid there are and their mean availability.
 
     "Better paid" is a percent rank inside the period. It is found from value counts and applied
-    as one cut per period, so no period's rows have to be sorted in one task. The cut table has
-    one row per period (a calendar of years), which is what makes it safe to broadcast.
+    as one cut per period, so no period's rows have to be sorted in one task. The amounts are
+    shuffled by entity and period once, for the counts and for the join: outer joins and conditions
+    inside the aggregation leave both uses without a filter of their own, and every amount counts
+    for the ranks, also one without an entity.
     """
-    amounts = clean_money(money, money_layout)
+    amounts = clean_money(money, money_layout, lenient=lenient)
+    amounts = amounts.repartition(money_layout.entity, money_layout.period)
     cuts = percent_rank_floor(amounts, "salary_int", money_layout.period, floor).select(
         F.col(money_layout.period).alias("__period"), "cut"
     )
-    # Compared null-safe, with the known side free of NULLs: the answer is that of plain equality,
-    # but no null filter is pushed below the amounts. They stay one plan with those that are
-    # counted, and are made only once.
-    better_paid = amounts.join(
-        F.broadcast(cuts),
-        F.col(money_layout.period).eqNullSafe(F.col("__period"))
-        & F.coalesce(F.col("salary_int") >= F.col("cut"), F.lit(False)),
+    played = clean_stats(stats.dropna(subset=layout.key), layout, method).select(
+        *layout.key, (F.col(layout.units).cast("double") / float(season_length)).alias("__share")
+    )
+    same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
+        F.col(layout.period) == F.col(money_layout.period)
     )
-    known = stats.dropna(subset=layout.key)
-    same = F.col(layout.entity).eqNullSafe(F.col(money_layout.entity)) & (
-        F.col(layout.period).eqNullSafe(F.col(money_layout.period))
+    paid = amounts.join(played, same, "left").join(
+        cuts, F.col(money_layout.period) == F.col("__period"), "left"
     )
-    share = F.col(layout.units).cast("double") / F.lit(float(season_length))
+    counted = F.col(layout.period).isNotNull() & (F.col("salary_int") >= F.col("cut"))
     return (
-        clean_stats(known, layout)
-        .join(better_paid, same)
-        .groupBy(layout.period)
+        paid.groupBy(F.col(money_layout.period).alias("__when"))
         .agg(
-            F.count(F.lit(1)).alias("num_players"),
-            round_half_up(F.avg(share), 3).alias("avg_availability"),
+            F.count_if(counted).alias("num_players"),
+            round_half_up(F.avg(F.when(counted, F.col("__share"))), 3).alias("avg_availability"),
         )
+        .filter(F.col("num_players") > 0)
+        .withColumnRenamed("__when", layout.period)
         .orderBy(layout.period)
     )

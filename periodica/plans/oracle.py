@@ -218,6 +218,29 @@ def _resolved(source: str, columns: str) -> str:
         left join best b on b.raw = s.raw"""
 
 
+_ACCENTED = "translate(p_name, 'aeou', 'áèôü')"
+_CUSTOMER_SLIP = """case c_custkey % 3 when 0 then upper(c_name) when 1 then concat(c_name, '~')
+                    else 'zzzz' end"""
+
+
+def _best_edit(typed: str, known: str) -> str:
+    """The closest known name of each typed one, by edit distance, from 0.9 on."""
+    return f"""
+        select raw as typed, known as match, score from (
+            select raw, known, 1.0::double - levenshtein(lower(raw), lower(known))
+                       / greatest(length(raw), length(known))::double as score
+            from {typed}, {known})
+        where score >= 0.9
+        qualify row_number() over (partition by raw order by score desc, lower(known) desc) = 1"""
+
+
+_CAREER = f"""
+    select Player, Season, G, r(PTS / cast(G as double), 1) as PPG,
+           r(AST / cast(G as double), 1) as APG, r(TRB / cast(G as double), 1) as RPG,
+           r(STL / cast(G as double), 1) as SPG, r(BLK / cast(G as double), 1) as BPG
+    from kept where G >= {P.any_sample}"""
+
+
 def _profiled(tables: dict[str, tuple[str, str]], checks: dict[str, str] | None = None) -> str:
     return " union all ".join(
         f"select '{name}' as table_name, count(*) as n_rows, {len(columns.split(','))} as n_columns, "
@@ -310,12 +333,49 @@ ORACLES: dict[str, str] = {
         profile=_PROFILE,
     ),
     "percentile_lookup": _sql(
-        """select t.raw, profile.* from profile
-           join (select c_name, unnest([lower(c_name), upper(c_name)]) as raw from customer) t
-             on t.c_name = profile.Player""",
+        f"""select c_custkey, position, raw, match, r(score, 6) as score,
+                   case when match is null then 'unmatched' when score = 1.0 then 'exact'
+                        else 'suggested' end as status, profile.*
+           from (select * from entries left join best on best.typed = entries.raw)
+           left join (select * from profile qualify row_number() over (
+               partition by Player order by pts_percentile desc nulls last, Tm) = 1) profile
+             on profile.Player = match""",
         "kept",
         league=_RATES,
         profile=_PROFILE,
+        entries=f"""select c_custkey, 0 as position, {_CUSTOMER_SLIP} as raw from customer
+                    union all select c_custkey, 1, upper(c_name) from customer""",
+        best=_best_edit("(select distinct raw from entries)", "(select distinct Player as known from profile)"),
+    ),
+    "career_lookup": _sql(
+        f"""select career.* from ({_CAREER}) career
+            where Player in (select match from best)""",
+        "kept",
+        entries=f"select {_CUSTOMER_SLIP} as raw from customer where c_custkey % 10 = 1",
+        best=_best_edit("(select distinct raw from entries)", "(select distinct c_name as known from customer)"),
+    ),
+    "resolve_accented": _sql(
+        f"""select p_partkey, upper({_ACCENTED}) as raw, name as match, 1.0::double as score,
+                   'exact' as status
+            from part join (
+                select lower(strip_accents(name)) as norm_key, max(name) as name from (
+                    select case when p_partkey % 2 = 0 then {_ACCENTED} else p_name end as name
+                    from part) group by 1) on norm_key = lower(strip_accents(upper({_ACCENTED})))"""
+    ),
+    "resolve_ratio_slip": _sql(
+        """select p_partkey, concat(p_name, '~') as raw, p_name as match,
+                  r(2.0::double * length(p_name) / (2 * length(p_name) + 1), 6) as score,
+                  'suggested' as status
+           from part"""
+    ),
+    "bad_money": _sql(
+        """select count(*) as rows, count(*) filter (playerName like '%3' or playerName like '%5')
+                  as bad_rows,
+                  cast(sum(case when playerName like '%5' then 0 else
+                      cast(regexp_replace(salary, '[$,]', '', 'g') as bigint) end) as bigint)
+                      as lenient_total
+           from salaries""",
+        "salaries",
     ),
     "q08_topn_per_group": _sql(
         """select Tm, cast(total as bigint) as team_total_pts, cast(place as integer) as team_ranking, Player, PTS, G

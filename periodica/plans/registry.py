@@ -12,6 +12,7 @@ from periodica.functions import (
     entity_period_label,
     last_word,
     over_flag,
+    parse_money,
     primary_token,
     ratio_label,
     signed_label,
@@ -107,7 +108,8 @@ def q02_dual_threshold_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def q03_period_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return trends.period_trend(Star(spark, sf).player_stats(), P.any_sample)
+    rows = trends.period_trend(Star(spark, sf).player_stats(), P.any_sample)
+    return rows.withColumns({c: _shown(c) for c in ("avg_PPG", "avg_GP")})
 
 
 @_query
@@ -392,22 +394,80 @@ def resolve_fuzzy_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return _resolve_typos(spark, sf, "ratio")
 
 
+def _accented(column: str) -> Column:
+    """The name with accents that normalising strips again."""
+    return F.translate(column, "aeou", "áèôü")
+
+
+@_query
+def resolve_accented(spark: SparkSession, sf: str) -> DataFrame:
+    """Names typed with accents against names known with and without: they collide when
+    normalised, and the one that sorts last stands for them."""
+    part = Star(spark, sf).table("part")
+    spelled = F.when(F.col("p_partkey") % 2 == 0, _accented("p_name")).otherwise(F.col("p_name"))
+    known = names.name_dimension(part.select(spelled.alias("name")), "name")
+    raw = part.select("p_partkey", F.upper(_accented("p_name")).alias("raw"))
+    return names.resolve(raw, "raw", known, method="ratio")
+
+
+@_query
+def resolve_ratio_slip(spark: SparkSession, sf: str) -> DataFrame:
+    """One letter too many at the end: all letters of the name match in one block, so SQL can say
+    what the similarity is."""
+    star = Star(spark, sf)
+    raw = star.table("part").select("p_partkey", F.concat("p_name", F.lit("~")).alias("raw"))
+    return _scored(names.resolve(raw, "raw", _part_names(star), method="ratio"))
+
+
+def _customer_slip() -> Column:
+    """Customer names as typed: every third exactly, every third without its last digit but one
+    letter more, the others unknown."""
+    key = F.col("c_custkey") % 3
+    return (
+        F.when(key == 0, F.upper("c_name"))
+        .when(key == 1, F.concat("c_name", F.lit("~")))
+        .otherwise(F.lit("zzzz"))
+    )
+
+
 @_query
 def percentile_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles of all customers as typed: two spellings each, in one separated list."""
+    """Profiles of names as typed in a separated list, each with how it was resolved.
+
+    A name without a match, or whose match has no profile, stays with its status.
+    """
     star = Star(spark, sf)
-    profile = _profile(spark, sf)
-    league = trends.period_rates(star.player_stats(_season(P.season)), P.season, P.small_sample)
-    typed = F.concat(F.lower("c_name"), F.lit(" ,  "), F.upper("c_name"))
-    lists = star.table("customer").select(typed.alias("typed_list"))
-    entries = names.split_list(lists, "typed_list").select("raw")
-    # By falling rates, all of them: the names then come out of the very plan of the profile.
-    falling = F.struct(*[-F.col(rate) for rate in trends.PROFILE_RATES])
-    known = names.name_dimension(league, "Player", order=falling)
-    found = names.resolve(entries, "raw", known, method=None).filter(F.col("match").isNotNull())
-    return names.first_rows(profile, "Player", [F.desc("pts_percentile"), F.asc("Tm")]).join(
-        found.select("raw", "match"), F.col("Player") == F.col("match")
-    ).drop("match")
+    typed = F.concat(_customer_slip(), F.lit(" ,  "), F.upper("c_name"))
+    lists = star.table("customer").select("c_custkey", typed.alias("typed_list"))
+    entries = names.split_list(lists, "typed_list").select("c_custkey", "position", "raw")
+    profile = names.first_rows(
+        _profile(spark, sf), "Player", [F.desc("pts_percentile"), F.asc("Tm")]
+    )
+    known = names.name_dimension(profile, "Player")
+    found = _scored(names.resolve(entries, "raw", known, method="edit", cutoff=0.9))
+    return found.join(profile, F.col("match") == F.col("Player"), "left")
+
+
+@_query
+def career_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Careers of the customers that were typed."""
+    star = Star(spark, sf)
+    stats = star.player_stats()
+    raw = star.table("customer").filter("c_custkey % 10 = 1").select(_customer_slip().alias("raw"))
+    known = names.name_dimension(star.table("customer"), "c_name")
+    found = names.resolve(raw, "raw", known, method="edit", cutoff=0.9).where("match is not null")
+    return trends.career_progression(stats, found.select(F.col("match").alias("Player")))
+
+
+@_query
+def bad_money(spark: SparkSession, sf: str) -> DataFrame:
+    """Money text that is no amount, and what leading digits make of all of it."""
+    money = Star(spark, sf).salaries()
+    broken = F.when(F.col("playerName").endswith("3"), F.concat("salary", F.lit(".50")))
+    broken = broken.when(F.col("playerName").endswith("5"), F.lit("n/a")).otherwise(F.col("salary"))
+    money = money.withColumn("salary", broken)
+    lenient = F.sum(parse_money("salary", lenient=True)).alias("lenient_total")
+    return money.agg(*clean.bad_money_counts(P.money), lenient)
 
 
 def _scored(resolved: DataFrame) -> DataFrame:
@@ -423,7 +483,11 @@ def _shown(column: str) -> Column:
 
 @_query
 def table_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return load.profile(Star(spark, sf).logical())
+    """Profiles of the logical tables as plain SQL reads them, by the names the catalog lists."""
+    tables = Star(spark, sf).logical()
+    load.register_views({f"logical_{name}": df for name, df in tables.items()})
+    listed = [n for n in load.list_tables(spark) if n.startswith("logical_")]
+    return load.profile({n.removeprefix("logical_"): spark.sql(f"select * from {n}") for n in listed})
 
 
 @_query

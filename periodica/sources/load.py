@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Mapping
 from functools import reduce
@@ -97,12 +96,8 @@ def list_tables(spark: SparkSession) -> list[str]:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one the cluster shares between its machines.
 
-    A folder of this machine is used only where no shared one is set and Spark runs on this
-    machine alone.
+    That is ``spark.checkpoint.dir``, or where it is unset the session's warehouse, which tables
+    are written to anyway.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
