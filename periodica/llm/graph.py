@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         low = low.select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.where("a > b").distinct(), f"{name}-large")
+        # read twice below, from one exchange
+        large = large.where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(

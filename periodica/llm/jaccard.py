@@ -4,25 +4,24 @@ A document is its set of word n-grams, as 64-bit hashes. Two documents link when
 similarity reaches the threshold; linked documents form groups.
 
 1. Documents with equal sets are one node, so copies cost one row each and nothing more.
-2. All n-grams have one global order, rare ones first: n-grams that are frequent in some block of
-   documents are counted over all of them, the most frequent ``FREQUENT`` of these are ranked by
-   that count, and all others come before them, by hash. (Which n-grams are ranked only decides how
-   fast the join is, any order gives the same links.) Sets that link share an n-gram among the first
-   n - ceil(t n) + 1 of each. Only those are shuffled; what meets under an n-gram and is near enough
-   in size is linked to the first of them, a row per node, never a pair of each with each.
-3. The connected parts of that candidate graph hold all links. Each part's texts move once, and
-   its sets are stored in a trie, those n-grams first that most of its sets have. A set is compared
-   with all others by one descent: the overlap with a path is counted once for all sets below, and
-   a subtree is left as soon as what remains of the set and of the subtree's sets cannot reach the
-   threshold. Sets that are connected already need no comparison, so a part is done when at most one
-   of its groups has sets that have not descended; a group of near copies takes few descents.
-4. A part with more than ``room`` n-grams is not brought into one task. Passages that some documents
-   share can hold such a part together without any links, so its candidates are found once more, in
-   a better order: n-grams that only one of its sets has come first, and they match nothing. What is
-   still too large is many near copies. A few of its sets, its pivots, are compared with all others,
-   in as many tasks as its size asks for. All sets outside the largest group that results are then
-   compared with all in the same way, in blocks. So each pair is either compared or connected
-   through others, whatever the size of the part.
+2. All n-grams have one global order, and sets that link share one of the first n - ceil(t n) + 1
+   of each. First come the n-grams of a fixed third (by hash) that only one set has, found by one
+   exchange of that third; then all others by hash; last the ``FREQUENT`` most frequent ones, which
+   are counted in blocks and are left out of the exchange, so that none of its n-grams is hot.
+   (Which n-grams are thought frequent only decides how fast the join is.) A set with enough
+   n-grams of the first kind links with nothing, and most documents end here.
+3. The first n-grams of the others are shuffled. What meets under an n-gram and is near enough in
+   size is linked to the first of them, a row per node, never a pair of each with each. The
+   connected parts of that candidate graph hold all links.
+4. A part's sets are stored in a trie, those n-grams first that most of its sets have. A set is
+   compared with all others by one descent: the overlap with a path is counted once for all sets
+   below, and a subtree is left as soon as what remains of the set and of the subtree's sets cannot
+   reach the threshold. Sets that are connected already need no comparison, so a part is done when
+   at most one of its groups has sets that have not descended; near copies take few descents.
+5. A part with more than ``room`` n-grams is not brought into one task. A few of its sets, its
+   pivots, are compared with all others, in as many tasks as its size asks for. All sets outside the
+   largest group that results are then compared with all in the same way, in blocks. So each pair is
+   either compared or connected through others, whatever the size of the part.
 
 A document with fewer words than n has its whole sequence as its one n-gram. One without words, or
 a NULL, has none, and links with nothing. Ids may be NULL or repeat: NULL is no component's id
@@ -48,6 +47,9 @@ from periodica.llm.graph import components
 #: n-grams ranked by frequency, all that is broadcast
 FREQUENT = 1 << 18
 
+#: of so many n-grams one is looked at for being in one set only
+_THIN = 3
+
 _BLOCK_GRAMS = 1 << 22  # n-grams counted together in a task
 _SEEN = 4  # times in a block from which an n-gram is counted over all blocks
 _PIVOTS = 32
@@ -160,85 +162,89 @@ def _profiler(width: int, id_type: pa.DataType):
     return run
 
 
-def _prefixes(join: Join, order):
-    """Rows (gram, node, n) of the first n-grams of each set in the global order."""
+def _thinned(join: Join, order):
+    """Rows (gram, node) of the thinned n-grams without a rank, and one (node, node, their number)
+    per set; sets that a task has seen just before are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, rank = order.value
+        ranked, _ = order.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in runs([len(t or "") + 1 for t in texts]):
-                first, nodes, sizes, seen = [], [], [], set()
-                for grams in gram_sets(texts[a:b], join.width):
-                    n = len(grams)
-                    node = _node(grams)
-                    if n and node not in seen:
-                        seen.add(node)
-                        first.append(_rare(grams, n - join.needed(n) + 1, ranked, rank))
-                        nodes.append(node)
-                        sizes.append(n)
-                if first:
-                    counts = [len(f) for f in first]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(first).view(np.int64)),
-                            pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                            pa.array(np.repeat(np.array(sizes, np.int64), counts)),
-                        ],
-                        ["gram", "node", "n"],
-                    )
-
-    return run
-
-
-def _plain_grams(join: Join, order):
-    """Rows (gram, node) of all n-grams that have no rank, for each set once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, _ = order.value
-        for batch in batches:
-            texts, nodes = batch.column("text").to_pylist(), batch.column("node").to_numpy()
-            for a, b in runs([len(t) + 1 for t in texts]):
-                sets = [s[~_among(s, ranked)[0]] for s in gram_sets(texts[a:b], join.width)]
+                sets = {_node(s): s for s in gram_sets(texts[a:b], join.width) if len(s)}
+                if not sets:
+                    continue
+                nodes = np.fromiter(sets, np.int64, len(sets))
+                thin = [s[_alone_maybe(s, ranked)] for s in sets.values()]
+                counts = np.fromiter(map(len, thin), np.int64, len(thin))
+                grams = np.concatenate(thin).view(np.int64)
+                none = np.zeros(len(grams), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(sets).view(np.int64)),
-                        pa.array(np.repeat(nodes[a:b], [len(s) for s in sets])),
+                        pa.array(np.concatenate([grams, nodes])),
+                        pa.array(np.concatenate([np.repeat(nodes, counts), nodes])),
+                        pa.array(
+                            np.concatenate([none, counts]),
+                            mask=np.concatenate([none == 0, counts < 0]),
+                        ),
                     ],
-                    ["gram", "node"],
+                    ["gram", "node", "thin"],
                 )
 
     return run
 
 
+def _alone_maybe(grams: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which n-grams are thinned ones without a rank."""
+    return (grams % np.uint64(_THIN) == 0) & ~_among(grams, ranked)[0]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of gram those whose gram comes up more than once."""
+    """Of rows in order of gram and node those whose gram several nodes have; and all counts."""
     held, told = None, False
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        grams, nodes = batch.column("gram").to_numpy(), batch.column("node").to_numpy()
+        counted = batch.column("thin").is_valid().to_numpy(zero_copy_only=False)
+        if counted.any():
+            counts = batch.filter(pa.array(counted))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(counts.num_rows, pa.int64()), counts.column("node"), counts.column("thin")],
+                ["gram", "node", "thin"],
+            )
+        grams = batch.column("gram").to_numpy()[~counted]
+        nodes = batch.column("node").to_numpy()[~counted]
         if held is not None:
             grams, nodes = np.append(held[0], grams), np.append(held[1], nodes)
+        if not len(grams):
+            continue
+        # copies of a document come once from each task
+        fresh = np.ones(len(grams), bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
+        grams, nodes = grams[fresh], nodes[fresh]
         same = grams[1:] == grams[:-1]
         keep = np.zeros(len(grams), bool)
         keep[1:] |= same
         keep[:-1] |= same
+        last_told = bool(same[-1]) if len(same) else told
         if held is not None and told:
             keep[0] = False  # given out with the batch before
-        told = len(same) > 0 and bool(same[-1])
-        held = grams[-1], nodes[-1]
-        if not told:
+        if not last_told:
             keep[-1] = False  # the next batch tells
+        held, told = (grams[-1], nodes[-1]), last_told
         yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[keep]), pa.array(nodes[keep])], ["gram", "node"]
+            [
+                pa.array(grams[keep]),
+                pa.array(nodes[keep]),
+                pa.nulls(int(keep.sum()), pa.int64()),
+            ],
+            ["gram", "node", "thin"],
         )
 
 
-def _better_prefixes(join: Join, order):
-    """Rows (gram, node, n) as of ``_prefixes``, where n-grams of one set only come first.
+def _prefixes(join: Join, order):
+    """Rows (gram, node, n) of the first n-grams of each set in the global order.
 
-    Those match nothing, so they count for the length of the prefix but are not given out.
+    Those of one set only come first; they match nothing, so they count for the length of the prefix
+    but are not given out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +254,14 @@ def _better_prefixes(join: Join, order):
             shared = batch.column("shared").to_pylist()
             for a, b in runs([len(t) + 1 for t in texts]):
                 first, sizes = [], []
-                for grams, others in zip(gram_sets(texts[a:b], join.width), shared[a:b], strict=True):
+                for grams, others in zip(
+                    gram_sets(texts[a:b], join.width), shared[a:b], strict=True
+                ):
                     n = len(grams)
-                    common = _among(grams, np.sort(np.array(others or [], np.int64).view(np.uint64)))[0]
-                    common |= _among(grams, ranked)[0]
-                    room = n - join.needed(n) + 1 - int((~common).sum())
-                    first.append(_rare(grams[common], max(room, 0), ranked, rank))
+                    known = np.sort(np.array(others, np.int64).view(np.uint64))
+                    alone = _alone_maybe(grams, ranked) & ~_among(grams, known)[0]
+                    room = n - join.needed(n) + 1 - int(alone.sum())
+                    first.append(_rare(grams[~alone], max(room, 0), ranked, rank))
                     sizes.append(n)
                 counts = [len(f) for f in first]
                 yield pa.RecordBatch.from_arrays(
@@ -528,24 +536,6 @@ def _verified(found: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     return small.groupBy("part").applyInArrow(_verifier(join), _EDGES), large
 
 
-def _refined(left: DataFrame, join: Join, order) -> DataFrame:
-    """``part`` of the nodes of large parts, from prefixes in the better order.
-
-    The n-grams that are exchanged have no rank, so none of them is frequent.
-    """
-    shared = (
-        left.mapInArrow(_plain_grams(join, order), "gram long, node long")
-        .repartition("gram")
-        .sortWithinPartitions("gram")
-        .mapInArrow(_shared, "gram long, node long")
-    )
-    # at most the n-grams of one set
-    per_node = shared.groupBy("node").agg(F.collect_list("gram").alias("shared"))
-    first = left.join(per_node, "node", "left").select("node", "text", "shared")
-    first = first.mapInArrow(_better_prefixes(join, order), "gram long, node long, n long")
-    return _parts(first, join, "jaccard-narrow-parts")
-
-
 def _large(parts: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     """Links of the parts that are too large for one task, from rows (part, node, n, text)."""
     parts = parts.join(
@@ -630,34 +620,44 @@ def _solved(
         "jaccard-profile",
     )
     order = spark.sparkContext.broadcast(_ranking(profile))
-    first = rows.select("text").mapInArrow(_prefixes(join, order), "gram long, node long, n long")
-    parts = _parts(first, join, "jaccard-parts")
+    thin = (
+        rows.select("text")
+        .mapInArrow(_thinned(join, order), "gram long, node long, thin long")
+        .repartition("gram")
+        .sortWithinPartitions("gram", "node")
+        .mapInArrow(_shared, "gram long, node long, thin long")
+    )
+    # a node's shared n-grams are no more than its set
+    per_node = thin.groupBy("node").agg(
+        F.max("thin").alias("thin"), F.collect_set("gram").alias("shared")
+    )
     # one text for each node
     texts = profile.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("_one"), F.max("n").alias("n")
     )
+    needed = F.ceil(F.col("n") * join.percent / 100)
+    open_ = F.col("thin") - F.size("shared") < F.col("n") - needed + 1
+    chosen = per_node.join(texts, "node").where(open_)
     chosen = stored(
-        parts.join(texts, "node").select(
-            "part", "node", "n", F.col("_one.id").alias("_id"), F.col("_one.text_hash").alias("_text")
+        chosen.select(
+            "node", "n", "shared", F.col("_one.id").alias("_id"), F.col("_one.text_hash").alias("_text")
         ),
         "jaccard-chosen",
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text"))
     # the texts move here, those of repeated rows once
-    found = rows.join(chosen, same).groupBy("part", "node", "n").agg(F.first("text").alias("text"))
+    found = rows.join(chosen, same).groupBy("node", "n").agg(
+        F.first("text").alias("text"), F.first("shared").alias("shared")
+    )
     found = stored(found, "jaccard-texts")
+    first = found.mapInArrow(_prefixes(join, order), "gram long, node long, n long")
+    found = found.drop("shared").join(_parts(first, join, "jaccard-parts"), "node")
+    found = stored(found, "jaccard-in-parts")
     links, large = _verified(found, join)
     if not large.isEmpty():
-        left = stored(found.join(large, "part", "left_semi").drop("part"), "jaccard-wide")
-        narrow = _refined(left, join, order)
-        narrow = stored(left.join(narrow, "node"), "jaccard-narrow")
-        more, large = _verified(narrow, join)
-        links = links.unionByName(more)
-        if not large.isEmpty():
-            sizes = stored(large, "jaccard-large-sizes")
-            links = links.unionByName(
-                _large(narrow.join(sizes.select("part"), "part", "left_semi"), sizes, join)
-            )
+        links = links.unionByName(
+            _large(found.join(large.select("part"), "part", "left_semi"), large, join)
+        )
     linked = components(stored(links, "jaccard-links"), "jaccard-groups")
     return profile, linked
 
