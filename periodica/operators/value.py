@@ -105,7 +105,7 @@ def value_per_cost(
     return top_k(rows, "ppg_per_million", k, [layout.entity, layout.group, "salary_millions"])
 
 
-def cost_per_unit(
+def unit_costs(
     stats: DataFrame,
     money: DataFrame,
     period: int = 2021,
@@ -116,9 +116,11 @@ def cost_per_unit(
     lenient: bool = False,
     method: str = "window",
 ) -> DataFrame:
-    """Money per rounded production score, ranked from both ends."""
-    paid = _paid(stats, money, min_units, min_amount, period, layout, money_layout, lenient, method)
-    priced = (
+    """Money per rounded production score."""
+    paid = _paid(
+        stats, money, min_units, min_amount, period, layout, money_layout, lenient, method
+    )
+    return (
         paid.withColumn("prod_per_game", round_half_up(production(layout), 2))
         .filter(F.col("prod_per_game") > 0)
         .select(
@@ -130,6 +132,23 @@ def cost_per_unit(
             round_half_up(F.col("__money") / F.col("prod_per_game"), 2).alias("cost_per_unit"),
         )
     )
+
+
+def cost_per_unit(
+    stats: DataFrame,
+    money: DataFrame,
+    period: int = 2021,
+    min_units: float = 41,
+    min_amount: float = 1_000_000,
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """Money per rounded production score, ranked from both ends."""
+    priced = unit_costs(
+        stats, money, period, min_units, min_amount, layout, money_layout, lenient, method
+    )
     ranked = with_positions(
         priced,
         {
