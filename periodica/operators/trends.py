@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions import rate, round_half_up, tier
@@ -243,10 +243,12 @@ def period_delta(
 ) -> DataFrame:
     """Largest rise of the rounded rate between two periods, for entities with both.
 
-    A join of two slices of one exchange: the rows of both periods are shuffled by entity once, and
-    either side of the join reads them from there. An entity with many rows in both periods is no
-    more than the join's own pairs.
+    A join of one exchange with itself: both sides read the rows of both periods, and a shift of the
+    period in the join condition, not a filter that would be pushed below the exchange, tells which
+    rows pair. An entity with many rows in both periods is no more than the join's own pairs.
     """
+    if before == after:
+        raise ValueError("two different periods are needed")
     earlier, later = f"PPG_{before}", f"PPG_{after}"
     both = stats.filter(F.col(layout.period).isin(before, after))
     rated = (
@@ -260,13 +262,17 @@ def period_delta(
             round_half_up(rate(layout.total, layout.units), 1).alias("__rate"),
         )
     )
-    # the last shuffle is the same on both sides, with all columns, so it is made once
-    rated = rated.repartition(layout.entity)
-    first = rated.filter(F.col(layout.period) == before).select(
-        F.col(layout.entity).alias("__entity"), F.col("__rate").alias(earlier)
-    )
-    second = rated.filter(F.col(layout.period) == after).withColumnRenamed("__rate", later)
-    pairs = second.join(first, F.col(layout.entity) == F.col("__entity"))
+    # hashing by all columns keeps all of them, and so the exchange is the same, for both uses
+    rated = rated.repartition(*rated.columns)
+
+    def key(period: Column) -> Column:
+        """One value, so that nothing about the period alone is inferred and pushed down."""
+        return F.struct(F.col(layout.entity).alias("entity"), period.alias("period"))
+
+    when = F.col(layout.period)
+    first = rated.select(key(when + (after - before)).alias("__first"), F.col("__rate").alias(earlier))
+    second = rated.withColumnRenamed("__rate", later).withColumn("__second", key(when + 0))
+    pairs = second.join(first, F.col("__second") == F.col("__first"))
     changed = pairs.select(
         layout.entity,
         layout.group,
