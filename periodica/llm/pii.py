@@ -4,8 +4,8 @@ Patterns give the base spans: email and IP addresses, card numbers, phone number
 labels all tokens that have a digit or an at sign (no other token can be one of these kinds): each
 has potentials from its shape and its neighbours' shapes, tokens next to each other share a
 potential of their labels, and so do, over any distance, tokens of one document that repeat each
-other or are similar: the same digits in other writing, the end of the digits of a base span, the
-same address but for case and punctuation. Base spans are clamped. Loopy message passing carries
+other or are similar: the same digits in other writing, the end of the digits of a base span, also
+in groups between blanks and after zeros, the same address but for case and punctuation. Base spans are clamped. Loopy message passing carries
 their labels along these links, so that a number found once is found again where it is written
 differently. Tokens become spans if the field is sure and a link, direct or from the token beside,
 leads to a base span of that kind; a document without base spans so stays clean.
@@ -166,6 +166,11 @@ def _key(token: str) -> str | None:
     return digits if len(digits) >= SAME_DIGITS else None
 
 
+_GROUP = re.compile(r"[^\w\s@]*[0-9](?:[^\w\s@]*[0-9])*[^\w\s@]*")
+_GROUP_CHARS = 64  # a group is no longer
+_ZEROS = 3  # digits that a repeat may have in front beyond those of the base span
+
+
 @dataclass
 class _Graph:
     """Tokens of one document, their labels from base spans (NONE elsewhere), and the links."""
@@ -176,6 +181,7 @@ class _Graph:
     beside: list[tuple[int, int]]
     alike: list[tuple[int, int]]
     known: dict[str, set[int]]  # keys that base spans have, with their kinds
+    repeats: dict[int, tuple[int, set[int]]]  # tokens of repeats: first token, kinds
 
 
 def _graph(text: str, base: list[tuple[int, int, int]]) -> _Graph:
@@ -198,6 +204,7 @@ def _graph(text: str, base: list[tuple[int, int, int]]) -> _Graph:
     # a key's tokens are linked one to the next; ends of a base span's digits link to its last token
     last: dict[str, int] = {}
     known: dict[str, set[int]] = {}
+    ends: dict[str, tuple[int, set[int]]] = {}  # of numbers: last token, kinds
     alike = []
     for k, hit in enumerate(own):
         if hit is None:
@@ -209,12 +216,58 @@ def _graph(text: str, base: list[tuple[int, int, int]]) -> _Graph:
             for n in range(SAME_DIGITS, len(digits) + 1):
                 known.setdefault(digits[-n:], set()).add(label[k])
                 last.setdefault(digits[-n:], k)
+                if label[k] != KINDS.index("ip"):
+                    ends.setdefault(digits[-n:], (k, set()))[1].add(label[k])
+    repeats: dict[int, tuple[int, set[int]]] = {}
+    for first, behind, (base_token, kinds) in _repeats(text, spans, label, set(beside), ends):
+        for k in range(first, behind):
+            repeats[k] = first, kinds
+            if keys[k] not in known:
+                alike.append((base_token, k))
     for k, key in enumerate(keys):
         if key:
             if key in last and last[key] != k:
                 alike.append((last[key], k))
             last[key] = k
-    return _Graph(spans, label, keys, beside, alike, known)
+    return _Graph(spans, label, keys, beside, alike, known, repeats)
+
+
+def _repeats(
+    text: str,
+    spans: list[tuple[int, int]],
+    label: list[int],
+    beside: set[tuple[int, int]],
+    ends: dict[str, tuple[int, set[int]]],
+) -> Iterator[tuple[int, int, tuple[int, set[int]]]]:
+    """Runs of neighbouring groups of digits that make up the end of a known number, as they stand
+    or without zeros in front: first token, the one behind the last, and what is known.
+
+    The longest from each token on counts. Every token has a digit, so as many are looked at as a
+    number has digits.
+    """
+    if not ends:
+        return
+    most = max(map(len, ends)) + _ZEROS
+    groups = [
+        _NO_DIGIT.sub("", text[a:b])
+        if kind == NONE and b - a <= _GROUP_CHARS and _GROUP.fullmatch(text, a, b)
+        else ""
+        for (a, b), kind in zip(spans, label, strict=True)
+    ]
+    first = 0
+    while first < len(groups):
+        joined, at, found = groups[first], first + 1, None
+        while joined and len(joined) <= most:
+            hit = ends.get(joined) or ends.get(joined.lstrip("0"))
+            if hit:
+                found = first, at, hit
+            if at == len(groups) or not groups[at] or (at - 1, at) not in beside:
+                break
+            joined += groups[at]
+            at += 1
+        if found:
+            yield found
+        first = found[1] if found else first + 1
 
 
 # --- potentials and messages ------------------------------------------------------------------
@@ -322,7 +375,11 @@ def added_spans(
     belief = beliefs(local, links, potentials)
     best = belief.argmax(axis=1)
     sure = (belief.max(axis=1) >= _SURE) & (best != NONE) & ~fixed
-    linked = [bool(k) and int(b) in graph.known.get(k, ()) for k, b in zip(graph.keys, best, strict=True)]
+    linked = [
+        bool(key) and int(b) in graph.known.get(key, ())
+        or k in graph.repeats and int(b) in graph.repeats[k][1]
+        for k, (key, b) in enumerate(zip(graph.keys, best, strict=True))
+    ]
     found = sure & np.array(linked, bool)
     neighbours = set(graph.beside)
     for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
@@ -341,6 +398,8 @@ def added_spans(
             a += 1
         kind = int(best[k])
         joined = out and end_token == k - 1 and (k - 1, k) in neighbours and out[-1][2] == kind
+        if k in graph.repeats and k - 1 in graph.repeats:
+            joined = joined and graph.repeats[k][0] == graph.repeats[k - 1][0]
         if joined:
             out[-1] = (out[-1][0], b, kind)
         elif a < b:

@@ -65,6 +65,29 @@ def test_added_spans(field, text, added):
     assert [text[a:b] for a, b, _, base in found if not base] == added
 
 
+@pytest.mark.parametrize(
+    ("text", "added"),
+    [
+        ("Call +1 (980) 555-6268 or 980 555 6268 now", ["980 555 6268"]),
+        ("Call +44 20 7946 0958, here 020 7946 0958.", ["020 7946 0958"]),
+        ("020 7946 0958 is short for +44 20 7946 0958", ["020 7946 0958"]),
+        ("Call +49 30 1234567890 or 0049301234567890", ["0049301234567890"]),
+        ("Call +49 30 1234567890 or 00 49 30 1234567890!", ["00 49 30 1234567890"]),
+        ("Call +1 (980) 555-6268 or 12 980 555 6268 34", ["980 555 6268"]),
+        ("Or +1 (980) 555-6268: 980 555 6268 980 555 6268", ["980 555 6268"] * 2),
+        ("Card 4111 1111 1111 1111, or 4111/1111 1111 1111", ["4111/1111 1111 1111"]),
+        ("Call +1 (980) 555-6268 or 980 555 6269, of 980 and 555 and 6268", []),
+    ],
+)
+def test_numbers_written_again_in_groups(field, text, added):
+    assert [text[a:b] for a, b, _, base in pii.spans(text, field) if not base] == added
+
+
+def test_repeats_take_linear_time(field):
+    text = "+1 (980) 555-6268 or " + "1 " * 100_000 + "x " + "0" * 300_000 + " 980 555 6268"
+    assert [text[a:b] for a, b, _, base in pii.spans(text, field) if not base] == ["980 555 6268"]
+
+
 def test_clean_documents_stay_clean(field, texts):
     for text in texts.values():
         if text and not plain(text):
