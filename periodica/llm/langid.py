@@ -2,15 +2,16 @@
 
 The letters of a text, with a mark at the edges of words, give overlapping trigrams. For every
 language the trigrams that stand out in it are learnt, and all of them go into one bit-sliced Bloom
-filter: each of its places holds a word with one bit per language. Hashing a trigram to a few places
+filter: each of its places holds words with one bit per language. Hashing a trigram to a few places
 and combining them with AND tells, for all languages at once, which ones contain it. The bits are
 counted per language over the whole text, and each count is corrected for the false positives that
 the fill of that language's slice predicts. The largest corrected count decides; the score is its
 share of all corrected counts.
 
 Learning is bounded: ``sample`` documents of each language, chosen by a hash of id and text, with
-all of their text, and ``kept`` trigrams per language. So the filter, which every task gets, has a fixed
-size: 2^``digits`` places of one byte per eight languages (at most 64 languages).
+all of their text, and ``kept`` trigrams per language. So the filter, which every task gets, has a size
+that the number of languages fixes: 2^``digits`` places of one byte per eight languages, from 65
+languages on of eight bytes for every 64.
 
 ``und`` with score 0 is the answer for a NULL text, one without a letter, or when nothing was
 learnt. Of languages equal in count the first by name wins. Ids may be NULL or repeat, each row is
@@ -31,6 +32,9 @@ from periodica.llm.common import PIECE, mixed, runs, sampled
 
 UNKNOWN = "und"
 
+#: languages in one word of a place
+WORD = 64
+
 
 @dataclass(frozen=True)
 class Learning:
@@ -44,16 +48,16 @@ class Learning:
 
 @dataclass(frozen=True)
 class Filter:
-    """``places`` has a mask of languages per place; ``false`` the false positive rate of each."""
+    """``places`` has a mask of languages per word and place; ``false`` the false positive rate of each."""
 
     languages: tuple[str, ...]
     places: np.ndarray
     false: np.ndarray
     probes: int
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """Languages that contain each n-gram, as bits."""
-        return _combined(self.places, grams, self.probes)
+    def masks(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """Which of the 64 languages of a word contain each n-gram, as bits."""
+        return _combined(self.places[word], grams, self.probes)
 
 
 _letters: list[np.ndarray] = []
@@ -170,29 +174,28 @@ def learn(
     )
     by_share = Window.partitionBy("lang").orderBy(F.desc("share"), "gram")
     best = counts.withColumn("_n", F.row_number().over(by_share)).where(F.col("_n") <= how.kept)
-    # kept trigrams for each of at most 64 languages
+    # kept trigrams for each language
     table = best.select("lang", "gram").toArrow()
     return _filter(table, how)
 
 
 def _filter(table: pa.Table, how: Learning) -> Filter:
-    langs = np.array(table.column("lang").to_pylist(), object)
-    names = tuple(sorted(set(langs)))
-    if len(names) > 64:
-        raise ValueError("a mask holds at most 64 languages")
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if k(0).itemsize * 8 >= len(names))
-    places = np.zeros(1 << how.digits, kind)
-    grams = table.column("gram").to_numpy().view(np.uint64)
+    names, lang = np.unique(np.array(table.column("lang").to_pylist(), object), return_inverse=True)
+    bits = min(len(names), WORD)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if k(0).itemsize * 8 >= bits)
+    places = np.zeros((-(-len(names) // WORD), 1 << how.digits), kind)
+    grams = table.column("gram").to_numpy().view(np.uint64)[np.argsort(lang, kind="stable")]
+    ends = np.cumsum(np.bincount(lang, minlength=len(names)))
     false = np.zeros(len(names))
-    low, digits = np.uint64(len(places) - 1), np.uint64(how.digits)
-    for bit, name in enumerate(names):
-        hashed = mixed(grams[langs == name])
-        one = kind(1 << bit)
+    low, digits = np.uint64((1 << how.digits) - 1), np.uint64(how.digits)
+    for n, mine in enumerate(np.split(grams, ends[:-1]) if len(names) else []):
+        word, one = places[n // WORD], kind(1 << n % WORD)
+        hashed = mixed(mine)
         for _ in range(how.probes):
-            places[hashed & low] |= one
+            word[hashed & low] |= one
             hashed >>= digits
-        false[bit] = np.mean(places & one != 0) ** how.probes
-    return Filter(names, places, false, how.probes)
+        false[n] = np.mean(word & one != 0) ** how.probes
+    return Filter(tuple(names.tolist()), places, false, how.probes)
 
 
 # --- deciding ---------------------------------------------------------------------------------
@@ -204,26 +207,28 @@ def corrected(hits: np.ndarray, grams: np.ndarray, false: np.ndarray) -> np.ndar
 
 
 def predict_texts(texts: list[str | None], known: Filter) -> tuple[list[str], np.ndarray]:
-    n, languages = len(texts), len(known.languages)
-    hits = np.zeros((n, languages))
-    grams = np.zeros(n)
-    letters = np.zeros(n, np.int64)
+    size, languages = len(texts), len(known.languages)
+    hits = np.zeros((size, languages))
+    grams = np.zeros(size)
+    letters = np.zeros(size, np.int64)
     one = known.places.dtype.type(1)
     for parts, row in _pieces(texts):
         found, (first, last), here = trigrams(parts)
         np.add.at(letters, row, here)
         np.add.at(grams, row, last - first)
-        masks = known.masks(found)
-        total = np.zeros(len(masks) + 1, np.int32)
-        for bit in range(languages):
-            np.cumsum((masks >> known.places.dtype.type(bit)) & one, dtype=np.int32, out=total[1:])
-            np.add.at(hits[:, bit], row, total[last] - total[first])
+        total = np.zeros(len(found) + 1, np.int32)
+        for n in range(languages):
+            if n % WORD == 0:
+                masks = known.masks(found, n // WORD)
+            bit = known.places.dtype.type(n % WORD)
+            np.cumsum((masks >> bit) & one, dtype=np.int32, out=total[1:])
+            np.add.at(hits[:, n], row, total[last] - total[first])
     if not languages:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * size, np.zeros(size)
     counts = corrected(hits, grams, known.false)
     best = counts.argmax(axis=1)
     total = counts.sum(axis=1)
-    score = np.divide(counts[np.arange(n), best], total, out=np.zeros(n), where=total > 0)
+    score = np.divide(counts[np.arange(size), best], total, out=np.zeros(size), where=total > 0)
     names = [known.languages[b] if k else UNKNOWN for b, k in zip(best, letters, strict=True)]
     return names, np.where(letters > 0, score, 0.0)
 

@@ -34,6 +34,20 @@ def test_filter_holds_every_learnt_trigram():
         assert np.mean(others >> bit & 1) == pytest.approx(known.false[bit], rel=0.2)
 
 
+@pytest.mark.parametrize("languages", [1, 64, 65, 130])
+def test_any_number_of_languages(languages):
+    import pyarrow as pa
+
+    texts = [" ".join(chr(0x4E00 + 7 * n + i) * 2 for i in range(7)) for n in range(languages)]
+    names = [f"l{n:03}" for n in range(languages)]
+    rows = [(name, int(g)) for name, t in zip(names, texts) for g in langid.trigrams([t])[0]]
+    langs, grams = zip(*reversed(rows))
+    table = pa.table({"lang": langs, "gram": pa.array(np.array(grams, np.uint64).view(np.int64))})
+    known = langid._filter(table, langid.Learning())
+    assert known.languages == tuple(names)
+    assert langid.predict_texts(texts, known)[0] == names
+
+
 def test_correction_removes_what_chance_explains():
     counts = langid.corrected(np.array([[60.0, 10.0]]), np.array([100.0]), np.array([0.0, 0.1]))
     assert counts.tolist() == [[60.0, 0.0]]
