@@ -26,7 +26,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines the field labels good; learnt from labels outside the held-out rows."""
+    """Documents whose lines the field labels good; learnt from labels outside the held-out rows.
+
+    Without any such label nothing is judged, and all documents stay.
+    """
     field = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
     return quality.keep(docs, field)
 

@@ -397,7 +397,9 @@ def score(
 def keep(
     docs: DataFrame, field: Field | None, cut: float = CUT, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``cut``."""
+    """The rows of ``docs`` with a score of at least ``cut``; all if nothing was learnt."""
+    if field is None:
+        return docs
     name = f"_scored_{uuid.uuid4().hex}"
     rows = docs.select("*", F.col(text_col).cast("string").alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(field)

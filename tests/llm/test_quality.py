@@ -99,3 +99,11 @@ def test_without_labels_or_rows(make_docs, labels, field):
     assert quality.score(docs, none).first()["score"] == 0.5
     assert quality.score(make_docs([]), field).collect() == []
     assert quality.keep(make_docs([]), field).collect() == []
+
+
+def test_all_rows_stay_if_nothing_was_learnt(spark, make_docs):
+    docs = make_docs([(1, "some text"), (1, "some text"), (2, None), (None, "")])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    field = quality.learn(docs, labels)
+    assert field is None
+    assert sorted(map(str, quality.keep(docs, field).collect())) == sorted(map(str, docs.collect()))
