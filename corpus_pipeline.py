@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over the documents of a folder, each written and read again.
 
 Documents of low quality go, of equal texts one stays, of each group of near copies one stays,
-sources are mixed to target weights, and the mix is encoded. Every stage works on all that the one
+sources are mixed to target weights, and the mix is encoded and decoded again. Every stage works on all that the one
 before it kept; all but the last return the columns of the documents. NULL texts count as empty,
 further columns pass through, and an empty table stays empty, see the operators.
 """
@@ -50,10 +50,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row its id, the number of its tokens and their ids."""
+    """Per row its id, the number of its tokens, their ids and a digest of the decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # ids repeat after the mix, so each row goes through decoding whole
+    rows = encoded.select(F.struct("doc_id", "ids").alias("row"), "ids")
+    return bpe.decode(rows, ranks, "row").select(
+        "row.doc_id",
+        F.size("row.ids").cast("long").alias("n_tokens"),
+        "row.ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES: list[tuple[str, Stage]] = [

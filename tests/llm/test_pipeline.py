@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import public_tokenizers
 import tiktoken
 from test_jaccard import plain as plain_groups
@@ -53,3 +55,14 @@ def test_stages_keep_the_columns(spark, make_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, FOLDER).schema == docs.schema
         corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+
+
+def test_tokens_are_decoded(spark, make_docs):
+    texts = {1: "The thing, é and 漢字.", 2: "", 3: None, None: "a\tb  c"}
+    docs = make_docs([*texts.items(), (1, texts[1])])
+    found = corpus_pipeline.tokens(spark, docs, FOLDER).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1", "1", "2", "3", "None"]
+    for r in found:
+        plain = (texts[r["doc_id"]] or "").encode()
+        assert r["decoded_sha256"] == sha256(plain).hexdigest()
+        assert r["n_tokens"] == len(r["ids"]) and bool(plain) == bool(r["ids"])
