@@ -19,6 +19,12 @@ BLANKS = r"\x20\x09-\x0D"
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: bytes of UTF-8 as letters and digits, A-Z in lower case; every other ASCII byte is a space
+FOLD = bytes(
+    [ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(128)] + list(range(128, 256))
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

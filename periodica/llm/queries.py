@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, chat, dedup, jaccard, langid, mixing, nearest, pii, quality, shards
+from periodica.llm import (
+    bpe,
+    chat,
+    dedup,
+    importance,
+    jaccard,
+    langid,
+    lexical,
+    mixing,
+    nearest,
+    packing,
+    pii,
+    quality,
+    shards,
+)
 from periodica.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +142,24 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(probe)))
 
 
+def op11_regex_importance(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_concat_cut(
+    spark: SparkSession, sf: str, vocabulary: str = "byte_bpe_50k.json"
+) -> DataFrame:
+    read = packing.read_vocabulary(public_tokenizers.path(vocabulary))
+    found = packing.pieces(packing.pack(table(spark, sf, "documents"), read))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_bloom_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = lexical.index(table(spark, sf, "documents"))
+    return lexical.search(index, table(spark, sf, "benchmark"), 10)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -143,6 +175,9 @@ QUERIES: dict[str, Query] = {
     "op8_prefix_tree_join": op8_prefix_tree_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_regex_importance": op11_regex_importance,
+    "op12_concat_cut": op12_concat_cut,
+    "op13_bloom_search": op13_bloom_search,
     "pipeline": pipeline,
 }
 
@@ -186,4 +221,31 @@ ORACLES: dict[str, str] = {
                sha256(loss) as loss_sha256, cast(formatted as bigint) as formatted_chars
         from a
     """,
+    "op13_bloom_search": r"""
+        with terms as (
+          select 'd' as kind, doc_id as id, unnest(regexp_extract_all(translate(text,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+          union all
+          select 'i', item_id, unnest(regexp_extract_all(translate(text,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) from benchmark),
+        tf as (select id, term, count(*) as tf from terms where kind = 'd' group by id, term),
+        len as (select id, cast(sum(tf) as bigint) as n from tf group by id),
+        total as (select cast(count(*) as bigint) as all_n, cast(sum(n) as bigint) as all_l from len),
+        w as (
+          select term, cast(floor(1000 * ln((2 * max(all_n) + 2) / (2 * count(*) + 1))) as bigint)
+                   as w
+          from tf, total group by term),
+        scored as (
+          select i.id as item_id, tf.id as doc_id,
+                 cast(sum(w * ((1000000000 * tf)
+                   // (1000 * tf + 8 * (25 + (75 * n * all_n) // all_l)))) as bigint) as score
+          from terms i join tf on tf.term = i.term join w on w.term = i.term
+               join len on len.id = tf.id, total
+          where i.kind = 'i' group by i.id, tf.id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id)
+                 as int) as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 10
+    """,
 }

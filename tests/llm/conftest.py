@@ -15,8 +15,9 @@ DOCS = T.StructType(
         *[
             T.StructField(name, T.StringType())
             for name in (
-                *("id", "size", "row", "rank", "node", "part", "label", "score", "copies", "_row"),
+                *("id", "size", "row", "node", "part", "label", "score", "copies", "_row"),
                 *("_scored_text", "component", "n", "level", "target", "ids", "spans", "digest"),
+                *("key", "rank", "able", "weight", "tokens", "pieces", "sequence_id", "keys"),
             )
         ],
     ]

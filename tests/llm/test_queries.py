@@ -41,6 +41,7 @@ CONTRACT = {
         **{"slot": "bigint", "grown_shard": "int"},
     },
     "op8_prefix_tree_join": {"n_shingles": "bigint", "component_id": "bigint"},
+    "op11_regex_importance": {k: "bigint" for k in ("n_features", "weight", "score", "rank")},
     "op9_byte_bpe": {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
@@ -55,4 +56,4 @@ def test_one_row_per_document(spark, documents, name):
 
 
 def test_all_operators_are_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
