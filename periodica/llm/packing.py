@@ -11,7 +11,7 @@ come from, so no group can grow. Only the last window of all is not full; it is
 length is a power of two.
 
 Encoding: a blank between two characters that are no white space always starts a new pre-token in
-byte-level BPE, so a text is cut there and every distinct stretch is encoded once as long as it
+byte-level BPE, so a text is cut there and every distinct stretch is encoded once, as long as it
 stays in a worker's bounded memory. Texts go through the same way at any length. The vocabulary is
 read by the driver and broadcast; its size is fixed. The offsets are broadcast too, a row of two
 numbers for each partition of the input. A text and its ids are in a task's memory once.
@@ -24,7 +24,9 @@ tokens written in a text are ordinary text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from periodica.llm.common import stored
 
 #: stretches that a worker remembers, and characters that they may have together
-REMEMBERED, REMEMBERED_CHARS = 1 << 19, 1 << 24
+REMEMBERED, REMEMBERED_CHARS = 1 << 20, 1 << 25
+
+#: stretches that are encoded as one text
+TOGETHER = 256
 
 #: characters whose stretches are encoded together
 BLOCK = 1 << 22
@@ -45,7 +50,7 @@ BLOCK = 1 << 22
 ROW = 1 << 18
 
 _APART = re.compile(r"(?<=\S) (?=\S)")
-_NO_PLAIN_BLANK = re.compile(r" \s|\s |^ | $")
+_OTHER_BLANK = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -54,62 +59,89 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def stretches(text: str) -> list[str]:
-    """Parts of a text, one for each blank between two solid characters, which starts a part."""
-    if _NO_PLAIN_BLANK.search(text):
-        parts = _APART.split(text)
-    else:
-        parts = text.split(" ")
-    return [parts[0], *[f" {p}" for p in parts[1:]]] if parts[0] else parts[:0]
+    """The parts of a text between blanks that have solid characters on both sides."""
+    if text[:1] == " " or text[-1:] == " " or _OTHER_BLANK.search(text):
+        return _APART.split(text)
+    return text.split(" ")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library, each stretch encoded once."""
+    """Ids of texts by a tokenizer of the ``tokenizers`` library, each stretch encoded once.
+
+    A stretch within a text is known as text, with its blank left out, and encoded next to others,
+    as it would be there; where one ends is seen from the bytes of the tokens. The first stretch of
+    a text, which has no blank, and a last one that ends in white space are encoded alone; these
+    are known as bytes.
+    """
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(tokens.values(), default=-1) + 1, np.int64)
+        for token, i in tokens.items():  # a character stands for a byte
+            self.token_bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.chars = 0
-        self.values = [np.empty(0, np.uint32)]
-        self.lengths: list[int] = []
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.uint32)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
-        parts = [stretches(t) for t in texts]
-        number = self.number
-        known = len(number)
-        for words in parts:
-            for word in words:
-                if word not in number:
-                    number[word] = len(number)
-        new = [w for w, _ in zip(reversed(number), range(len(number) - known), strict=False)][::-1]
-        if new:
-            self.chars += sum(map(len, new))
-            found = [e.ids for e in self._encoded(new)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            self.flat = np.concatenate([self.flat, ids])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        return [self._gather(words) for words in parts]
-
-    def _encoded(self, words: list[str]) -> Iterable:
-        for a in range(0, len(words), 4096):
-            yield from self.tokenizer.encode_batch_fast(
-                words[a : a + 4096], add_special_tokens=False
-            )
-
-    def _gather(self, words: list[str]) -> np.ndarray:
-        keys = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        lengths = self.ends[keys + 1] - self.ends[keys]
-        shift = np.repeat(self.ends[keys] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[shift + np.arange(len(shift))]
+        known, number = len(self.number), self.number.__getitem__
+        keys = []
+        for text in texts:
+            parts: list = stretches(text)
+            if len(parts) > 1 and parts[-1][-1].isspace():
+                parts[-1] = f" {parts[-1]}".encode()
+            parts[0] = parts[0].encode()
+            keys.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        self._learn(list(islice(reversed(self.number), len(self.number) - known))[::-1])
+        return [self._gather(k) for k in keys]
+
+    def _learn(self, new: list[str | bytes]) -> None:
+        inside = [w for w in new if isinstance(w, str)]
+        alone = [w.decode() for w in new if isinstance(w, bytes)]
+        self.chars += sum(map(len, new))
+        among = [self._together(inside[a : a + TOGETHER]) for a in range(0, len(inside), TOGETHER)]
+        single = [np.array(e.ids, np.uint32) for e in self._encoded(alone)]
+        ids = [i for i, _ in among] + single
+        sizes = [n for _, n in among] + [np.array([len(i) for i in single], np.int64)]
+        if not new:
+            return
+        sizes = np.concatenate(sizes)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        # back in the order of their numbers
+        order = np.argsort([isinstance(w, bytes) for w in new], kind="stable")
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.starts = np.append(self.starts, starts[place])
+        self.sizes = np.append(self.sizes, sizes[place])
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of neighbouring stretches, and how many each has."""
+        (found,) = self._encoded([f" {' '.join(words)}"])
+        ids = np.array(found.ids, np.uint32)
+        reached = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        last = np.searchsorted(reached, ends + np.arange(1, len(words) + 1))
+        return ids, np.diff(last, prepend=-1)
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _gather(self, keys: np.ndarray) -> np.ndarray:
+        lengths = self.sizes[keys]
+        shift = np.repeat(self.starts[keys] - (np.cumsum(lengths) - lengths), lengths)
+        return self.ids[shift + np.arange(len(shift))]
 
 
 _encoders: dict[int, Encoder] = {}

@@ -113,7 +113,7 @@ def test_stretches_are_encoded_like_the_whole(texts):
         e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
     ]
     assert got == expected
-    assert ["".join(packing.stretches(t)) for t in texts] == texts
+    assert [" ".join(packing.stretches(t)) for t in texts] == texts
 
 
 def test_a_worker_forgets(whole):
