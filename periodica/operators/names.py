@@ -1,38 +1,42 @@
 """Resolving typed names against a dimension of known names, as a batch job.
 
 Exact matches are an equi-join on the normalised name. What is left is matched by similarity, in
-two steps, neither of which compares all pairs or loses one that counts:
-
-1. Names within ``NEAR_EDITS`` edits. Of a known name cut into one piece more than that, some piece
-   stands unchanged in the typed name, moved by a few places at most: an equi-join on piece, place
-   and length. A typed name is settled if what it found beats all that more edits could reach, which
-   its length tells. That settles names with a slip or two, by keys of several letters.
+steps of which each sees only the names that the ones before left open. None compares all pairs,
+none loses a pair that counts:
+
+1. Names within one edit, then within two. A name's deletion neighbourhood is the name with one or
+   two letters out. If two names are within that many edits, a letter out of either for every letter
+   changed, and out of the longer one for every letter added, leaves the same text; where letters
+   were only changed, at the same places of both. Hashes of these texts are the join keys, some
+   l * l for a name of l letters and two edits. A typed name is settled if what it found beats all
+   that more edits could reach, which its length tells.
 2. Names that are still open. A similarity of at least ``cutoff`` needs a minimum number of letters
-   in common (counting repeats), which depends only on the two lengths. With the letters of both
-   names in one fixed order, two names that share ``t`` letters share ``k`` of the first
-   ``length - t + k`` of each, for any k up to t. Combinations of up to ``TOGETHER`` such letters
-   and the length of the known name are the join keys; a pair is taken at its first combination
-   only, and scored only if it really shares enough letters.
-
-The first step's rows grow as the names do. The second's are a small share of all pairs (README),
-of the names that have no near match only.
+   in common (counting repeats), which depends only on the two lengths. Names are grouped by how many
+   letters they have of each of ``CLASSES`` classes, made of about equal size from the letters
+   counted in the known names. Both sides' groups form trees, by the length, then the first counts,
+   then all of them. The trees are descended together, by equi-joins of nodes with their children,
+   and a pair of nodes is left as soon as the letters it has in common, and the most that the others
+   may add, are too few. Only names of groups that meet at the leaves are compared.
+
+What a step finds is staged in the shared folder (``sources/staging.py``), so that the next one
+starts from there, and later steps are left out when no name is open.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions import normalize_name, sequence_ratio
+from periodica.sources.staging import staged
 
-#: fixed values: letters from rare to frequent in names; anything else counts as frequent
-RARE_TO_FREQUENT = "qxzjvwfkpgybuhmcdtslnoirea"
-
-#: edits that the first step finds
+#: edits that the first steps find
 NEAR_EDITS = 2
 
-#: letters of a join key of the second step
-TOGETHER = 3
+#: classes of letters that the last step counts; the first half of them is the tree's first level
+CLASSES = 12
 
 
 def name_dimension(df: DataFrame, name: str, order: Column | None = None) -> DataFrame:
@@ -75,6 +79,8 @@ def resolve(
     """
     typed = raw.select(F.col(column).alias("typed")).filter(F.col(column).isNotNull()).distinct()
     keyed = typed.withColumn("typed_key", normalize_name("typed"))
+    if method is not None:
+        dimension = staged(dimension.select("norm_key", "name"), "names-known")
     looked_up = keyed.join(dimension, F.col("typed_key") == F.col("norm_key"), "left")
     found = looked_up.select(
         "typed",
@@ -85,6 +91,7 @@ def resolve(
     if method is None:
         answers = found.drop("typed_key")
     else:
+        found = staged(found, "names-exact")
         open_keys = found.filter(F.col("match").isNull()).select("typed_key").distinct()
         best = best_matches(open_keys, dimension, method, cutoff)
         answers = found.join(
@@ -122,20 +129,25 @@ def best_matches(
     """Per ``typed_key`` the closest known name at or above ``cutoff``, if there is one."""
     if not 0 < cutoff <= 1:
         raise ValueError("cutoff must be above 0 and at most 1")
-    near = _best(_near_pairs(keys, dimension), method, cutoff)
-    # the best that a pair with more edits can score
-    edits, length = F.lit(NEAR_EDITS + 1), F.length("typed_key")
-    longest = 2 * length + edits if method == "ratio" else length + edits
-    settled = F.col("best_score") > F.lit(1.0) - edits / longest + F.lit(1e-9)
-    tried = keys.join(near.withColumnRenamed("typed_key", "near_key"),
-                      F.col("typed_key") == F.col("near_key"), "left").drop("near_key")
-    tried = tried.withColumn("settled", F.coalesce(settled, F.lit(False)))
-    far = _best(
-        _candidates(tried.filter(~F.col("settled")).select("typed_key"), dimension, method, cutoff),
-        method,
-        cutoff,
-    )
-    return tried.filter("settled").drop("settled").unionByName(far)
+    open_keys = staged(keys.filter(F.length("typed_key") > 0).distinct(), "names-open")
+    done: list[DataFrame] = []
+    for edits in range(1, NEAR_EDITS + 1):
+        if open_keys.isEmpty():
+            break
+        near = _best(_near_pairs(open_keys, dimension, edits, method), method, cutoff)
+        # the best that a pair with more edits can score
+        more, length = F.lit(edits + 1), F.length("typed_key")
+        longest = 2 * length + more if method == "ratio" else length + more
+        settled = F.col("best_score") > F.lit(1.0) - more / longest + F.lit(1e-9)
+        tried = open_keys.join(near, "typed_key", "left")
+        tried = staged(
+            tried.withColumn("settled", F.coalesce(settled, F.lit(False))), f"names-{edits}-edits"
+        )
+        done.append(tried.filter("settled").drop("settled"))
+        open_keys = tried.filter("not settled").select("typed_key")
+    if not done or not open_keys.isEmpty():
+        done.append(_best(_candidates(open_keys, dimension, method, cutoff), method, cutoff))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _best(pairs: DataFrame, method: str, cutoff: float) -> DataFrame:
@@ -160,45 +172,75 @@ def _best(pairs: DataFrame, method: str, cutoff: float) -> DataFrame:
     )
 
 
-def near_join(keys: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Rows of the first step's join: typed and known names with a piece in common."""
-    pieces = NEAR_EDITS + 1
-    numbers = f"explode(sequence(0, {NEAR_EDITS})) as piece"
-    begin = f"cast(floor(piece * known_len / {pieces}) as int)"
-    end = f"cast(floor((piece + 1) * known_len / {pieces}) as int)"
-    known = dimension.selectExpr(
-        "norm_key", "name", "length(norm_key) as known_len", numbers
-    ).selectExpr(
-        "norm_key", "name", "known_len", "piece", f"substring(norm_key, {begin} + 1, {end} - {begin}) as part"
+def _one_out(name: str) -> str:
+    """SQL for the texts of ``name`` with one letter out, by the place of the letter."""
+    rest = f"concat(substring({name}, 1, i - 1), substring({name}, i + 1))"
+    return f"transform(sequence(1, length({name})), i -> {rest})"
+
+
+def _two_out(name: str) -> str:
+    """The same with two letters out; none for a single letter."""
+    rest = (
+        f"concat(substring({name}, 1, i - 1), substring({name}, i + 1, j - i - 1),"
+        f" substring({name}, j + 1))"
     )
-    # a piece moves by at most the edits before it, and those after it make up for the lengths
-    typed = (
-        keys.selectExpr("typed_key", "length(typed_key) as typed_len")
-        .selectExpr(
-            "*",
-            f"explode(sequence(greatest(typed_len - {NEAR_EDITS}, 0), typed_len + {NEAR_EDITS}))"
-            " as known_len",
-        )
-        .selectExpr("*", numbers)
-        .selectExpr("*", f"{begin} as piece_from", f"{end} - {begin} as piece_size")
-        .selectExpr(
-            "*",
-            f"greatest(piece_from - {NEAR_EDITS}, 0) as lowest",
-            f"least(piece_from + {NEAR_EDITS}, typed_len - piece_size) as highest",
-        )
-        .filter("lowest <= highest")
-        .selectExpr("*", "explode(sequence(lowest, highest)) as at")
-        .selectExpr(
-            "typed_key", "known_len", "piece", "substring(typed_key, at + 1, piece_size) as part"
-        )
-        .distinct()
+    inner = f"transform(sequence(i + 1, length({name})), j -> {rest})"
+    return (
+        f"if(length({name}) < 2, array(),"
+        f" flatten(transform(sequence(1, length({name}) - 1), i -> {inner})))"
+    )
+
+
+def _placed(texts: str) -> str:
+    """Texts with the number of their place, which stands for the letters that are out."""
+    return f"transform({texts}, (t, n) -> concat(n, ' ', t))"
+
+
+def _neighbourhood(name: str, edits: int, is_typed: bool) -> str:
+    """SQL for an array of (kind, text): a typed and a known name within ``edits`` share one."""
+    whole, one, two = f"array({name})", _one_out(name), _two_out(name)
+    if edits == 1:
+        shorter, longer, changed = whole, one, _placed(one)
+        known = {"less": f"concat({shorter}, {longer})", "more": shorter, "same": changed}
+        typed = {"less": shorter, "more": longer, "same": changed}
+    else:
+        up_to_one = f"concat({whole}, {one})"
+        known = {"less": two, "more": up_to_one, "swap": one, "same": _placed(two)}
+        typed = {"less": up_to_one, "more": two, "swap": one, "same": _placed(two)}
+    parts = [
+        f"transform(array_distinct({texts}), t -> xxhash64('{kind}', t))"
+        for kind, texts in (typed if is_typed else known).items()
+    ]
+    return f"concat({', '.join(parts)})"
+
+
+def near_join(keys: DataFrame, dimension: DataFrame, edits: int = NEAR_EDITS) -> DataFrame:
+    """Rows of a near step's join: typed and known names that share a text of their
+    neighbourhoods, once for each. Pairs within ``edits`` are among them.
+
+    Known names that are too long or too short for all typed ones are left out beforehand, by a list
+    of lengths, which the longest name bounds.
+    """
+    length = F.length("typed_key")
+    lengths = keys.select(F.explode(F.sequence(length - edits, length + edits)).alias("length"))
+    dimension = dimension.join(
+        F.broadcast(lengths.distinct()), F.length("norm_key") == F.col("length"), "left_semi"
+    )
+    typed = keys.filter(F.length("typed_key") > 0).select(
+        "typed_key", F.explode(F.expr(_neighbourhood("typed_key", edits, True))).alias("text")
     )
-    return typed.join(known, ["known_len", "piece", "part"])
+    known = dimension.filter(F.length("norm_key") > 0).select(
+        "norm_key", "name", F.explode(F.expr(_neighbourhood("norm_key", edits, False))).alias("text")
+    )
+    return typed.join(known, "text").drop("text")
 
 
-def _near_pairs(keys: DataFrame, dimension: DataFrame) -> DataFrame:
-    pairs = near_join(keys, dimension).select("typed_key", "norm_key", "name").distinct()
-    return pairs.filter(F.levenshtein("typed_key", "norm_key") <= NEAR_EDITS)
+def _near_pairs(keys: DataFrame, dimension: DataFrame, edits: int, method: str) -> DataFrame:
+    pairs = near_join(keys, dimension, edits).filter(
+        F.levenshtein("typed_key", "norm_key", edits) >= 0
+    )
+    # edits are counted in passing; matching blocks are worth finding pairs that met twice
+    return pairs if method == "edit" else pairs.distinct()
 
 
 def _needed(a: Column, b: Column, method: str, cutoff: float) -> Column:
@@ -207,39 +249,55 @@ def _needed(a: Column, b: Column, method: str, cutoff: float) -> Column:
     return F.ceil(whole * cutoff - 1e-9).cast("int")
 
 
-def _letters(key: str) -> Column:
-    """The letters of a name as tokens in order, each repeat a token of its own.
+def letter_classes(dimension: DataFrame, classes: int = CLASSES) -> list[str]:
+    """The letters of the known names, dealt to classes of about equal counts. Letters that no
+    known name has belong to the last class.
 
-    Later repeats come before earlier ones and rare letters before frequent ones.
+    Normalised names are ASCII, so no more than 128 counts come to the driver.
     """
+    letters = dimension.select(F.explode(F.split("norm_key", "")).alias("letter"))
+    counts = letters.filter("letter <> ''").groupBy("letter").count().collect()
+    held, size = [""] * classes, [0] * classes
+    for row in sorted(counts, key=lambda r: (-r["count"], r["letter"])):
+        lightest = size.index(min(size))
+        held[lightest] += row["letter"]
+        size[lightest] += row["count"]
+    return held
+
+
+def _counted(names: DataFrame, name: str, side: str, classes: list[str]) -> DataFrame:
+    """``names`` with the length (``<side>_len``) and a count for each class (``<side>0``, ...)."""
+    out = names.filter(F.length(name) > 0).withColumn(f"{side}_len", F.length(name))
+    for i, letters in enumerate(classes[:-1]):
+        rest = F.length(F.translate(name, letters, "")) if letters else F.length(name)
+        out = out.withColumn(f"{side}{i}", F.length(name) - rest)
+    others = reduce(Column.__add__, [F.col(f"{side}{i}") for i in range(len(classes) - 1)])
+    return out.withColumn(f"{side}{len(classes) - 1}", F.col(f"{side}_len") - others)
+
+
+def _node(side: str, classes: int) -> list[str]:
+    return [f"{side}_len", *[f"{side}{i}" for i in range(classes)]]
+
+
+def _reach(classes: int) -> Column:
+    """The most letters that names of two nodes can share: those of the classes counted so far, and
+    of the others as many as the shorter rest has."""
+    both = [F.least(f"t{i}", f"k{i}") for i in range(classes)]
+    rests = [
+        F.col(f"{side}_len") - reduce(Column.__add__, [F.col(f"{side}{i}") for i in range(classes)])
+        for side in ("t", "k")
+    ]
+    return reduce(Column.__add__, [*both, F.least(*rests)])
+
+
+def _letters(key: str) -> Column:
+    """The letters of a name as tokens, each repeat a token of its own."""
     chars = F.split(F.col(key), "")
 
     def token(char: Column, i: Column) -> Column:
-        repeat = F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c == char))
-        place = F.position(char, F.lit(RARE_TO_FREQUENT))
-        frequency = F.when(place == 0, F.lit(99)).otherwise(place)
-        return F.struct((-repeat).alias("a"), frequency.alias("b"), char.alias("c"))
-
-    ordered = F.array_sort(F.transform(chars, token))
-    return F.transform(ordered, lambda t: F.concat_ws(":", t["c"], -t["a"]))
-
-
-def _together(needed: Column) -> Column:
-    return F.least(needed, F.lit(TOGETHER))
-
-
-def _combinations(tokens: str, size: str) -> Column:
-    """All combinations of ``size`` tokens (1 to 3), in their order, each as one text."""
-    rest = "slice({0}, {1}, size({0}))"
-    after = rest.format(tokens, "i + 2")
-    later = rest.format(tokens, "i + j + 3")
-    return F.expr(
-        f"case {size} when 1 then {tokens}"
-        f" when 2 then flatten(transform({tokens}, (a, i) ->"
-        f" transform({after}, b -> concat_ws(' ', a, b))))"
-        f" else flatten(transform({tokens}, (a, i) -> flatten(transform({after}, (b, j) ->"
-        f" transform({later}, c -> concat_ws(' ', a, b, c)))))) end"
-    )
+        return F.concat_ws(":", char, F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c == char)))
+
+    return F.transform(chars, token)
 
 
 def _candidates(
@@ -247,12 +305,11 @@ def _candidates(
 ) -> DataFrame:
     """Pairs (``typed_key``, ``norm_key``, ``name``) that share enough letters."""
     shared = F.size(F.array_intersect("typed_letters", "name_letters"))
-    first = F.array_join(
-        F.slice(F.array_intersect("typed_prefix", "name_prefix"), F.lit(1), F.col("together")), " "
-    )
+    typed = keys.withColumn("typed_letters", _letters("typed_key"))
+    known = dimension.withColumn("name_letters", _letters("norm_key"))
     return (
-        far_join(keys, dimension, method, cutoff)
-        .filter((first == F.col("letters")) & (shared >= F.col("needed")))
+        far_join(typed, known, method, cutoff)
+        .filter(shared >= _needed(F.col("t_len"), F.col("k_len"), method, cutoff))
         .select("typed_key", "norm_key", "name")
     )
 
@@ -260,37 +317,30 @@ def _candidates(
 def far_join(
     keys: DataFrame, dimension: DataFrame, method: str, cutoff: float
 ) -> DataFrame:
-    """Rows of the second step's join: names of fitting lengths with a combination in common.
+    """Rows of the last step's join: pairs of names whose groups meet at the leaves of the trees.
 
-    How many letters a pair must share depends on both lengths, so either side has a row for each
-    length that the other may have.
+    A typed group has a row for each length that known names may have, a known group has one row.
     """
+    classes = letter_classes(dimension)
+    half, full = len(classes) // 2, len(classes)
+    typed = _counted(keys, "typed_key", "t", classes)
+    known = _counted(dimension, "norm_key", "k", classes)
+    needed = _needed(F.col("t_len"), F.col("k_len"), method, cutoff)
     stretch = (2 - cutoff) / cutoff if method == "ratio" else 1 / cutoff
-
-    def sides(rows: DataFrame, own: str, other: str, letters: str, prefix: str) -> DataFrame:
-        shortest = F.ceil(F.col(own) / stretch - 1e-9).cast("int")
-        longest = F.floor(F.col(own) * stretch + 1e-9).cast("int")
-        lengths = rows.withColumn(other, F.explode(F.sequence(shortest, longest)))
-        needed = lengths.withColumn(
-            "needed", F.greatest(_needed(F.col(own), F.col(other), method, cutoff), F.lit(1))
-        ).withColumn("together", _together(F.col("needed")))
-        size = F.col(own) - F.col("needed") + F.col("together")
-        return (
-            needed.filter(F.col("needed") <= F.least(own, other))
-            .withColumn(prefix, F.slice(letters, F.lit(1), size))
-            .withColumn("letters", F.explode(_combinations(prefix, "together")))
-        )
-
-    typed = sides(
-        keys.filter(F.length("typed_key") > 0)
-        .withColumn("typed_len", F.length("typed_key"))
-        .withColumn("typed_letters", _letters("typed_key")),
-        "typed_len", "known_len", "typed_letters", "typed_prefix",
+    shortest = F.ceil(F.col("t_len") / stretch - 1e-9).cast("int")
+    longest = F.floor(F.col("t_len") * stretch + 1e-9).cast("int")
+    # the first level of both trees
+    pairs = (
+        typed.select(*_node("t", half))
+        .distinct()
+        .withColumn("k_len", F.explode(F.sequence(shortest, longest)))
+        .join(known.select(*_node("k", half)).distinct(), "k_len")
+        .filter(_reach(half) >= needed)
+    )
+    # their children: first those of the typed groups, then those of the known ones
+    pairs = (
+        pairs.join(typed.select(*_node("t", full)).distinct(), _node("t", half))
+        .join(known.select(*_node("k", full)).distinct(), _node("k", half))
+        .filter(_reach(full) >= needed)
     )
-    known = sides(
-        dimension.filter(F.length("norm_key") > 0)
-        .withColumn("known_len", F.length("norm_key"))
-        .withColumn("name_letters", _letters("norm_key")),
-        "known_len", "typed_len", "name_letters", "name_prefix",
-    ).drop("needed", "together")
-    return typed.join(known, ["typed_len", "known_len", "letters"])
+    return pairs.join(typed, _node("t", full)).join(known, _node("k", full))

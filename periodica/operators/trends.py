@@ -283,6 +283,26 @@ def period_delta(
     return top_k(changed, "improvement", k, [layout.entity, layout.group])
 
 
+def totals(
+    detail: DataFrame, layout: StatLayout = STATS, detail_layout: DetailLayout = DETAIL
+) -> DataFrame:
+    """Units and totals per entity, period and group of counted events, as a stats table.
+
+    Without combined rows, and with no other columns.
+    """
+    d = detail_layout
+    weight = F.col(d.weight) if d.weight else F.lit(1)
+    return detail.groupBy(d.entity, d.period, d.group).agg(
+        F.sum(weight).alias(layout.units), F.sum(F.col(d.value) * weight).alias(layout.total)
+    ).select(
+        F.col(d.entity).alias(layout.entity),
+        F.col(d.period).alias(layout.period),
+        F.col(d.group).alias(layout.group),
+        layout.units,
+        layout.total,
+    )
+
+
 def consistency(
     stats: DataFrame,
     detail: DataFrame,

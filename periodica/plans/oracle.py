@@ -351,7 +351,7 @@ ORACLES: dict[str, str] = {
         f"""select career.* from ({_CAREER}) career
             where Player in (select match from best)""",
         "kept",
-        entries=f"select {_CUSTOMER_SLIP} as raw from customer where c_custkey % 10 = 1",
+        entries=f"select {_CUSTOMER_SLIP} as raw from customer",
         best=_best_edit("(select distinct raw from entries)", "(select distinct c_name as known from customer)"),
     ),
     "resolve_accented": _sql(
@@ -539,3 +539,7 @@ ORACLES: dict[str, str] = {
 ORACLES["q04_sustained_top"] = (
     f"select * from ({ORACLES['q04_sustained']}) order by seasons_above desc, Player limit 20"
 )
+#: the same answers from the layout by season
+ORACLES["layout_leaders"] = ORACLES["q08_topn_per_group"]
+ORACLES["layout_consistency"] = ORACLES["q10_consistency"]
+ORACLES["layout_career"] = ORACLES["career"]

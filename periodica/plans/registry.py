@@ -22,6 +22,8 @@ from periodica.operators import clean, names, ranking, trends, value
 from periodica.plans.presets import ORDERS as P
 from periodica.sources import load
 from periodica.sources.schemas import LOGICAL
+from periodica.sources.seasons import season_star
+from periodica.sources.staging import staged
 from periodica.sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,12 +176,11 @@ def q09_most_improved(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("label", signed_label("improvement"))
 
 
-@_query
-def q10_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    star, season = Star(spark, sf), _season(P.season)
+def _consistency(star: Star) -> DataFrame:
+    games = star.player_games(_season(P.season))
     return trends.consistency(
-        star.player_stats(season),
-        star.player_boxscores_counted(season),
+        trends.totals(games, detail_layout=_COUNTED),
+        games,
         P.season,
         P.consistency_sample,
         P.consistency_rate,
@@ -187,6 +188,11 @@ def q10_consistency(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def q10_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return _consistency(Star(spark, sf))
+
+
 @_query
 def career(spark: SparkSession, sf: str) -> DataFrame:
     return trends.career_progression(Star(spark, sf).player_stats(), min_units=P.any_sample)
@@ -420,8 +426,8 @@ def resolve_ratio_slip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _customer_slip() -> Column:
-    """Customer names as typed: every third exactly, every third without its last digit but one
-    letter more, the others unknown."""
+    """Customer names as typed: every third exactly, every third with one letter too many at the
+    end, the others unknown."""
     key = F.col("c_custkey") % 3
     return (
         F.when(key == 0, F.upper("c_name"))
@@ -440,9 +446,8 @@ def percentile_lookup(spark: SparkSession, sf: str) -> DataFrame:
     typed = F.concat(_customer_slip(), F.lit(" ,  "), F.upper("c_name"))
     lists = star.table("customer").select("c_custkey", typed.alias("typed_list"))
     entries = names.split_list(lists, "typed_list").select("c_custkey", "position", "raw")
-    profile = names.first_rows(
-        _profile(spark, sf), "Player", [F.desc("pts_percentile"), F.asc("Tm")]
-    )
+    first = [F.desc("pts_percentile"), F.asc("Tm")]
+    profile = staged(names.first_rows(_profile(spark, sf), "Player", first), "profiles")
     known = names.name_dimension(star.table("customer"), "c_name")
     found = _scored(names.resolve(entries, "raw", known, method="edit", cutoff=0.9))
     return found.join(profile, F.col("match") == F.col("Player"), "left")
@@ -452,11 +457,11 @@ def percentile_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def career_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Careers of all customers whose name was typed well enough."""
     star = Star(spark, sf)
-    stats = star.player_stats()
     raw = star.table("customer").select(_customer_slip().alias("raw"))
     known = names.name_dimension(star.table("customer"), "c_name")
     found = names.resolve(raw, "raw", known, method="edit", cutoff=0.9).where("match is not null")
-    return trends.career_progression(stats, found.select(F.col("match").alias("Player")))
+    chosen = staged(found.select(F.col("match").alias("Player")).distinct(), "names-chosen")
+    return trends.career_progression(star.player_stats(players=chosen))
 
 
 @_query
@@ -478,6 +483,27 @@ def _shown(column: str) -> Column:
     return F.round(F.col(column).cast("decimal(28,10)"), 6).cast("double").alias(column)
 
 
+# --- facts laid out by season ---------------------------------------------------------------
+
+
+@_query
+def layout_leaders(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaders of a season, its line items read from the layout without a shuffle."""
+    stats = season_star(spark, sf).player_stats(_season(P.season))
+    return trends.leaders_by_group(stats, P.season, 3, P.any_sample)
+
+
+@_query
+def layout_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return _consistency(season_star(spark, sf))
+
+
+@_query
+def layout_career(spark: SparkSession, sf: str) -> DataFrame:
+    """All seasons from the layout."""
+    return trends.career_progression(season_star(spark, sf).player_stats(), min_units=P.any_sample)
+
+
 # --- loading --------------------------------------------------------------------------------
 
 

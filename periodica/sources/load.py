@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from periodica.sources.staging import fresh_folder
+
 #: header names of row-number columns that an export left behind (fixed pattern)
 ARTIFACT = re.compile(r"^(Unnamed.*|_c\d+)$")
 
@@ -39,17 +41,80 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return raw.select(*[typed(c).alias(c) for c in kept])
 
 
+#: the file of a table that names its present version
+POINTER = "_current"
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Replace the Parquet table at ``path``.
+    """Replace the table at ``path``: write a new version, then point to it.
+
+    Until the pointer has moved, readers find the old version whole, also when the job that writes
+    is lost; so a table can be replaced from itself. The version before stays for those who read it
+    now, older ones and what lost jobs left go. One writer at a time.
 
     With ``partition_by`` the rows are rebalanced first: small partitions of a value merge and an
     oversized one is split, so a hot value costs neither one huge file nor thousands of tiny ones.
     """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
     if partition_by is None:
-        df.write.mode("overwrite").parquet(path)
-        return
-    balanced = df.hint("rebalance", partition_by)
-    balanced.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        df.write.parquet(f"{path}/{version}")
+    else:
+        balanced = df.hint("rebalance", partition_by)
+        balanced.write.partitionBy(partition_by).parquet(f"{path}/{version}")
+    fs, folder = _file_system(spark, path)
+    _point(spark, path, version)
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The present version of the table that ``write_table`` put at ``path``."""
+    version = current_version(spark, path)
+    if version is None:
+        raise ValueError(f"no table at {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{version}")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder below ``path`` that is the table now; None where there is none."""
+    fs, folder = _file_system(spark, path)
+    jvm = spark._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(folder, POINTER)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Write the pointer beside the old one and put it in its place in one step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs, folder = _file_system(spark, path)
+    new = hadoop.Path(folder, f"{POINTER}-{version}")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(version.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(folder.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(
+        context.makeQualified(new), context.makeQualified(hadoop.Path(folder, POINTER)), options
+    )
 
 
 def load_tables(
@@ -64,7 +129,7 @@ def load_tables(
     for name, path in files.items():
         table = read_csv(spark, path, schemas.get(name))
         write_table(table, f"{target}/{name}", (partition_by or {}).get(name))
-        loaded[name] = spark.read.schema(table.schema).parquet(f"{target}/{name}")
+        loaded[name] = read_table(spark, f"{target}/{name}", table.schema)
     return loaded
 
 
@@ -94,10 +159,5 @@ def list_tables(spark: SparkSession) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares between its machines.
-
-    That is ``spark.checkpoint.dir``, or where it is unset the session's warehouse, which tables
-    are written to anyway.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder below the one the cluster shares between its machines."""
+    return fresh_folder(spark, "tables")

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.layout import STATS
+from periodica.operators.keys import possibly_in
 from periodica.sources.schemas import STAR
+from periodica.sources.staging import staged
 
 _SUMS = ("G", "PTS", "AST", "TRB", "STL", "BLK", "TOV")
 
@@ -50,14 +52,31 @@ class Star:
             )
         return orders.selectExpr("*", "year(o_orderdate) as Season")
 
-    def player_stats(
-        self,
-        seasons: tuple[int, int] | None = None,
-        cluster_by: Sequence[str] = ("Player", "Season"),
+    def counted_lines(
+        self, seasons: tuple[int, int] | None, among: DataFrame | None = None
+    ) -> DataFrame:
+        """Line items counted: one row per order and quantity, with their number and what totals
+        are made of. ``among`` holds the order keys that matter, if not all do. Line items have no
+        season of their own here, so those of all seasons are counted."""
+        return (
+            self._lines(among)
+            .groupBy("l_orderkey", "l_quantity")
+            .agg(
+                F.expr("count(1) as games"),
+                F.expr("sum(l_linenumber) as AST"),
+                F.expr("count_if(l_returnflag = 'R') as returned"),
+                F.expr("count_if(l_returnflag = 'A') as STL"),
+                F.expr("count_if(l_linestatus = 'F') as BLK"),
+                F.expr("count_if(l_returnflag = 'N') as TOV"),
+            )
+        )
+
+    def order_totals(
+        self, seasons: tuple[int, int] | None, among: DataFrame | None = None
     ) -> DataFrame:
-        """One row per player, season and team, and a combined row where there are several."""
-        per_order = (
-            self.table("lineitem")
+        """Line items totalled, one row per order."""
+        return (
+            self._lines(among)
             .groupBy("l_orderkey")
             .agg(
                 F.expr("count(1) as G"),
@@ -69,14 +88,40 @@ class Star:
                 F.expr("count_if(l_returnflag = 'N') as TOV"),
             )
         )
+
+    def _lines(self, among: DataFrame | None) -> DataFrame:
+        lines = self.table("lineitem")
+        return lines if among is None else possibly_in(lines, "l_orderkey", among)
+
+    def player_stats(
+        self,
+        seasons: tuple[int, int] | None = None,
+        cluster_by: Sequence[str] = ("Player", "Season"),
+        players: DataFrame | None = None,
+    ) -> DataFrame:
+        """One row per player, season and team, and a combined row where there are several.
+
+        ``players`` (a column ``Player``) keeps only these, from the line items on: their customers
+        and their orders are staged, and a bitmap of the order keys stands before the totals.
+        """
         orders = self.orders(seasons).selectExpr(
             "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderpriority as Tm"
         )
+        customers, among = self._customers(), None
+        if players is not None:
+            wanted = players.select(F.col("Player").alias("c_name")).distinct()
+            customers = staged(customers.join(wanted, "c_name", "left_semi"), "customers-of-names")
+            orders = staged(
+                orders.join(customers.select("c_custkey"), "c_custkey", "left_semi"),
+                "orders-of-names",
+            )
+            among = orders.select("l_orderkey")
+        per_order = self.order_totals(seasons, among)
         sums = [F.expr(f"sum({c}) as {c}") for c in _SUMS]
         per_customer = (
             per_order.join(orders, "l_orderkey").groupBy("c_custkey", "Season", "Tm").agg(*sums)
         )
-        named = per_customer.join(self._customers(), "c_custkey").selectExpr(
+        named = per_customer.join(customers, "c_custkey").selectExpr(
             "c_name as Player",
             "Season",
             "Tm",
@@ -100,15 +145,23 @@ class Star:
     def player_boxscores_counted(self, seasons: tuple[int, int] | None = None) -> DataFrame:
         """Games as (player, team, season, points, how many): the same games, already counted per
         order before the join, so that one huge order cannot skew it."""
-        per_order = (
-            self.table("lineitem")
-            .groupBy("l_orderkey", "l_quantity")
-            .agg(F.expr("count(1) as games"))
-        )
+        per_order = self.counted_lines(seasons).select("l_orderkey", "l_quantity", "games")
         return self._games(per_order, seasons).selectExpr(
             "c_name as PLAYER_NAME", "Team", "Season", "l_quantity as PTS", "games"
         )
 
+    def player_games(
+        self, seasons: tuple[int, int] | None = None, cluster_by: Sequence[str] = ("PLAYER_NAME", "Team")
+    ) -> DataFrame:
+        """How often a player had which points for a team in a season: one row per player, season,
+        team and points, a player's and team's rows together. The line items are read once; totals
+        are sums of these rows (``trends.totals``) on the same exchange."""
+        counted = self.player_boxscores_counted(seasons)
+        rows = counted.groupBy("PLAYER_NAME", "Season", "Team", "PTS").agg(
+            F.expr("sum(games) as games")
+        )
+        return rows.repartition(*cluster_by)
+
     def _games(self, lines: DataFrame, seasons: tuple[int, int] | None) -> DataFrame:
         orders = self.orders(seasons).selectExpr(
             "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderpriority as Team"

@@ -139,3 +139,69 @@ def test_near_names_meet_in_few_rows(spark):
     ).withColumn("name", F.col("norm_key"))
     keys = dim.select(F.expr("concat(substr(norm_key, 1, 6), substr(norm_key, 8))").alias("typed_key"))
     assert names.near_join(keys, dim).count() < 0.2 * 1500 * 1500
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_numbered_names_meet_in_few_rows(spark, n):
+    """Names that are the same but for a number, as those of the customers' table."""
+    dim = spark.range(n).selectExpr("format_string('customer#%09d', id * 37) as norm_key")
+    dim = dim.withColumn("name", F.col("norm_key"))
+    keys = dim.selectExpr("concat(norm_key, '~') as typed_key")
+    assert names.near_join(keys, dim, 1).count() <= 3 * n
+    assert names.near_join(keys, dim, 2).count() < 0.06 * n * n
+
+
+def test_long_names_have_few_rows(spark):
+    """The trees' first level: rows of a typed name of 40 letters, before any meets another."""
+    import random
+
+    rng = random.Random(4)
+    longer = ["".join(rng.choice("etaoin shrdlu") for _ in range(40)) for _ in range(50)]
+    dim = spark.createDataFrame([(n, n) for n in longer], "norm_key string, name string")
+    classes = names.letter_classes(dim)
+    assert sorted("".join(classes)) == sorted(set("".join(longer)))
+    counted = names._counted(dim, "norm_key", "k", classes)
+    per_name = counted.selectExpr("k_len", " + ".join(f"k{i}" for i in range(len(classes))) + " as n")
+    assert all(r["k_len"] == r["n"] == 40 for r in per_name.collect())
+    for edits, most in ((1, 2 * 40 + 2), (2, 40 * 39 + 2 * 40 + 1)):
+        texts = dim.select(F.size(F.expr(names._neighbourhood("norm_key", edits, False))).alias("n"))
+        assert texts.agg(F.max("n")).first()[0] <= most
+    for cutoff in (0.6, 0.9):
+        longest = int(40 * (2 - cutoff) / cutoff + 1e-9)
+        assert longest - 40 * cutoff / (2 - cutoff) < 500
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.9])
+def test_no_pair_within_a_few_edits_is_lost(spark, cutoff):
+    import random
+
+    rng = random.Random(9)
+    known = ["".join(rng.choice("ab1 ") for _ in range(rng.randint(1, 7))).strip() for _ in range(120)]
+    known = sorted({k for k in known if k})
+    typed = sorted({k[: rng.randint(0, len(k))] + rng.choice(["", "a", "1b"]) + k[1:] for k in known})
+    dim = spark.createDataFrame([(k, k) for k in known], "norm_key string, name string")
+    keys = spark.createDataFrame([(t,) for t in typed], "typed_key string")
+    both = keys.where("typed_key <> ''").join(dim, F.lit(True))
+    for edits in (1, 2):
+        met = names.near_join(keys, dim, edits).select("typed_key", "norm_key").distinct()
+        near = both.where(F.levenshtein("typed_key", "norm_key") <= edits)
+        assert near.select("typed_key", "norm_key").exceptAll(met).count() == 0
+    score = 1 - F.levenshtein("typed_key", "norm_key") / F.greatest(
+        F.length("typed_key"), F.length("norm_key")
+    )
+    best = both.withColumn("s", score).where(F.col("s") >= cutoff).groupBy("typed_key").agg(
+        F.max(F.struct("s", "norm_key")).alias("b")
+    )
+    want = {r["typed_key"]: r["b"]["norm_key"] for r in best.collect()}
+    got = names.best_matches(keys, dim, "edit", cutoff).collect()
+    assert {r["typed_key"]: r["best_name"] for r in got} == want
+
+
+def test_names_without_letters(spark):
+    dim = spark.createDataFrame([("", "é"), ("a", "a")], "norm_key string, name string")
+    keys = spark.createDataFrame([("",), ("b",)], "typed_key string")
+    got = names.best_matches(keys, dim, "ratio", 0.6).collect()
+    assert got == []
+    none = spark.createDataFrame([], "typed_key string")
+    assert names.best_matches(none, dim, "ratio", 0.6).collect() == []
+    assert names.best_matches(keys, dim.limit(0), "edit", 0.6).collect() == []
