@@ -145,11 +145,27 @@ def best_matches(
         )
         done.append(tried.filter("settled").drop("settled"))
         open_keys = tried.filter("not settled").select("typed_key")
-    if not done or not open_keys.isEmpty():
+    if not done or not _of_fitting_length(open_keys, dimension, method, cutoff).isEmpty():
         done.append(_best(_candidates(open_keys, dimension, method, cutoff), method, cutoff))
     return reduce(DataFrame.unionByName, done)
 
 
+def _lengths(length: Column, method: str, cutoff: float) -> Column:
+    """The lengths that a name must have to reach ``cutoff`` with one of ``length`` letters."""
+    stretch = (2 - cutoff) / cutoff if method == "ratio" else 1 / cutoff
+    shortest = F.ceil(length / stretch - 1e-9).cast("int")
+    return F.sequence(shortest, F.floor(length * stretch + 1e-9).cast("int"))
+
+
+def _of_fitting_length(
+    keys: DataFrame, dimension: DataFrame, method: str, cutoff: float
+) -> DataFrame:
+    """The lengths of known names that any of ``keys`` could be matched with."""
+    able = keys.select(F.explode(_lengths(F.length("typed_key"), method, cutoff)).alias("length"))
+    known = dimension.select(F.length("norm_key").alias("length"))
+    return able.distinct().join(known.distinct(), "length", "left_semi")
+
+
 def _best(pairs: DataFrame, method: str, cutoff: float) -> DataFrame:
     """The best pair of each typed key; of equal scores the name that sorts last."""
     longest = F.greatest(F.length("norm_key"), F.length("typed_key"))
@@ -326,14 +342,11 @@ def far_join(
     typed = _counted(keys, "typed_key", "t", classes)
     known = _counted(dimension, "norm_key", "k", classes)
     needed = _needed(F.col("t_len"), F.col("k_len"), method, cutoff)
-    stretch = (2 - cutoff) / cutoff if method == "ratio" else 1 / cutoff
-    shortest = F.ceil(F.col("t_len") / stretch - 1e-9).cast("int")
-    longest = F.floor(F.col("t_len") * stretch + 1e-9).cast("int")
     # the first level of both trees
     pairs = (
         typed.select(*_node("t", half))
         .distinct()
-        .withColumn("k_len", F.explode(F.sequence(shortest, longest)))
+        .withColumn("k_len", F.explode(_lengths(F.col("t_len"), method, cutoff)))
         .join(known.select(*_node("k", half)).distinct(), "k_len")
         .filter(_reach(half) >= needed)
     )
