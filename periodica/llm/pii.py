@@ -158,10 +158,20 @@ def _features(text: str, a: int, b: int, digits: int) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << digits) - 1) for n in names]
 
 
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
 def _key(token: str) -> str | None:
     """What a token has in common with those it repeats."""
     if "@" in token:
-        return "@" + re.sub(r"\A\W+|\W+\Z", "", token).casefold()
+        # from both ends by index: a run of marks inside must not be tried from each of its places
+        a, b = 0, len(token)
+        while a < b and not _is_word(token[a]):
+            a += 1
+        while b > a and not _is_word(token[b - 1]):
+            b -= 1
+        return "@" + token[a:b].casefold()
     digits = _NO_DIGIT.sub("", token)
     return digits if len(digits) >= SAME_DIGITS else None
 

@@ -88,6 +88,14 @@ def test_repeats_take_linear_time(field):
     assert [text[a:b] for a, b, _, base in pii.spans(text, field) if not base] == ["980 555 6268"]
 
 
+def test_addresses_among_marks_take_linear_time(field):
+    marks = "!" * 200_000
+    text = f"a@b.cd and @{marks}x{marks}x or ({marks}a@b.cd)"
+    assert len(pii.spans(text, field)) >= 1
+    assert pii._key(f"<{marks}_Ab@b.cd{marks}>") == "@_ab@b.cd"
+    assert pii._key(f"@{marks}") == "@"
+
+
 def test_clean_documents_stay_clean(field, texts):
     for text in texts.values():
         if text and not plain(text):
