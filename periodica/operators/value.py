@@ -14,6 +14,7 @@ from periodica.functions import (
 )
 from periodica.layout import MONEY, STATS, MoneyLayout, StatLayout
 from periodica.operators.clean import clean_money, clean_stats
+from periodica.operators.fit import least_squares, predicted
 from periodica.operators.ranking import percent_rank_floor, top_k, with_positions
 
 #: terms of the production score
@@ -293,17 +294,19 @@ def idle_cost(
     return top_k(rows, "salary_wasted_m", k, [*layout.key, "salary_millions"])
 
 
-def availability_trend(
+def _well_paid(
     stats: DataFrame,
     money: DataFrame,
-    season_length: int = 82,
-    floor: float = 0.5,
-    layout: StatLayout = STATS,
-    money_layout: MoneyLayout = MONEY,
-    lenient: bool = False,
-    method: str = "window",
-) -> DataFrame:
-    """Per period: how many of the better paid there are and their mean availability.
+    season_length: int,
+    floor: float,
+    layout: StatLayout,
+    money_layout: MoneyLayout,
+    lenient: bool,
+    method: str,
+    *others: str,
+) -> tuple[DataFrame, Column]:
+    """Amounts next to ``__share``, the part of the season played, and ``others`` of the stats; and
+    the condition that a row was both played and among the better paid of its period.
 
     "Better paid" is a percent rank inside the period. It is found from value counts and applied
     as one cut per period, so no period's rows have to be sorted in one task. The amounts are
@@ -317,7 +320,9 @@ def availability_trend(
         F.col(money_layout.period).alias("__period"), "cut"
     )
     played = clean_stats(stats.dropna(subset=layout.key), layout, method).select(
-        *layout.key, (F.col(layout.units).cast("double") / float(season_length)).alias("__share")
+        *layout.key,
+        (F.col(layout.units).cast("double") / float(season_length)).alias("__share"),
+        *others,
     )
     same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
         F.col(layout.period) == F.col(money_layout.period)
@@ -325,7 +330,23 @@ def availability_trend(
     paid = amounts.join(played, same, "left").join(
         cuts, F.col(money_layout.period) == F.col("__period"), "left"
     )
-    counted = F.col(layout.period).isNotNull() & (F.col("salary_int") >= F.col("cut"))
+    return paid, F.col(layout.period).isNotNull() & (F.col("salary_int") >= F.col("cut"))
+
+
+def availability_trend(
+    stats: DataFrame,
+    money: DataFrame,
+    season_length: int = 82,
+    floor: float = 0.5,
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """Per period: how many of the better paid there are and their mean availability."""
+    paid, counted = _well_paid(
+        stats, money, season_length, floor, layout, money_layout, lenient, method
+    )
     return (
         paid.groupBy(F.col(money_layout.period).alias("__when"))
         .agg(
@@ -336,3 +357,101 @@ def availability_trend(
         .withColumnRenamed("__when", layout.period)
         .orderBy(layout.period)
     )
+
+
+def availability_by(
+    stats: DataFrame,
+    money: DataFrame,
+    label: str = "Pos",
+    age: str = "Age",
+    years: int = 5,
+    season_length: int = 82,
+    floor: float = 0.5,
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """Availability of the better paid by position and group of ``years`` of age, by either alone,
+    and of all: one aggregation over grouping sets, so one exchange of partial results.
+
+    ``grouped_by`` tells which of them a row is, as a NULL may also be a missing position or age.
+    """
+    paid, counted = _well_paid(
+        stats, money, season_length, floor, layout, money_layout, lenient, method, label, age
+    )
+    position, age_from = F.col("position"), F.col("age_from")
+    rows = paid.select(
+        primary_token(label).alias("position"),
+        (F.floor(F.col(age) / years) * years).cast("int").alias("age_from"),
+        F.when(counted, F.col("__share")).alias("__share"),
+        counted.alias("__counted"),
+    )
+    sets = [[position, age_from], [position], [age_from], []]
+    by = (
+        F.when((F.grouping("position") == 0) & (F.grouping("age_from") == 0), "position and age")
+        .when(F.grouping("position") == 0, "position")
+        .when(F.grouping("age_from") == 0, "age")
+        .otherwise("all")
+    )
+    grouped = rows.groupingSets(sets, position, age_from).agg(
+        by.alias("grouped_by"),
+        F.count_if(F.col("__counted")).alias("num_players"),
+        round_half_up(F.avg("__share"), 3).alias("avg_availability"),
+    )
+    # rows that don't count have groups, too
+    return grouped.where("num_players > 0").orderBy("grouped_by", "position", "age_from")
+
+
+def expected_amount(
+    stats: DataFrame,
+    money: DataFrame,
+    min_units: float = 20,
+    min_amount: float = 1_000_000,
+    significant: float = 2.0,
+    age: str = "Age",
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """What production and age let expect as the amount of a period, and who is priced off it.
+
+    Each period has a least squares fit of the amount (in the layout's unit) on the production score
+    and age. ``off_by`` is the residual in standard deviations of the period's residuals, ``priced``
+    is ``above`` or ``below`` from ``significant`` of them on, else ``as expected``. All are NULL
+    where the period has too few rows for a fit, or a row lacks score or age.
+
+    The rows are shuffled once, by all their columns, so that the sums and the comparison read the
+    same exchange and a period with most of the rows is spread.
+    """
+    paid = _paid(
+        stats, money, min_units, min_amount, None, layout, money_layout, lenient, method
+    ).select(
+        *layout.key,
+        layout.group,
+        F.col(age).alias("age"),
+        round_half_up(production(layout), 2).alias("prod_per_game"),
+        round_half_up("__money", 2).alias("salary_millions"),
+    )
+    rows = paid.repartition(*paid.columns)
+    predictors = ["prod_per_game", "age"]
+    model = least_squares(rows, "salary_millions", predictors, layout.period)
+    model = model.withColumnRenamed(layout.period, "__period")
+    residual = F.col("salary_millions") - predicted(predictors)
+    off_by = round_half_up(F.try_divide(residual, F.col("spread")), 2)
+    return (
+        rows.join(model, F.col(layout.period) == F.col("__period"), "left")
+        .select(
+            *paid.columns,
+            round_half_up(predicted(predictors), 2).alias("expected_millions"),
+            round_half_up(residual, 2).alias("residual_millions"),
+            off_by.alias("off_by"),
+        )
+        .withColumn(
+            "priced",
+            F.when(F.col("off_by") >= significant, "above")
+            .when(F.col("off_by") <= -significant, "below")
+            .when(F.col("off_by").isNotNull(), "as expected"),
+        )
+    )

@@ -536,6 +536,84 @@ ORACLES: dict[str, str] = {
         "payroll",
     ),
 }
+_AVAILABLE = f"""
+    select split_part(Pos, '-', 1) as position, cast(Age // 5 * 5 as integer) as age_from,
+           G / {float(P.season_length)}::double as share
+    from kept join (
+        select *, percent_rank() over (
+            partition by seasonStartYear order by amount nulls first) as standing
+        from money) on Player = playerName and Season = seasonStartYear
+    where standing >= 0.5"""
+ORACLES["availability_by_position_and_age"] = _sql(
+    """select case when grouping(position) + grouping(age_from) = 0 then 'position and age'
+                   when grouping(position) = 0 then 'position'
+                   when grouping(age_from) = 0 then 'age' else 'all' end as grouped_by,
+              position, age_from, count(*) as num_players, r(avg(share), 3) as avg_availability
+       from available
+       group by grouping sets ((position, age_from), (position), (age_from), ())
+       having count(*) > 0""",
+    "kept",
+    "money",
+    available=_AVAILABLE,
+)
+
+#: two predictors, solved by determinants
+ORACLES["expected_amount"] = _sql(
+    f"""select *, case when off_by >= {P.significant} then 'above'
+                       when off_by <= -{P.significant} then 'below'
+                       when off_by is not null then 'as expected' end as priced
+        from (
+            select Player, Season, Tm, age, prod_per_game, salary_millions,
+                   r(e, 2) as expected_millions, r(salary_millions - e, 2) as residual_millions,
+                   r((salary_millions - e) / nullif(spread, 0), 2) as off_by
+            from (select *, base + bx * prod_per_game + ba * age as e
+                  from listed left join model using (Season)))""",
+    "scored",
+    "money",
+    listed=f"""
+        select Player, Season, Tm, Age as age, r(prod, 2) as prod_per_game,
+               r(amount / {_UNIT}, 2) as salary_millions
+        from scored join money on Player = playerName and Season = seasonStartYear
+        where G >= {P.small_sample} and amount > {P.floor_amount}""",
+    steps="""
+        select Season, cast(round(prod_per_game * 100) as bigint) as x,
+               cast(age * 100 as bigint) as a, cast(round(salary_millions * 100) as bigint) as y
+        from listed""",
+    sums="""
+        select Season, count(*)::double as n, sum(x)::double as sx, sum(a)::double as sa,
+               sum(y)::double as sy, n * sum(x * x) - sx * sx as xx, n * sum(x * a) - sx * sa as xa,
+               n * sum(a * a) - sa * sa as aa, n * sum(x * y) - sx * sy as xy,
+               n * sum(a * y) - sa * sy as ay, n * sum(y * y) - sy * sy as yy
+        from steps group by Season having count(*) > 3""",
+    solved="""
+        select *, (xy * aa - ay * xa) / (xx * aa - xa * xa) as bx,
+               (ay * xx - xy * xa) / (xx * aa - xa * xa) as ba
+        from sums""",
+    model="""
+        select Season, bx, ba, (sy - bx * sx - ba * sa) / n / 100 as base,
+               sqrt((yy - bx * xy - ba * ay) / n / (n - 3)) / 100 as spread
+        from solved""",
+)
+
+ORACLES["longest_streak"] = f"""
+    with games as (
+        select c_name as PLAYER_NAME, l_quantity >= {P.streak_floor} as reached,
+               row_number() over (partition by c_name
+                   order by o_orderdate, l_orderkey, l_linenumber, l_quantity) as place
+        from lineitem
+        join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+    islands as (
+        select *, place - row_number() over (
+            partition by PLAYER_NAME, reached order by place) as island
+        from games),
+    streaks as (
+        select PLAYER_NAME, island, reached, count(*) as n, max(place) as ends
+        from islands group by all)
+    select PLAYER_NAME, cast(sum(n) as bigint) as events,
+           coalesce(max(n) filter (reached), 0) as longest_run,
+           case when arg_max(reached, ends) then arg_max(n, ends) else 0 end as current_run
+    from streaks group by PLAYER_NAME"""
+
 ORACLES["q04_sustained_top"] = (
     f"select * from ({ORACLES['q04_sustained']}) order by seasons_above desc, Player limit 20"
 )

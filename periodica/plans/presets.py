@@ -37,6 +37,8 @@ class Preset:
     lowest_tier: str = "Bench (< 10)"
     debut_from: int = 1953
     consistency_rate: float = 15
+    streak_floor: float = 20
+    significant: float = 2.0
     lowest_age: int = 19
     highest_age: int = 38
     money: MoneyLayout = MONEY

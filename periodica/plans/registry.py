@@ -18,7 +18,7 @@ from periodica.functions import (
     signed_label,
 )
 from periodica.layout import DetailLayout
-from periodica.operators import clean, names, ranking, trends, value
+from periodica.operators import clean, names, ranking, runs, trends, value
 from periodica.plans.presets import ORDERS as P
 from periodica.sources import load
 from periodica.sources.schemas import LOGICAL
@@ -351,6 +351,41 @@ def q15b_avail(spark: SparkSession, sf: str) -> DataFrame:
     return _availability(spark, sf, P.adjusted_money)
 
 
+@_query
+def availability_by_position_and_age(spark: SparkSession, sf: str) -> DataFrame:
+    star = Star(spark, sf)
+    return value.availability_by(
+        star.player_stats(),
+        star.salaries(),
+        season_length=P.season_length,
+        money_layout=P.money,
+    )
+
+
+@_query
+def expected_amount(spark: SparkSession, sf: str) -> DataFrame:
+    star = Star(spark, sf)
+    return value.expected_amount(
+        star.player_stats(),
+        star.salaries(),
+        P.small_sample,
+        P.floor_amount,
+        P.significant,
+        money_layout=P.money,
+    )
+
+
+# --- runs -----------------------------------------------------------------------------------
+
+
+@_query
+def longest_streak(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest and current run of games with so many points, of every player."""
+    games = Star(spark, sf).game_log()
+    reached = F.col("PTS") >= P.streak_floor
+    return runs.longest_runs(games, "PLAYER_NAME", ["played", "game", "part", "PTS"], reached, "games")
+
+
 # --- names ----------------------------------------------------------------------------------
 
 

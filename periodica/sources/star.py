@@ -150,6 +150,29 @@ class Star:
             "c_name as PLAYER_NAME", "Team", "Season", "l_quantity as PTS", "games"
         )
 
+    def game_log(self, seasons: tuple[int, int] | None = None) -> DataFrame:
+        """Games in their order: player, season, points, and the place as date, order and line.
+
+        Equal line items of an order are counted before the join (``games``)."""
+        per_line = (
+            self.table("lineitem")
+            .groupBy("l_orderkey", "l_linenumber", "l_quantity")
+            .agg(F.expr("count(1) as games"))
+        )
+        orders = self.orders(seasons).selectExpr(
+            "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderdate"
+        )
+        names = self.table("customer").select("c_custkey", "c_name")
+        return per_line.join(orders, "l_orderkey").join(names, "c_custkey").selectExpr(
+            "c_name as PLAYER_NAME",
+            "Season",
+            "o_orderdate as played",
+            "l_orderkey as game",
+            "l_linenumber as part",
+            "l_quantity as PTS",
+            "games",
+        )
+
     def player_games(
         self, seasons: tuple[int, int] | None = None, cluster_by: Sequence[str] = ("PLAYER_NAME", "Team")
     ) -> DataFrame:

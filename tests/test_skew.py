@@ -22,6 +22,9 @@ QUERIES = (
     "q12_cost_per_unit",
     "q14_peak_index",
     "q15_avail",
+    "availability_by_position_and_age",
+    "expected_amount",
+    "longest_streak",
     "resolve_list",
 )
 
