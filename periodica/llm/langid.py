@@ -8,8 +8,9 @@ counted per language over the whole text, and each count is corrected for the fa
 the fill of that language's slice predicts. The largest corrected count decides; the score is its
 share of all corrected counts.
 
-Learning is bounded: ``sample`` documents of each language, chosen by a hash of id and text, with
-all of their text, and ``kept`` trigrams per language. So the filter, which every task gets, has a size
+Learning is bounded: of the ``languages`` with the most usable rows (of equal ones the first by name)
+``sample`` documents each, chosen by a hash of id and text, with all of their text, and ``kept``
+trigrams. A long text is looked at in pieces that together have just the trigrams of the whole. So the filter, which every task gets, has a size
 that the number of languages fixes: 2^``digits`` places of one byte per eight languages, from 65
 languages on of eight bytes for every 64.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.llm.common import PIECE, mixed, runs, sampled
+from periodica.llm.common import PIECE, mixed, sampled
 
 UNKNOWN = "und"
 
@@ -38,6 +39,7 @@ WORD = 64
 
 @dataclass(frozen=True)
 class Learning:
+    languages: int = 1000
     sample: int = 2000  # documents of a language
     kept: int = 20_000  # trigrams of a language
     least: int = 3  # times a trigram is seen in a language
@@ -111,22 +113,48 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[whole], np.stack([place[first], place[last]]), letters[ends] - letters[starts]
 
 
-def _split(text: str) -> list[str]:
-    """A long text in pieces, cut at blanks where there are any."""
-    out, start = [], 0
-    while len(text) - start > PIECE:
-        cut = text.rfind(" ", start + PIECE // 2, start + PIECE)
-        cut = start + PIECE if cut < 0 else cut
-        out.append(text[start:cut])
-        start = cut
-    return [*out, text[start:]]
-
+def _split(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """A text in lower case, a long one in pieces that together have just its trigrams.
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Pieces of texts and the rows they belong to, a bounded number of characters at once."""
-    parts = [(i, p) for i, t in enumerate(texts) for p in _split(t or "")]
-    for a, b in runs([len(p) + 1 for _, p in parts]):
-        yield [p for _, p in parts[a:b]], np.array([i for i, _ in parts[a:b]])
+    Cuts are where no letter stands. Where there is none for half a piece, they part two letters:
+    each piece then also has the other's letter, and says that its first or last letter is one.
+    """
+    text, start, before = text.lower(), 0, False
+    while len(text) - start > PIECE:
+        cut = start + PIECE
+        while cut > start + PIECE // 2 and text[cut - 1].isalpha() and text[cut].isalpha():
+            cut -= 1
+        after = text[cut - 1].isalpha() and text[cut].isalpha()
+        if after:
+            cut = start + PIECE
+        yield text[start - before : cut + after], before, after
+        start, before = cut, after
+    yield text[start - before :], before, False
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Trigrams of pieces of texts, a bounded number of characters at once: all of them in order,
+    where each piece's begin and end, its letters, and the row it belongs to."""
+    for parts in _bounded((i, *p) for i, t in enumerate(texts) for p in _split(t or "")):
+        row, pieces, before, after = zip(*parts, strict=True)
+        grams, (first, last), letters = trigrams(list(pieces))
+        before, after = np.array(before, np.int64), np.array(after, np.int64)
+        # a letter that another piece counts has the first or last trigram of its piece
+        yield grams, np.stack([first + before, last - after]), letters - before - after, np.array(row)
+
+
+def _bounded(parts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Neighbouring pieces, with at most ``PIECE`` characters in sum or alone."""
+    held, total = [], 0
+    for part in parts:
+        size = len(part[1]) + 1
+        if held and total + size > PIECE:
+            yield held
+            held, total = [], 0
+        held.append(part)
+        total += size
+    if held:
+        yield held
 
 
 # --- learning ---------------------------------------------------------------------------------
@@ -137,8 +165,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column("lang").to_pylist(), object)
         texts = batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
-            for parts, _ in _pieces([texts[i] for i in np.flatnonzero(langs == lang)]):
-                grams, times = np.unique(trigrams(parts)[0], return_counts=True)
+            for found, (first, last), _, _ in _pieces([texts[i] for i in np.flatnonzero(langs == lang)]):
+                own = np.zeros(len(found) + 1, np.int64)
+                np.add.at(own, first, 1)
+                np.add.at(own, last, -1)
+                grams, times = np.unique(found[np.cumsum(own[:-1]) > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(grams), pa.string()),
@@ -163,7 +194,10 @@ def learn(
         F.col(text_col).alias("text"),
         F.col(id_col).alias("id"),
     )
-    rows = sampled(rows.where("lang is not null and text is not null"), "lang", how.sample, 17)
+    rows = rows.where("lang is not null")
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages)
+    rows = rows.where("text is not null").join(F.broadcast(most.select("lang")), "lang", "left_semi")
+    rows = sampled(rows, "lang", how.sample, 17)
     counts = rows.mapInArrow(_counted, "lang string, gram long, times long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     share = F.col("times") / F.sum("times").over(Window.partitionBy("lang"))
@@ -212,8 +246,7 @@ def predict_texts(texts: list[str | None], known: Filter) -> tuple[list[str], np
     grams = np.zeros(size)
     letters = np.zeros(size, np.int64)
     one = known.places.dtype.type(1)
-    for parts, row in _pieces(texts):
-        found, (first, last), here = trigrams(parts)
+    for found, (first, last), here, row in _pieces(texts):
         np.add.at(letters, row, here)
         np.add.at(grams, row, last - first)
         total = np.zeros(len(found) + 1, np.int32)

@@ -91,3 +91,45 @@ def test_empty_tables_and_nothing_learnt(make_docs, known):
     assert langid.predict(none, known).collect() == []
     untaught = langid.learn(make_docs([(1, "some text", None), (2, None, "en"), (None, "a", "en")]))
     assert langid.predict_texts(["some text"], untaught)[0] == ["und"]
+
+
+@pytest.mark.parametrize("piece", [4, 5, 9, 16])
+def test_pieces_have_the_trigrams_of_the_whole(monkeypatch, piece):
+    rng = np.random.default_rng(piece)
+    texts = ["".join(rng.choice(list("abÉ漢字ΣİA .,1"), size=n)) for n in (0, 1, 3, 17, 60, 200)]
+    texts += ["漢字仮名" * 40, "." * 90, "a" * 50 + "." + "b" * 50, None]
+    monkeypatch.setattr(langid, "PIECE", piece)
+    found = [[] for _ in texts]
+    letters = np.zeros(len(texts), int)
+    for grams, (first, last), here, row in langid._pieces(texts):
+        for a, b, n, r in zip(first, last, here, row, strict=True):
+            found[r] += grams[a:b].tolist()
+            letters[r] += n
+    for text, mine, n in zip(texts, found, letters, strict=True):
+        whole, (first, last), here = langid.trigrams([text or ""])
+        assert mine == whole[first[0] : last[0]].tolist()
+        assert n == here[0]
+
+
+def test_learning_counts_the_trigrams_of_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    text = "漢字仮名交じり文" * 9 + " ab" * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x"]), pa.array([text, "zz", text])], ["lang", "text"])
+
+    def counted():
+        out = {}
+        for part in langid._counted(iter([batch])):
+            for lang, gram, times in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                out[lang, gram] = out.get((lang, gram), 0) + times
+        return out
+
+    whole = counted()
+    monkeypatch.setattr(langid, "PIECE", 6)
+    assert counted() == whole
+
+
+def test_languages_with_the_most_rows_are_learnt(make_docs):
+    rows = [(i, "the thing and the other thing " * 3, "en" if i < 6 else f"x{i:02}") for i in range(12)]
+    known = langid.learn(make_docs(rows), how=langid.Learning(languages=2))
+    assert known.languages == ("en", "x06")
