@@ -11,7 +11,7 @@ differently. Tokens become spans if the field is sure and a link, direct or from
 leads to a base span of that kind; a document without base spans so stays clean.
 
 The potentials are learnt piece by piece, with the base spans as labels, from at most ``sample``
-documents chosen by a hash of id and text. Finding covers whole texts. All patterns take time
+documents chosen by a hash of id and text, and at most ``tokens`` of their tokens. Finding covers whole texts. All patterns take time
 linear in the text. Offsets are code points, ends exclusive.
 
 A NULL text is empty and has no spans; ids may be NULL or repeat, each row is searched for itself.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import sampled
+from periodica.llm.common import sampled, stored
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)  # the label of other tokens
@@ -327,22 +327,14 @@ def beliefs(
     return _softmax(total)
 
 
-def fit(texts: list[str], how: Learning = Learning()) -> Field:
-    """Potentials, piece by piece: logistic regression of labels on features, counts for links."""
-    rows, labels = [], []
-    beside, alike = np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
-    for text in texts:
-        graph = _graph(text, base_spans(text))
-        for links, counts in ((graph.beside, beside), (graph.alike, alike)):
-            for i, j in links:
-                counts[graph.label[i], graph.label[j]] += 1
-        room = how.tokens - len(rows)
-        rows += [_features(text, a, b, how.digits) for a, b in graph.spans[:room]]
-        labels += graph.label[:room]
+def fit(
+    seen: np.ndarray, label: np.ndarray, beside: np.ndarray, alike: np.ndarray, how: Learning
+) -> Field:
+    """Potentials, piece by piece: logistic regression of labels on features (a row per token),
+    and how often tokens with two labels were linked."""
     weights = np.zeros((1 << how.digits, LABELS))
-    if rows:
-        seen = np.array(rows)
-        truth = np.eye(LABELS)[labels]
+    if len(seen):
+        truth = np.eye(LABELS)[label]
         square = np.full_like(weights, 1e-8)
         for _ in range(how.rounds):
             off = (truth - _softmax(weights[seen].sum(axis=1))) / len(seen)
@@ -431,16 +423,67 @@ def spans(text: str, field: Field | None) -> list[tuple[int, int, int, bool]]:
 # --- on Spark ---------------------------------------------------------------------------------
 
 
+_TOKENS = "doc long, place int, features array<int>, label int, beside array<int>, alike array<int>"
+_AT_ONCE = 10_000  # tokens
+
+
+def _examples(digits: int):
+    """Tokens of texts: features, label, and the labels of their links as one number each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int32())
+        for batch in batches:
+            docs = batch.column("doc").to_pylist()
+            for doc, text in zip(docs, batch.column("text").to_pylist(), strict=True):
+                graph = _graph(text, base_spans(text))
+                pairs: tuple[dict, dict] = {}, {}
+                for links, of in zip((graph.beside, graph.alike), pairs, strict=True):
+                    for i, j in links:
+                        of.setdefault(i, []).append(graph.label[i] * LABELS + graph.label[j])
+                for start in range(0, len(graph.spans), _AT_ONCE):
+                    here = range(start, min(start + _AT_ONCE, len(graph.spans)))
+                    rows = [_features(text, *graph.spans[k], digits) for k in here]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc] * len(here), pa.int64()),
+                            pa.array(here, pa.int32()),
+                            pa.array(rows, lists),
+                            pa.array([graph.label[k] for k in here], pa.int32()),
+                            *[pa.array([of.get(k, []) for k in here], lists) for of in pairs],
+                        ],
+                        ["doc", "place", "features", "label", "beside", "alike"],
+                    )
+
+    return run
+
+
 def learn(
     docs: DataFrame, how: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text"
 ) -> Field:
+    """The field, learnt from what patterns find. Texts stay in the tasks: the driver gets
+    ``how.tokens`` rows of feature numbers, in the order of a hash of their document, and how often
+    each two labels were linked."""
     rows = docs.select(
         F.lit(0).alias("all"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
     rows = rows.where(F.col("text").rlike("[0-9@]"))
-    texts = sampled(rows, "all", how.sample, 31).select(_around("text").alias("text"))
-    found = texts.toArrow().column("text").to_pylist()
-    return fit(sorted(found), how)
+    texts = sampled(rows, "all", how.sample, 31).select(
+        F.xxhash64("id", "text").alias("doc"), _around("text").alias("text")
+    )
+    tokens = stored(texts.mapInArrow(_examples(how.digits), _TOKENS), "pii-tokens")
+    first = tokens.select("doc", "place", "features", "label").orderBy("doc", "place")
+    first = first.limit(how.tokens).toArrow()
+    width = len(first.column("features")[0]) if len(first) else 0
+    features = first.column("features").combine_chunks().flatten().to_numpy()
+    linked = {}
+    for name in ("beside", "alike"):
+        counts = np.zeros(LABELS * LABELS)
+        pairs = tokens.select(F.explode(name).alias("pair")).groupBy("pair").count()
+        for pair, count in pairs.collect():
+            counts[pair] = count
+        linked[name] = counts.reshape(LABELS, LABELS)
+    label = first.column("label").to_numpy()
+    return fit(features.reshape(-1, width or 1), label, linked["beside"], linked["alike"], how)
 
 
 def _around(text: str):

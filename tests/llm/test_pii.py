@@ -137,3 +137,14 @@ def test_rows(make_docs, field):
     assert found[2]["spans"][0].asDict() == {"kind": "email", "start": 0, "end": 6, "base": True}
     assert pii.find(make_docs([]), field).collect() == []
     assert pii.find(make_docs(rows), pii.learn(make_docs([]))).count() == 6
+
+
+def test_learning_is_bounded_and_does_not_depend_on_partitions(make_docs):
+    rows = [(i, f"call +49 30 12345{i:03} or 0049301234{i:04}, a{i}@b.org " * 40) for i in range(60)]
+    docs = make_docs(rows)
+    how = pii.Learning(tokens=500, rounds=5)
+    one, other = pii.learn(docs, how), pii.learn(docs.repartition(5), how)
+    assert np.allclose(one.weights, other.weights)
+    # links are counted over all of the sample's tokens
+    assert np.array_equal(one.beside, other.beside) and np.array_equal(one.alike, other.alike)
+    assert one.alike[pii.KINDS.index("email"), pii.KINDS.index("email")] > 0
