@@ -2,7 +2,9 @@
 
 Tasks take documents in blocks of bounded size, split them into pre-tokens and keep each word of a
 block once, with the places where it stands. The distinct words are shuffled by their hash, so all
-blocks' copies of a word meet, and it is encoded once. Its ids go back to the blocks that hold it,
+blocks' copies of a word meet, and it is encoded once. A bucket of words is read in batches, so it may
+grow with the corpus: its task remembers words up to a bound (``REMEMBERED``); words not met for long
+are then forgotten, and encoded again if they come back. The ids of a word go back to the blocks that hold it,
 and the documents are put together by position. The places themselves don't move: they lie in a
 table bucketed by block, next to which the ids of the block's words are dealt. Decoding joins ids
 with the table of the tokens' bytes, whose size the vocabulary fixes.
@@ -23,6 +25,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,13 @@ BLOCK = 1 << 25
 #: pre-tokens packed together
 RUN = 1 << 17
 
+#: bytes of words and ids that a task remembers in a bucket; as much again of older ones
+REMEMBERED = 1 << 27
+_ENTRY = 200  # bytes of a remembered word besides
+
+#: bytes of words whose ids are given back together
+_AT_ONCE = 1 << 24
+
 
 def read_ranks(path: str) -> bytes:
     """The vocabulary file, lines of a token in base64 and its rank."""
@@ -245,32 +255,52 @@ _IDS_SCHEMA = pa.schema(
 )
 
 
-def _encoder(vocabulary) -> Callable:
-    """Encodes the words of a bucket, each distinct one once, and gives each block its ids."""
+def _encoder(vocabulary, remembered: int = REMEMBERED) -> Callable:
+    """Encodes the words of a bucket, each distinct one once while it is remembered, and gives each
+    block its ids. A bucket comes in batches and is never held as a whole."""
 
-    def encode(group: pa.Table) -> pa.Table:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(vocabulary)
-        known: dict[bytes, list[int]] = {}
+        known, older, room = {}, {}, remembered
         unpack = zstandard.ZstdDecompressor().decompress
-        out = defaultdict(list)
-        for row in group.to_pylist():
-            data, ends = unpack(row["words"]), _ends(_unpack(row["lengths"])).tolist()
-            found = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                word = data[a:b]
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = encode_word(word, ranks)
-                found.append(ids)
-            out["block"].append(row["block"])
-            out["numbers"].append(row["numbers"])
-            out["lengths"].append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
-            out["word_ids"].append(_pack(np.array([i for ids in found for i in ids], np.uint32)))
-        return pa.table(out, _IDS_SCHEMA)
+        out, held = defaultdict(list), 0
+        for batch in batches:
+            for row in (dict(zip(batch.schema.names, r, strict=True)) for r in _by_row(batch)):
+                data, ends = unpack(row["words"]), _ends(_unpack(row["lengths"])).tolist()
+                found = []
+                for a, b in zip(ends, ends[1:], strict=False):
+                    word = data[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = older.pop(word, None)
+                        if ids is None:
+                            ids = encode_word(word, ranks)
+                        if room <= 0:
+                            known, older, room = {}, known, remembered
+                        known[word] = ids
+                        room -= _ENTRY + len(word) + 8 * len(ids)
+                    found.append(ids)
+                flat = np.fromiter(chain.from_iterable(found), np.uint32)
+                out["block"].append(row["block"])
+                out["numbers"].append(row["numbers"])
+                out["lengths"].append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
+                out["word_ids"].append(_pack(flat))
+                held += len(data)
+                if held > _AT_ONCE:
+                    yield pa.RecordBatch.from_pydict(out, _IDS_SCHEMA)
+                    out, held = defaultdict(list), 0
+        if out:
+            yield pa.RecordBatch.from_pydict(out, _IDS_SCHEMA)
 
     return encode
 
 
+def _by_row(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one after the other, without a copy of all of them."""
+    for i in range(batch.num_rows):
+        yield tuple(column[i].as_py() for column in batch.columns)
+
+
 _parsed: dict[int, dict[bytes, int]] = {}
 
 

@@ -67,6 +67,54 @@ def test_long_words_merge_like_short_ones(vocabulary, library):
                 assert bpe._encode_long(word, ranks) == expected
 
 
+@pytest.mark.parametrize("remembered", [1, 2000, bpe.REMEMBERED])
+def test_a_bucket_is_streamed(vocabulary, library, remembered, monkeypatch):
+    """Many blocks' words in batches: as much is remembered as was asked for, the ids are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Shared:
+        value = vocabulary
+
+    encoded, merge = [], bpe.encode_word
+    monkeypatch.setattr(bpe, "encode_word", lambda w, ranks: encoded.append(w) or merge(w, ranks))
+    monkeypatch.setattr(bpe, "_AT_ONCE", 200)
+    words = [f"word{i}".encode() for i in range(50)]
+    given = 0
+
+    def batches():
+        nonlocal given
+        for block in range(0, 80, 4):
+            rows = []
+            for b in range(block, block + 4):
+                rows += list(bpe._word_rows(pa.int64(), b, words, 1).to_pylist())
+            given += 1
+            table = pa.Table.from_pylist(rows).select(["block", "bucket", "words", "lengths", "numbers"])
+            yield from table.combine_chunks().to_batches()
+
+    blocks = []
+    for part in bpe._encoder(Shared, remembered)(batches()):
+        # results come while the bucket is still being read
+        assert given <= 1 + len(blocks) // 4 + 1
+        for row in part.to_pylist():
+            blocks.append(row["block"])
+            own = np.cumsum(bpe._unpack(row["numbers"])).tolist()
+            ids, ends = bpe._unpack(row["word_ids"]).tolist(), bpe._ends(bpe._unpack(row["lengths"]))
+            for number, a, b in zip(own, ends, ends[1:]):
+                assert ids[a:b] == library._core_bpe.encode_single_piece(words[number])
+    assert blocks == list(range(80))
+    if remembered == bpe.REMEMBERED:
+        assert sorted(encoded) == sorted(words)
+
+
+def test_one_word_in_a_third_of_all_texts(make_docs, vocabulary, library):
+    rows = [(i, "hot " * 300 if i % 3 == 0 else f"text{i} of its own") for i in range(90)]
+    found = bpe.encode(make_docs(rows), vocabulary, public_tokenizers.PATTERN, block_chars=500)
+    assert {r["doc_id"]: list(r["ids"]) for r in found.collect()} == {
+        i: library.encode_ordinary(t) for i, t in rows
+    }
+
+
 def test_packing():
     import numpy as np
 
