@@ -4,7 +4,8 @@ Tasks take documents in blocks of bounded size, split them into pre-tokens and k
 block once, with the places where it stands. The distinct words are shuffled by their hash, so all
 blocks' copies of a word meet, and it is encoded once. A bucket of words is read in batches, so it may
 grow with the corpus: its task remembers words up to a bound (``REMEMBERED``); words not met for long
-are then forgotten, and encoded again if they come back. The ids of a word go back to the blocks that hold it,
+are then forgotten, and encoded again if they come back. The ids of a word go back to the blocks that
+hold it,
 and the documents are put together by position. The places themselves don't move: they lie in a
 table bucketed by block, next to which the ids of the block's words are dealt. Decoding joins ids
 with the table of the tokens' bytes, whose size the vocabulary fixes.
