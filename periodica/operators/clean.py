@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from periodica.functions import parse_money
 from periodica.layout import MONEY, STATS, MoneyLayout, StatLayout
+from periodica.operators.keys import free_names
 
 
 def prefer_rows(
@@ -24,24 +25,31 @@ def prefer_rows(
                   on them. A key's rows meet in one task, so it is meant for a table whose grain
                   bounds them (one row per entity, period and group). Rows with a NULL key, which
                   no grain bounds, are spread over windows of their own.
-    ``anti_join`` the keys that have a preferred row, distinct, against all the other rows. Works
-                  for any number of rows per key: the key side shrinks before it is shuffled and
-                  an oversized partition of the other side can be split.
+    ``anti_join`` the keys that have a preferred row, counted on the map side first, against the
+                  rows. Works for any number of rows per key: the key side shrinks before it is
+                  shuffled and an oversized partition of the rows can be split. Both sides read one
+                  exchange of the rows: no condition on a column stands below it.
     """
     preferred = F.coalesce(preferred, F.lit(False))
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    at, keep = free_names(df, "at", "keep")
     if method == "window":
         spread = F.when(null_key, F.xxhash64(*df.columns)).otherwise(F.lit(0))
-        rows = df.withColumn("__apart", spread)
-        has_preferred = F.max(preferred).over(Window.partitionBy(*keys, "__apart"))
-        marked = rows.withColumn("__keep", preferred | ~has_preferred | null_key)
-        return marked.filter("__keep").drop("__keep", "__apart")
+        rows = df.withColumn(at, spread)
+        has_preferred = F.max(preferred).over(Window.partitionBy(*keys, at))
+        marked = rows.withColumn(keep, preferred | ~has_preferred | null_key)
+        return marked.filter(F.col(keep)).drop(at, keep)
     if method == "anti_join":
-        # one exchange that both uses read; hashing by all columns keeps it the same for both
         rows = df.repartition(*df.columns)
-        covered = rows.filter(preferred).select(*keys).distinct()
-        others = rows.filter(~preferred).join(covered, list(keys), "left_anti")
-        return rows.filter(preferred).unionByName(others)
+        key = [F.col(k) for k in keys]
+        covered = (
+            rows.groupBy(F.struct(*key, F.lit(0).cast("bigint").alias("apart")).alias(at))
+            .agg(F.max(preferred & ~null_key).alias(keep))
+            .where(F.col(keep))
+        )
+        spread = F.when(null_key, F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("bigint"))
+        found = rows.join(covered, F.struct(*key, spread.alias("apart")) == F.col(at), "left")
+        return found.where(preferred | F.col(keep).isNull()).drop(at, keep)
     raise ValueError(f"unknown method: {method}")
 
 

@@ -1,4 +1,5 @@
-"""Rows whose key may be among given keys, told by a bitmap of bounded size before any shuffle."""
+"""Rows whose key may be among given keys, told by a bitmap of bounded size before any shuffle;
+and names for helper columns."""
 
 from __future__ import annotations
 
@@ -9,6 +10,15 @@ from pyspark.sql import functions as F
 KEY_BITS = 1 << 27
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes for ``df`` to have none of them."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "__"
+    while any(prefix + name.lower() in taken for name in names):
+        prefix += "_"
+    return [prefix + name for name in names]
+
+
 def possibly_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = KEY_BITS) -> DataFrame:
     """``rows`` whose ``column`` is in ``keys`` (its only column), and some of the others.
 

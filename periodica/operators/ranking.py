@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from periodica.operators.keys import free_names
+
 BUCKET_STEPS = 1 << 22
 #: places of NULLs, infinities and NaN; all other values lie between
 _NULL, _LOW, _HIGH, _NAN = (f"cast({x} as decimal(38,0))" for x in ("-1e37", "-9e36", "9e36", "1e37"))
@@ -52,11 +54,35 @@ def top_n_per_group(
 def extremes(
     df: DataFrame, by: str, best: int, worst: int, ties: Sequence[str], best_is_high: bool = True
 ) -> DataFrame:
-    """The ``best`` first and ``worst`` last rows together, each once."""
-    values = df.filter(F.col(by).isNotNull())
-    top = top_k(df if best_is_high else values, by, best, ties, ascending=not best_is_high)
-    bottom = top_k(values, by, worst, ties, ascending=best_is_high)
-    return top.unionByName(bottom).dropDuplicates()
+    """The ``best`` first and ``worst`` last rows together, each once.
+
+    Both ends are cut in one pass over the rows: a row stands once for either end, and the rank
+    inside an end becomes a group limit before the shuffle, so each task sends a few rows. NULLs are
+    in no end but, if high is best and there are too few others, at the end of the best.
+    """
+    end, row = F.col("__end"), "__row.`{}`".format
+    ends = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
+        F.explode(F.array(F.lit("best"), F.lit("worst"))).alias("__end"),
+    )
+    falling = end == ("best" if best_is_high else "worst")
+    order = [
+        F.desc_nulls_last(F.when(falling, F.col(row(by)))),
+        F.asc_nulls_last(F.when(~falling, F.col(row(by)))),
+        *[row(tie) for tie in ties],
+    ]
+    place = F.row_number().over(Window.partitionBy("__end").orderBy(*order))
+    there = F.col(row(by)).isNotNull()
+    if best_is_high:
+        there = there | (end == "best")
+    return (
+        ends.withColumn("__place", place)
+        .where(F.col("__place") <= max(best, worst))
+        .where(F.col("__place") <= F.when(end == "best", best).otherwise(worst))
+        .where(there)
+        .select("__row.*")
+        .distinct()
+    )
 
 
 def _steps(df: DataFrame, column: str, digits: int) -> str:
@@ -87,35 +113,43 @@ def _long_form(df: DataFrame, columns: Sequence[str], digits: int, *others: str)
 
 
 def value_positions(
-    long: DataFrame, times: str = "1", within: Sequence[str] = ()
+    long: DataFrame, times: str = "1", within: Sequence[str] = (), **amounts: str
 ) -> DataFrame:
     """Per (``within``, metric, step): rows with it, rows below it, rows in all.
 
     ``times`` says how many rows a row of ``long`` stands for. NULLs sort below everything.
+    ``amounts`` are expressions to be summed up next to the rows, under their names.
     """
+    sums = {"same": times, **amounts}
     part = ", ".join([*within, "metric"])
     counts = (
         long.groupBy(*within, "metric", "step")
-        .agg(F.expr(f"sum({times}) as same"))
-        .selectExpr("*", f"floor(step / {BUCKET_STEPS}) as bucket")
+        .agg(*[F.expr(f"sum({amount}) as {name}") for name, amount in sums.items()])
+        .selectExpr(
+            f"struct({part}, floor(step / {BUCKET_STEPS}) as bucket) as in_bucket", "step", *sums
+        )
     )
     so_far = "rows between unbounded preceding and 1 preceding"
-    whole = "rows between unbounded preceding and unbounded following"
-    in_bucket = f"over (partition by {part}, bucket order by step"
+    all_rows = "rows between unbounded preceding and unbounded following"
+    in_bucket = "over (partition by in_bucket order by step"
     inside = counts.selectExpr(
         "*",
         f"coalesce(sum(same) {in_bucket} {so_far}), 0) as inside",
-        f"sum(same) {in_bucket} {whole}) as held",
-        f"max(step) {in_bucket} {whole}) = step as last",
+        f"sum(same) {in_bucket} {all_rows}) as held",
+        f"max(step) {in_bucket} {all_rows}) = step as last",
+    )
+    place = ", ".join(f"in_bucket.{c} as {c}" for c in [*within, "metric"])
+    over_buckets = "over (partition by whole order by bucket"
+    totals = inside.filter("last").selectExpr(
+        "in_bucket as whole_bucket", f"struct({place}) as whole", "in_bucket.bucket", "held"
     )
-    over_buckets = f"over (partition by {part} order by bucket"
-    offsets = inside.filter("last").selectExpr(
-        f"struct({part}, bucket) as in_bucket",
+    offsets = totals.selectExpr(
+        "whole_bucket",
         f"coalesce(sum(held) {over_buckets} {so_far}), 0) as offset",
-        f"sum(held) {over_buckets} {whole}) as in_all",
+        f"sum(held) {over_buckets} {all_rows}) as in_all",
     )
-    return inside.join(offsets, F.expr(f"struct({part}, bucket) = in_bucket")).selectExpr(
-        f"struct({part}, step) as at", "same", "inside + offset as below", "in_all"
+    return inside.join(offsets, F.expr("in_bucket = whole_bucket")).selectExpr(
+        f"struct({place}, step) as at", *sums, "inside + offset as below", "in_all"
     )
 
 
@@ -148,29 +182,47 @@ def with_positions(
     """
     columns = list(dict.fromkeys(column for column, _ in outputs.values()))
     names = [f"`{c}`" for c in df.columns]
-    rows = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__times"))
-    counted = _long_form(rows, columns, digits, *within, "__times")
-    positions = value_positions(counted, "__times", within)
-    rows = _long_form(rows, columns, digits, f"struct({', '.join(names)}) as __row", "__times")
-    place = ", ".join([*[f"__row.`{w}` as {w}" for w in within], "metric", "step"])
-    found = rows.join(positions, F.expr(f"struct({place}) = at"))
+    times, whole, places, copy = free_names(df, "times", "row", "place", "copy")
+    rows = df.groupBy(*names).agg(F.count(F.lit(1)).alias(times))
+    counted = _long_form(rows, columns, digits, *within, times)
+    positions = value_positions(counted, times, within)
+    rows = _long_form(rows, columns, digits, f"struct({', '.join(names)}) as {whole}", times)
+    at = ", ".join([*[f"{whole}.`{w}` as {w}" for w in within], "metric", "step"])
+    found = rows.join(positions, F.expr(f"struct({at}) = at"))
     if len(columns) > 1:
-        places = [
-            F.expr(f"max(if(metric = '{c}', struct(same, below, in_all), null)) as __place{i}")
+        of_column = [
+            F.expr(f"max(if(metric = '{c}', struct(same, below, in_all), null)) as {places}{i}")
             for i, c in enumerate(columns)
         ]
-        found = found.groupBy("__row", "__times").agg(*places)
+        found = found.groupBy(whole, times).agg(*of_column)
     else:
-        found = found.selectExpr("__row", "__times", "struct(same, below, in_all) as __place0")
+        found = found.selectExpr(whole, times, f"struct(same, below, in_all) as {places}0")
     measured = [
-        f"{_measure(measure, f'__place{columns.index(column)}.')} as {name}"
+        f"{_measure(measure, f'{places}{columns.index(column)}.')} as {name}"
         for name, (column, measure) in outputs.items()
     ]
-    found = found.selectExpr(
-        *[f"__row.{c} as {c}" for c in names], *measured, "__times as __times"
+    copies = f"explode(sequence(1L, {times})) as {copy}"
+    found = found.selectExpr(*[f"{whole}.{c} as {c}" for c in names], *measured, copies)
+    return found.drop(copy)
+
+
+def sums_from_percent_rank(
+    df: DataFrame, value: str, within: str, floor: float, sums: Mapping[str, str], times: str
+) -> DataFrame:
+    """Per ``within`` the ``sums`` (names and expressions) over rows whose percent rank by the whole
+    number ``value`` reaches ``floor``; a row of ``df`` stands for ``times`` rows.
+
+    The amounts are summed per distinct value first, next to the counts that tell its rank, so the
+    rows themselves are never joined with a cut. NULL values rank lowest and are not summed up.
+    """
+    columns = [f"{expr} as {name}" for name, expr in sums.items()]
+    long = _long_form(df, [value], 0, within, f"{times} as times", *columns)
+    positions = value_positions(long, "times", [within], **{name: name for name in sums})
+    return (
+        positions.where(f"{_percent_rank('')} >= {floor} and at.step > {_NULL}")
+        .groupBy(F.expr(f"at.{within} as {within}"))
+        .agg(*[F.sum(name).alias(name) for name in sums])
     )
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))
-    return found.withColumn("__copy", copies).drop("__times", "__copy")
 
 
 def percent_rank_floor(

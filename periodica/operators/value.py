@@ -15,7 +15,12 @@ from periodica.functions import (
 from periodica.layout import MONEY, STATS, MoneyLayout, StatLayout
 from periodica.operators.clean import clean_money, clean_stats
 from periodica.operators.fit import least_squares, predicted
-from periodica.operators.ranking import percent_rank_floor, top_k, with_positions
+from periodica.operators.ranking import (
+    percent_rank_floor,
+    sums_from_percent_rank,
+    top_k,
+    with_positions,
+)
 
 #: terms of the production score
 SCORE_PLUS = ("PTS", "TRB", "AST", "STL", "BLK")
@@ -92,10 +97,25 @@ def value_per_cost(
     lenient: bool = False,
     method: str = "window",
 ) -> DataFrame:
-    """Rate per unit of money, of unrounded values."""
+    """Rate per unit of money, of unrounded values: the best ``k``, or all, sorted."""
+    rows = value_rates(stats, money, period, min_units, layout, money_layout, lenient, method)
+    return top_k(rows, "ppg_per_million", k, [layout.entity, layout.group, "salary_millions"])
+
+
+def value_rates(
+    stats: DataFrame,
+    money: DataFrame,
+    period: int = 2021,
+    min_units: float = 41,
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """Rate per unit of money, in no order."""
     paid = _paid(stats, money, min_units, None, period, layout, money_layout, lenient, method)
     per_unit = rate(layout.total, layout.units)
-    rows = paid.select(
+    return paid.select(
         layout.entity,
         layout.group,
         layout.units,
@@ -103,7 +123,6 @@ def value_per_cost(
         round_half_up("__money", 2).alias("salary_millions"),
         round_half_up(F.try_divide(per_unit, F.col("__money")), 2).alias("ppg_per_million"),
     )
-    return top_k(rows, "ppg_per_million", k, [layout.entity, layout.group, "salary_millions"])
 
 
 def unit_costs(
@@ -146,11 +165,29 @@ def cost_per_unit(
     lenient: bool = False,
     method: str = "window",
 ) -> DataFrame:
-    """Money per rounded production score, ranked from both ends."""
+    """Money per rounded production score, ranked from both ends, sorted."""
+    ranked = ranked_costs(
+        stats, money, period, min_units, min_amount, layout, money_layout, lenient, method
+    )
+    return ranked.orderBy("cost_per_unit", layout.entity, layout.group)
+
+
+def ranked_costs(
+    stats: DataFrame,
+    money: DataFrame,
+    period: int = 2021,
+    min_units: float = 41,
+    min_amount: float = 1_000_000,
+    layout: StatLayout = STATS,
+    money_layout: MoneyLayout = MONEY,
+    lenient: bool = False,
+    method: str = "window",
+) -> DataFrame:
+    """The same in no order."""
     priced = unit_costs(
         stats, money, period, min_units, min_amount, layout, money_layout, lenient, method
     )
-    ranked = with_positions(
+    return with_positions(
         priced,
         {
             "underpaid_rank": ("cost_per_unit", "rank"),
@@ -158,7 +195,6 @@ def cost_per_unit(
         },
         digits=2,
     )
-    return ranked.orderBy("cost_per_unit", layout.entity, layout.group)
 
 
 def share_premium(
@@ -317,7 +353,7 @@ def _well_paid(
     amounts = clean_money(money, money_layout, lenient=lenient)
     amounts = amounts.repartition(money_layout.entity, money_layout.period)
     cuts = percent_rank_floor(amounts, "salary_int", money_layout.period, floor).select(
-        F.col(money_layout.period).alias("__period"), "cut"
+        F.struct(F.col(money_layout.period).alias("period")).alias("__period"), "cut"
     )
     played = clean_stats(stats.dropna(subset=layout.key), layout, method).select(
         *layout.key,
@@ -327,9 +363,9 @@ def _well_paid(
     same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
         F.col(layout.period) == F.col(money_layout.period)
     )
-    paid = amounts.join(played, same, "left").join(
-        cuts, F.col(money_layout.period) == F.col("__period"), "left"
-    )
+    # a struct is never NULL, so this join adds no filter of its own to the counts' side either
+    in_period = F.struct(F.col(money_layout.period).alias("period")) == F.col("__period")
+    paid = amounts.join(played, same, "left").join(cuts, in_period, "left")
     return paid, F.col(layout.period).isNotNull() & (F.col("salary_int") >= F.col("cut"))
 
 
@@ -343,18 +379,37 @@ def availability_trend(
     lenient: bool = False,
     method: str = "window",
 ) -> DataFrame:
-    """Per period: how many of the better paid there are and their mean availability."""
-    paid, counted = _well_paid(
-        stats, money, season_length, floor, layout, money_layout, lenient, method
+    """Per period: how many of the better paid there are and their mean availability.
+
+    "Better paid" is a percent rank among all amounts of the period. The stats of an entity and
+    period are summed up where they are, next to each of its amounts, and those per distinct amount
+    with the number of rows that its rank is counted from. So every table is read once, and no row
+    meets a cut: the join's rows give the ranks and the sums alike.
+    """
+    amounts = clean_money(money, money_layout, lenient=lenient)
+    share = F.col(layout.units).cast("double") / float(season_length)
+    played = (
+        clean_stats(stats.dropna(subset=layout.key), layout, method)
+        .groupBy(*layout.key)
+        .agg(
+            F.count(F.lit(1)).alias("__rows"),
+            F.count(share).alias("__known"),
+            F.sum(share).alias("__share"),
+        )
     )
+    same = (F.col(layout.entity) == F.col(money_layout.entity)) & (
+        F.col(layout.period) == F.col(money_layout.period)
+    )
+    paid = amounts.join(played, same, "left").withColumn("__when", F.col(money_layout.period))
+    sums = {"num_players": "coalesce(__rows, 0L)", "known": "coalesce(__known, 0L)", "share": "__share"}
+    found = sums_from_percent_rank(paid, "salary_int", "__when", floor, sums, "1L")
     return (
-        paid.groupBy(F.col(money_layout.period).alias("__when"))
-        .agg(
-            F.count_if(counted).alias("num_players"),
-            round_half_up(F.avg(F.when(counted, F.col("__share"))), 3).alias("avg_availability"),
+        found.filter(F.col("num_players") > 0)
+        .select(
+            F.col("__when").alias(layout.period),
+            "num_players",
+            round_half_up(F.try_divide("share", "known"), 3).alias("avg_availability"),
         )
-        .filter(F.col("num_players") > 0)
-        .withColumnRenamed("__when", layout.period)
         .orderBy(layout.period)
     )
 

@@ -201,21 +201,21 @@ def career(spark: SparkSession, sf: str) -> DataFrame:
 # --- money ----------------------------------------------------------------------------------
 
 
-def _value(spark: SparkSession, sf: str, k: int | None) -> DataFrame:
+def _value(spark: SparkSession, sf: str, rates: Query = value.value_per_cost, **options) -> DataFrame:
     star, season = Star(spark, sf), _season(P.money_season)
-    return value.value_per_cost(
+    return rates(
         star.player_stats(season),
         star.salaries(season),
         P.money_season,
         P.half_sample,
-        k,
         money_layout=P.money,
+        **options,
     )
 
 
-def _cost(spark: SparkSession, sf: str) -> DataFrame:
+def _cost(spark: SparkSession, sf: str, costs: Query = value.cost_per_unit) -> DataFrame:
     star, season = Star(spark, sf), _season(P.money_season)
-    return value.cost_per_unit(
+    return costs(
         star.player_stats(season),
         star.salaries(season),
         P.money_season,
@@ -227,12 +227,12 @@ def _cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def q11_value_per_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return _value(spark, sf, 15)
+    return _value(spark, sf, k=15)
 
 
 @_query
 def q11_value_per_cost_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _value(spark, sf, None)
+    return _value(spark, sf, k=None)
 
 
 @_query
@@ -242,15 +242,17 @@ def q12_cost_per_unit(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def label_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    costs = _cost(spark, sf, value.ranked_costs)
     return ranking.extremes(
-        _cost(spark, sf), "cost_per_unit", 10, 5, ["Player", "Tm"], best_is_high=False
+        costs, "cost_per_unit", 10, 5, ["Player", "Tm"], best_is_high=False
     )
 
 
 @_query
 def label_extremes_value(spark: SparkSession, sf: str) -> DataFrame:
     ties = ["Player", "Tm", "salary_millions"]
-    return ranking.extremes(_value(spark, sf, None), "ppg_per_million", 10, 5, ties)
+    rates = _value(spark, sf, value.value_rates)
+    return ranking.extremes(rates, "ppg_per_million", 10, 5, ties)
 
 
 @_query

@@ -313,6 +313,53 @@ def test_extremes_are_each_listed_once(spark):
     assert sorted(rows(both)) == [("n0", 0.0), ("n1", 1.0), ("n2", 2.0), ("n3", 3.0)]
 
 
+def test_extremes_leave_out_nulls_and_list_repeated_rows_once(spark):
+    df = spark.createDataFrame(
+        [("x", None, 1), ("a", 1.0, 2), ("b", 2.0, 3), ("b", 2.0, 3)],
+        "n string, v double, __row int",
+    )
+    high = ranking.extremes(df, "v", 5, 2, ["n"])
+    assert sorted(rows(high, "n", "__row")) == [("a", 2), ("b", 3), ("x", 1)]
+    low = ranking.extremes(df, "v", 1, 1, ["n"], best_is_high=False)
+    assert sorted(rows(low, "n")) == [("a",), ("b",)]
+    assert rows(ranking.extremes(df.limit(0), "v", 1, 1, ["n"])) == []
+
+
+@pytest.mark.parametrize("method", ["window", "anti_join"])
+def test_preferred_rows_keep_columns_named_like_helpers(spark, method):
+    df = spark.createDataFrame(
+        [("a", "TOT", 1, True), ("a", "X", 2, False), ("b", "X", 3, False), (None, "TOT", 4, None),
+         (None, "X", 5, None)],
+        "k string, Tm string, __at int, __keep boolean",
+    )
+    kept = clean.prefer_rows(df, ["k"], F.col("Tm") == "TOT", method)
+    assert kept.columns == df.columns
+    assert sorted(rows(kept, "__at", "__keep")) == [(1, True), (3, False), (4, None), (5, None)]
+
+
+def test_ranked_rows_keep_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(1, 7, "r"), (2, 8, "s"), (2, 8, "s")], "v int, __times int, __row string")
+    ranked = ranking.with_positions(df, {"place": ("v", "rank")}, digits=0)
+    assert sorted(rows(ranked)) == [(1, 7, "r", 1), (2, 8, "s", 2), (2, 8, "s", 2)]
+
+
+def test_availability_counts_each_amount_once_and_null_amounts_lowest(spark):
+    stats = spark.createDataFrame(
+        [stat("a", 2021, "X", 41.0, 1.0), stat("a", 2021, "Y", 82.0, 1.0), stat("b", 2021, "X", 20.5, 1.0),
+         stat("d", 2021, "X", 82.0, 1.0)],
+        STATS,
+    )
+    # ranks of 2021: NULL 0, b 1/3, c 2/3, a 1; c has money only, d has no amount; 2022 has no stats
+    money = spark.createDataFrame(
+        [("a", 2021, "$9"), ("b", 2021, "$5"), ("c", 2021, "$7"), ("d", 2021, "none"), ("a", 2022, "$9"),
+         ("a", None, "$9")],
+        MONEY,
+    )
+    assert rows(value.availability_trend(stats, money, floor=0.3)) == [(2021, 3, 0.583)]
+    assert rows(value.availability_trend(stats, money, floor=0.5)) == [(2021, 2, 0.75)]
+    assert rows(value.availability_trend(stats, money.limit(0))) == []
+
+
 def test_share_premium_shares_add_up(spark):
     stats = spark.createDataFrame(
         [stat("a", 2021, "X", 50.0, 500.0, pos="C-PF"), stat("b", 2021, "X", 50.0, 1500.0, pos="PG")],
