@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: holds a session's own folder, as ``spark.checkpoint.dir`` can't be set once a session runs
+_OWN_FOLDER = "spark.periodica.folder"
+
 #: folders staged so far, by application
 _staged: dict[str, list[str]] = {}
 
@@ -19,12 +22,12 @@ _staged: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset and Spark runs on this machine alone, a folder
     of this machine. A cluster must set it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='periodica-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(_OWN_FOLDER, folder)
     return folder.rstrip("/")
 
 
