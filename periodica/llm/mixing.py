@@ -10,12 +10,13 @@ in that order until the words still due are reached, within half a document.
 
 No source is ever ranked in one task. Ranks are cut into 2^12 ranges, the one that holds the cut
 into 2^12 again, and only the rows in that one are put in order, rows of equal rank summed up first.
-The cut is then a value per source which every document is compared with.
+The cut is then a value per source which every document is compared with. Rows equal in id and text
+share their place; a cut that falls among them takes as many of them as come nearest, found from
+their number per task.
 
-Nulls: a NULL text has size 0, NULL sources form the last source, a NULL id is hashed as such. Rows
-equal in id and text share their rank: the cut takes or leaves them together. Texts without words
-are never sampled, an empty table gives an empty result, further columns are ignored by ``plan`` and
-kept by ``draw``.
+Nulls: a NULL text has size 0, NULL sources form the last source, a NULL id is hashed as such. Of
+rows equal in id and text any may be the ones taken. Texts without words are never sampled, an empty
+table gives an empty result, further columns are ignored by ``plan`` and kept by ``draw``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from periodica.llm.common import stored, word_count
 
+_CUT = ["cut_rank", "cut_tie", "cut_rows", "cut_taken"]
 _WAY = 12  # binary digits of a rank looked at in one pass
 
 
@@ -129,7 +131,8 @@ def _scored(rows: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _cuts(scored: DataFrame, due: DataFrame) -> DataFrame:
-    """The last rank taken per source: ``source``, ``cut_rank``, ``cut_tie``.
+    """Where the words due are reached: ``source``, ``cut_rank``, ``cut_tie``, how many rows stand
+    there (``cut_rows``) and how many of them are taken (``cut_taken``), which comes nearest.
 
     ``due`` has the words to be sampled per source; sources where all are taken get no row.
     """
@@ -148,46 +151,31 @@ def _cuts(scored: DataFrame, due: DataFrame) -> DataFrame:
             .drop("_s", "_b", "_to")
         )
         place = place.drop("bucket")
-    sums = live.groupBy("source", "rank", "tie").agg(F.sum("size").alias("size"))
-    return _crossing(sums, place, ["rank", "tie"], nearest=True).select(
-        "source", F.col("rank").alias("cut_rank"), F.col("tie").alias("cut_tie")
+    sums = live.groupBy("source", "rank", "tie").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("cut_rows")
+    )
+    # rows of one place are equal in text, so in size
+    words_each = F.col("size") / F.col("cut_rows")
+    return _crossing(sums, place, ["rank", "tie"]).select(
+        "source",
+        F.col("rank").alias("cut_rank"),
+        F.col("tie").alias("cut_tie"),
+        "cut_rows",
+        F.floor(F.col("due") / words_each + 0.5).cast("long").alias("cut_taken"),
     )
 
 
-def _crossing(sums: DataFrame, due: DataFrame, order: list[str], nearest: bool = False):
-    """Per source the row at which the running sum passes what is due, with what is due from there.
-
-    ``nearest``: the row before it instead, if stopping there comes nearer.
-    """
+def _crossing(sums: DataFrame, due: DataFrame, order: list[str]) -> DataFrame:
+    """Per source the row at which the running sum passes what is due, with what is due from there."""
     running = Window.partitionBy("source").orderBy(*order)
     before = F.coalesce(
         F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    joined = (
-        sums.withColumn("before", before)
-        .join(
-            due.select(F.col("source").alias("_s"), "due"),
-            F.col("source").eqNullSafe(F.col("_s")),
-        )
-        .drop("_s")
-    )
-    if not nearest:
-        at = joined.where((F.col("before") <= F.col("due")) & (F.col("before") + F.col("size") > F.col("due")))
-        return at.withColumn("due", F.col("due") - F.col("before"))
-    taken = joined.where(F.col("before") + F.col("size") / 2 <= F.col("due"))
-    last = F.max(F.struct(*order)).alias("_last")
-    # where nothing of the last range is taken, the cut lies just below its first row
-    first = F.min(F.struct(*order)).alias("_first")
-    ends = joined.groupBy("source").agg(first).join(
-        taken.groupBy(F.col("source").alias("_s")).agg(last),
-        F.col("source").eqNullSafe(F.col("_s")),
-        "left",
-    )
-    return ends.select(
-        "source",
-        F.coalesce(F.col("_last.rank"), F.col("_first.rank")).alias("rank"),
-        F.coalesce(F.col("_last.tie"), F.col("_first.tie") - 1).alias("tie"),
+    joined = sums.withColumn("before", before).join(
+        due.select(F.col("source").alias("_s"), "due"), F.col("source").eqNullSafe(F.col("_s"))
     )
+    passed = (F.col("before") <= F.col("due")) & (F.col("before") + F.col("size") > F.col("due"))
+    return joined.drop("_s").where(passed).withColumn("due", F.col("due") - F.col("before"))
 
 
 def _solve(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -221,7 +209,7 @@ def _solve(rows: DataFrame, mix: Mix) -> DataFrame:
     certain = scored.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("_c"))
     due = _with(plan, certain, ["_c"]).select("source", (F.col("target") - F.col("_c")).alias("due"))
     cuts = _cuts(scored, due)
-    return stored(_with(plan, cuts, ["cut_rank", "cut_tie"]), "mix-cuts")
+    return stored(_with(plan, cuts, _CUT), "mix-cuts")
 
 
 def _with(rows: DataFrame, small: DataFrame, columns: list[str]) -> DataFrame:
@@ -233,13 +221,53 @@ def _with(rows: DataFrame, small: DataFrame, columns: list[str]) -> DataFrame:
     ).drop("_s")
 
 
-def _copies() -> Column:
+def _copies(rows: DataFrame, solved: DataFrame, mix: Mix) -> DataFrame:
+    """Adds ``copies`` to rows that have the columns of ``_drawn``."""
+    known = _with(rows, solved, ["source_size", "target", "level", *_CUT])
+    scored = _scored(known, mix)
+    at_cut = (F.col("rank") == F.col("cut_rank")) & (F.col("tie") == F.col("cut_tie"))
     below = (F.col("rank") < F.col("cut_rank")) | (
-        (F.col("rank") == F.col("cut_rank")) & (F.col("tie") <= F.col("cut_tie"))
+        (F.col("rank") == F.col("cut_rank")) & (F.col("tie") < F.col("cut_tie"))
     )
+    below = below | (at_cut & (F.col("cut_taken") == F.col("cut_rows")))
     # no cut: the source's rows are all taken
     extra = F.col("rank").isNotNull() & F.coalesce(below, F.lit(True))
-    return (F.col("certain") + extra.cast("long")).cast("long")
+    copies = (F.col("certain") + extra.cast("long")).cast("long").alias("copies")
+    columns = [f"`{c}`" for c in scored.columns]
+    parted = (F.col("cut_taken") > 0) & (F.col("cut_taken") < F.col("cut_rows"))
+    if solved.where(parted).isEmpty():
+        return scored.select(*columns, copies)
+    parted = F.coalesce(parted & at_cut, F.lit(False))
+    whole = scored.where(~parted).select(*columns, copies)
+    return whole.unionByName(_parted(scored.where(parted), columns))
+
+
+def _parted(tied: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of one place of which ``cut_taken`` get one more copy.
+
+    Equal rows are counted where they are, so a group of a third of all rows is one row per task,
+    and those are numbered on: first the tasks, then the rows in a task.
+    """
+    counted = tied.groupBy(*columns, F.spark_partition_id().alias("_task"))
+    counted = stored(counted.agg(F.count(F.lit(1)).alias("_n")), "mix-tied")
+    so_far = "rows between unbounded preceding and 1 preceding"
+    tasks = counted.groupBy("source", "_task").agg(F.sum("_n").alias("_held"))
+    tasks = tasks.selectExpr(
+        "source as _s",
+        "_task as _t",
+        f"coalesce(sum(_held) over (partition by source order by _task {so_far}), 0) as _before",
+    )
+    in_task = f"over (partition by source, _task order by xxhash64({', '.join(columns)}) {so_far})"
+    numbered = counted.withColumn("_inside", F.expr(f"coalesce(sum(_n) {in_task}, 0)")).join(
+        tasks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_task") == F.col("_t"))
+    )
+    taken = "least(greatest(cut_taken - _before - _inside, 0), _n)"
+    more = f"struct(certain + 1 as c, {taken} as n)"
+    shares = f"inline(array({more}, struct(certain as c, _n - {taken} as n)))"
+    shares = numbered.selectExpr(*columns, f"{shares} as (copies, _times)").where("_times > 0")
+    copies = "cast(copies as long) as copies"
+    single = shares.selectExpr(*columns, copies, "explode(sequence(1L, _times)) as _i")
+    return single.drop("_i")
 
 
 def plan(
@@ -254,16 +282,13 @@ def plan(
         docs.select(F.col(id_col).alias("id"), *_drawn(docs, id_col, text_col, source_col, mix)),
         "mix-sizes",
     )
-    solved = _with(
-        rows, _solve(rows, mix), ["source_size", "target", "level", "cut_rank", "cut_tie"]
-    )
-    return _scored(solved, mix).select(
+    return _copies(rows, _solve(rows, mix), mix).select(
         F.col("id").alias(id_col),
         "source",
         "size",
         F.col("source_size").cast("long").alias("source_size"),
         "target",
-        _copies().alias("copies"),
+        "copies",
     )
 
 
@@ -279,11 +304,9 @@ def draw(
     rows = stored(docs.select(*drawn), "mix-sizes")
     solved = _solve(rows, mix)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *drawn)
-    solved = _with(whole, solved, ["level", "cut_rank", "cut_tie"])
     return (
-        _scored(solved, mix)
-        .withColumn("_copies", _copies())
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        _copies(whole, solved, mix)
+        .where("copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select("_row.*")
     )

@@ -112,3 +112,24 @@ def test_repeated_rows_and_empty_tables(make_docs):
     assert mixing.plan(make_docs([])).collect() == []
     assert mixing.draw(make_docs([])).collect() == []
     assert mixing.plan(make_docs([(1, None), (2, "")])).count() == 2
+
+
+def test_a_cut_among_repeated_rows_takes_part_of_them(make_docs):
+    """One repeated row is most of a source: its words still come within half a row of the target."""
+    rows = [(1, "a b c", "x", "s")] * 90 + [(1, "a b c", "y", "s")] * 11
+    rows += [(10 + i, "w " * 4, None, "s") for i in range(5)] + [(2, "d e", None, None)] * 30
+    for budget in (0.3, 0.55, 1.2):
+        docs, mix = make_docs(rows).repartition(5), Mix(budget=budget)
+        found = mixing.plan(docs, mix).collect()
+        assert len(found) == len(rows)
+        for source in ("s", None):
+            own = [r for r in found if r["source"] == source]
+            target = own[0]["target"]
+            assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 2
+        drawn = mixing.draw(docs, mix)
+        assert drawn.schema == docs.schema
+        want = {}
+        for r in found:
+            want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+        got = {r["doc_id"]: r["count"] for r in drawn.groupBy("doc_id").count().collect()}
+        assert got == {k: v for k, v in want.items() if v}
