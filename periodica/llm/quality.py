@@ -8,7 +8,9 @@ labels.
 
 Learning is bounded: at most ``sample`` labelled documents of each label, chosen by a hash of the id
 among those with at most ``most_lines`` lines; their lines carry the document's label. Everything
-else covers whole texts: tasks take a bounded number of bytes at once, a longer text alone.
+else covers whole texts. Tasks take a bounded number of bytes and lines at once; a text with more goes
+alone, in stretches of lines, with the messages between them carried on in both directions, so its
+marginals are exact. What stays in memory of it is the text and a hash per line that isn't empty.
 
 A NULL text counts as empty, and an empty text is one empty line. Ids may be NULL or repeat, each
 row is scored for itself; where labels repeat, the lowest of a document counts, NULL labels don't.
@@ -67,9 +69,18 @@ _KIND[0x80:0xC0], _KIND[0xC0:] = _REST, _WIDE
 
 FEATURES = 14
 
+#: characters of a stretch of a long text, and lines from which on a text is long
+STRETCH, LONG_LINES = 1 << 17, 1 << 14
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and lengths of all lines, and the number of lines of each text."""
+
+def line_features(
+    texts: list[str], times_of: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and lengths of all lines, and the number of lines of each text.
+
+    ``times_of`` has the lines of a whole text, as sorted hashes, and how often each stands in it,
+    if the texts are parts of that one.
+    """
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
@@ -101,12 +112,18 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     stopped = np.bincount(line_of_word[closing == _STOP], minlength=n)
     # how often the same line stands in the document
     line_key = spans.hashes(starts, ends)
-    order = np.lexsort((line_key, doc))
-    fresh = np.ones(n, bool)
-    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (line_key[order][1:] != line_key[order][:-1])
-    same = np.diff(np.append(np.flatnonzero(fresh), n))
-    repeats = np.empty(n)
-    repeats[order] = np.repeat(same, same)
+    if times_of is None:
+        order = np.lexsort((line_key, doc))
+        by_doc, by_key = doc[order], line_key[order]
+        fresh = np.ones(n, bool)
+        fresh[1:] = (by_doc[1:] != by_doc[:-1]) | (by_key[1:] != by_key[:-1])
+        same = np.diff(np.append(np.flatnonzero(fresh), n))
+        repeats = np.empty(n)
+        repeats[order] = np.repeat(same, same)
+    else:
+        repeats = np.ones(n)
+        solid = length > 0
+        repeats[solid] = times_of[1][np.searchsorted(times_of[0], line_key[solid])]
     known = np.maximum(count, 1)
     letters = kinds[:, _LOWER] + kinds[:, _UPPER] + kinds[:, _WIDE]
     table = [
@@ -130,7 +147,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
     full = [t or "" for t in texts]
-    for a, b in runs([len(t) + 1 for t in full], PIECE):
+    # a line takes as much memory as eight characters
+    for a, b in runs([len(t) + 1 + 7 * t.count("\n") for t in full], PIECE):
         yield a, b, full[a:b]
 
 
@@ -149,8 +167,9 @@ def _seen(bins: np.ndarray, lines: np.ndarray, size: int) -> np.ndarray:
     Beyond the ends of a document the index is one past the weights, which weighs nothing.
     """
     features = bins.shape[1]
-    own = bins + np.arange(features) * size
     none = 3 * features * size
+    kind = np.min_scalar_type(none)
+    own = bins.astype(kind) + (np.arange(features) * size).astype(kind)
     begin = np.zeros(len(bins), bool)
     stop = np.zeros(len(bins), bool)
     ends = np.cumsum(lines)
@@ -256,7 +275,6 @@ def fit(
     for v in (0, 1):
         truth[v, v] = (weight * inner * (y == v)).sum()
     n = 3 * features.shape[1] * how.bins
-    flat_seen = seen.ravel()
     state = np.zeros(n + 5)
     mean, square = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, how.rounds + 1):
@@ -264,9 +282,9 @@ def fit(
         p, pairs = marginals(_weighed(seen, state[:n], state[n]), lines, change)
         off = (y - p) * weight
         gradient = np.empty_like(state)
-        gradient[:n] = np.bincount(
-            flat_seen, np.repeat(off, seen.shape[1]), minlength=n + 1
-        )[:n]
+        gradient[:n] = 0
+        for column in range(seen.shape[1]):
+            gradient[:n] += np.bincount(seen[:, column], off, minlength=n + 1)[:n]
         gradient[n] = off.sum()
         gradient[n + 1 :] = (truth - (pairs * pair_weight).sum(axis=0)).ravel()
         gradient -= how.penalty * state
@@ -299,15 +317,137 @@ def score_texts(texts: list[str | None], field: Field | None) -> np.ndarray:
     if field is None:
         return out
     size = field.weights.shape[2]
+    long = [i for i, t in enumerate(texts) if t and _is_long(t)]
+    texts = list(texts)
+    for i in long:
+        out[i], texts[i] = _score_long(texts[i], field), None
+    means = out[long]
     for a, b, part in _pieces(texts):
         features, length, lines = line_features(part)
         seen = _seen(_binned(features, field.edges), lines, size)
         p, _ = marginals(_weighed(seen, field.weights, field.bias), lines, field.change)
         x = _logit(_document_means(p, length, lines))
         out[a:b] = 1 / (1 + np.exp(-(field.slope * x + field.offset)))
+    out[long] = 1 / (1 + np.exp(-(field.slope * _logit(means) + field.offset)))
     return out
 
 
+# --- long texts -------------------------------------------------------------------------------
+
+
+def _is_long(text: str) -> bool:
+    breaks = text.count("\n")
+    return breaks >= LONG_LINES or (breaks > 0 and len(text) > PIECE)
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of stretches of whole lines; the line break between two is in neither."""
+    start = 0
+    while len(text) - start > STRETCH:
+        end = text.rfind("\n", start, start + STRETCH)
+        if end < 0:
+            end = text.find("\n", start + STRETCH)
+        if end < 0:
+            break
+        yield start, end
+        start = end + 1
+    yield start, len(text)
+
+
+def _times(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lines that aren't empty, sorted, and how often each line stands in the text."""
+    keys = []
+    for a, b in _stretches(text):
+        data = np.frombuffer(text[a:b].encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+        ends = np.flatnonzero(data == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        keys.append(Spans(data).hashes(starts, ends)[ends > starts])
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def _scores(
+    text: str, a: int, b: int, field: Field, times_of: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of good against bad, and lengths, of the lines of a stretch."""
+    # with the line before and the one after, which its first and last line see
+    low = text.rfind("\n", 0, a - 1) + 1 if a else 0
+    high = text.find("\n", b + 1) if b < len(text) else b
+    high = len(text) if high < 0 else high
+    features, length, lines = line_features([text[low:high]], times_of)
+    seen = _seen(_binned(features, field.edges), lines, field.weights.shape[2])
+    own = slice(int(a > 0), len(length) - int(b < len(text)))
+    return _weighed(seen[own], field.weights, field.bias), length[own]
+
+
+def _chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of matrices of logarithms, summed over two labels."""
+    return np.logaddexp(a[..., :1] + b[..., :1, :], a[..., 1:] + b[..., 1:, :])
+
+
+def _blocks(n: int) -> np.ndarray:
+    """Sizes of about as many blocks of lines as a block has lines."""
+    size = max(1, int(np.sqrt(n)))
+    sizes = np.full(-(-n // size), size)
+    sizes[-1] = n - size * (len(sizes) - 1)
+    return sizes
+
+
+def _passes(good: np.ndarray, sizes: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Per block the log sum over all labellings, by the label of its first and of its last line."""
+    first = np.cumsum(sizes) - sizes
+    local = np.stack([np.zeros(len(good)), good], axis=1)
+    out = np.where(np.eye(2, dtype=bool), local[first][:, None, :], -np.inf)
+    for k in range(1, int(sizes.max())):
+        live = np.flatnonzero(sizes > k)
+        out[live] = _chained(out[live], change) + local[first[live] + k][:, None, :]
+    return out
+
+
+def _messages(passes: list[np.ndarray], change, enter, leave) -> tuple[np.ndarray, np.ndarray]:
+    """What the lines before say about the first label of each part, and those after about its last."""
+    enters, leaves = np.empty((len(passes), 2)), np.empty((len(passes), 2))
+    for i, through in enumerate(passes):
+        enters[i] = enter
+        enter = _chained(_chained(enter[None], through), change)[0]
+    for i in range(len(passes) - 1, -1, -1):
+        leaves[i] = leave
+        leave = _chained(change, _chained(passes[i], leave[:, None]))[:, 0]
+    return enters, leaves
+
+
+def _part_marginals(good, change, enter, leave) -> np.ndarray:
+    """Probabilities of good of a stretch's lines: its blocks side by side, messages at their ends."""
+    sizes = _blocks(len(good))
+    enters, leaves = _messages(list(_passes(good, sizes, change)), change, enter, leave)
+    ends = np.cumsum(sizes)
+    known = good.copy()
+    known[ends - sizes] += enters[:, 1] - enters[:, 0]
+    known[ends - 1] += leaves[:, 1] - leaves[:, 0]
+    return marginals(known, sizes, change)[0]
+
+
+def _score_long(text: str, field: Field) -> float:
+    """The mean of a text's marginals by length, from two passes over its stretches."""
+    times_of = _times(text)
+    spans = list(_stretches(text))
+    passes = []
+    for a, b in spans:
+        good, _ = _scores(text, a, b, field, times_of)
+        blocks = _passes(good, _blocks(len(good)), field.change)
+        whole = blocks[0]
+        for block in blocks[1:]:
+            whole = _chained(_chained(whole, field.change), block)
+        passes.append(whole)
+    enters, leaves = _messages(passes, field.change, np.zeros(2), np.zeros(2))
+    total = weight = 0.0
+    for (a, b), enter, leave in zip(spans, enters, leaves, strict=True):
+        good, length = _scores(text, a, b, field, times_of)
+        p = _part_marginals(good, field.change, enter, leave)
+        total += float((p * (length + 0.01)).sum())
+        weight += float((length + 0.01).sum())
+    return total / weight
+
+
 # --- on Spark ---------------------------------------------------------------------------------
 
 

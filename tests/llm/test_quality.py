@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -107,3 +109,34 @@ def test_all_rows_stay_if_nothing_was_learnt(spark, make_docs):
     field = quality.learn(docs, labels)
     assert field is None
     assert sorted(map(str, quality.keep(docs, field).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_long_texts_in_stretches_have_the_same_marginals(monkeypatch, texts, field):
+    rng = np.random.default_rng(5)
+    lines = [line for t in list(texts.values())[:40] for line in (t or "").split("\n")] + ["", "", "é" * 30]
+    odd = [
+        "\n".join(lines[i] for i in rng.integers(0, len(lines), 900)),
+        "\n" * 700,
+        "\n" * 300 + "x" * 9000 + "\n" + "good words here.\n" * 40,
+        "y" * 5000 + "\nz",
+    ]
+    whole = quality.score_texts(odd, field)
+    for stretch in (37, 400, 100_000):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        parts = [quality._score_long(t, field) for t in odd]
+        scores = 1 / (1 + np.exp(-(field.slope * quality._logit(np.array(parts)) + field.offset)))
+        assert scores == pytest.approx(whole, abs=1e-9)
+    monkeypatch.setattr(quality, "LONG_LINES", 30)
+    assert quality.score_texts([None, *odd], field)[1:] == pytest.approx(whole, abs=1e-9)
+
+
+def test_a_million_lines_take_bounded_memory_and_time(field):
+    text = "a short line, 17.\n" * 1_000_000
+    tracemalloc.start()
+    began = time.monotonic()
+    (score,) = quality.score_texts([text], field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score <= 1
+    assert peak < 250 << 20
+    assert time.monotonic() - began < 60
