@@ -38,9 +38,13 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def cuts(bits: int, codes: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment: equal but for one bit, about log2(``codes``) wide."""
-    segments = min(bits, max(1, round(bits / max(1, (max(codes, 2) - 1).bit_length()))))
+def cuts(bits: int, codes: int, least: int = 16) -> list[tuple[int, int]]:
+    """First bit and width of each segment: equal but for one bit, about log2(``codes``) wide.
+
+    Below ``least`` bits, more segments would cost more candidates than they save probes.
+    """
+    width = max(least, (max(codes, 2) - 1).bit_length())
+    segments = min(bits, max(1, round(bits / width)))
     ends = [bits * (i + 1) // segments for i in range(segments)]
     return [(a, b - a) for a, b in zip([0, *ends], ends)]
 
@@ -116,7 +120,7 @@ def search(
     members = coded(vectors).distinct().withColumn("_n", F.row_number().over(by_id))
     members = stored(members.where(F.col("_n") <= k + 1).drop("_n"), "nearest-members")
     codes = stored(members.select("code").distinct(), "nearest-codes")
-    at = cuts(bits, codes.count() if width is None else 1 << width)
+    at = cuts(bits, codes.count()) if width is None else cuts(bits, 1 << width, width)
     segments, widest = len(at), max(cut[1] for cut in at)
     index = stored(
         codes.select("code", _segments("code", at)).selectExpr(

@@ -56,7 +56,7 @@ def test_empty_tables(spark):
 def test_probes_of_a_radius(spark):
     queries = spark.createDataFrame([(0b1011_0110,)], "query long")
     for distance in range(5):
-        found = nearest._probes(queries, distance, nearest.cuts(8, 16)).collect()
+        found = nearest._probes(queries, distance, nearest.cuts(8, 16, 4)).collect()
         for segment, own in ((0, 0b0110), (1, 0b1011)):
             values = [r["value"] for r in found if r["segment"] == segment]
             expected = [v for v in range(16) if (v ^ own).bit_count() == distance]
@@ -65,11 +65,11 @@ def test_probes_of_a_radius(spark):
 
 def test_segments_follow_the_number_of_codes(spark):
     for bits, codes in ((64, 0), (64, 1), (64, 2), (64, 20_000), (64, 10**9), (64, 1 << 63), (12, 9)):
-        at = nearest.cuts(bits, codes)
+        at = nearest.cuts(bits, codes, 1)
         assert [a for a, _ in at] == [sum(w for _, w in at[:i]) for i in range(len(at))]
         assert sum(w for _, w in at) == bits
         assert max(w for _, w in at) - min(w for _, w in at) <= 1
-    assert [w for _, w in nearest.cuts(64, 1 << 16)] == [16] * 4
+    assert nearest.cuts(64, 1 << 16) == nearest.cuts(64, 100) == [(i, 16) for i in (0, 16, 32, 48)]
     assert len(nearest.cuts(64, 10**9)) == 2
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(60)]
