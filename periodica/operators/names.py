@@ -19,7 +19,9 @@ none loses a pair that counts:
    may add, are too few. Only names of groups that meet at the leaves are compared.
 
 What a step finds is staged in the shared folder (``sources/staging.py``), so that the next one
-starts from there, and later steps are left out when no name is open.
+starts from there, and later steps are left out when no name is open. Joins of names are merge joins
+by a hint: Spark tells the size of a staged table by its compressed file, and of a neighbourhood by
+that of its name, so it would broadcast millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def resolve(
     keyed = typed.withColumn("typed_key", normalize_name("typed"))
     if method is not None:
         dimension = staged(dimension.select("norm_key", "name"), "names-known")
-    looked_up = keyed.join(dimension, F.col("typed_key") == F.col("norm_key"), "left")
+    looked_up = keyed.join(dimension.hint("merge"), F.col("typed_key") == F.col("norm_key"), "left")
     found = looked_up.select(
         "typed",
         "typed_key",
@@ -95,7 +97,7 @@ def resolve(
         open_keys = found.filter(F.col("match").isNull()).select("typed_key").distinct()
         best = best_matches(open_keys, dimension, method, cutoff)
         answers = found.join(
-            best.withColumnRenamed("typed_key", "best_key"),
+            best.withColumnRenamed("typed_key", "best_key").hint("merge"),
             F.col("typed_key") == F.col("best_key"),
             "left",
         ).select(
@@ -109,7 +111,7 @@ def resolve(
         .otherwise(F.lit("suggested"))
     )
     answers = answers.withColumn("status", status)
-    return raw.join(answers, F.col(column) == F.col("typed"), "left").select(
+    return raw.join(answers.hint("merge"), F.col(column) == F.col("typed"), "left").select(
         *raw.columns,
         "match",
         "score",
@@ -139,7 +141,7 @@ def best_matches(
         more, length = F.lit(edits + 1), F.length("typed_key")
         longest = 2 * length + more if method == "ratio" else length + more
         settled = F.col("best_score") > F.lit(1.0) - more / longest + F.lit(1e-9)
-        tried = open_keys.join(near, "typed_key", "left")
+        tried = open_keys.join(near.hint("merge"), "typed_key", "left")
         tried = staged(
             tried.withColumn("settled", F.coalesce(settled, F.lit(False))), f"names-{edits}-edits"
         )
@@ -248,7 +250,7 @@ def near_join(keys: DataFrame, dimension: DataFrame, edits: int = NEAR_EDITS) ->
     known = dimension.filter(F.length("norm_key") > 0).select(
         "norm_key", "name", F.explode(F.expr(_neighbourhood("norm_key", edits, False))).alias("text")
     )
-    return typed.join(known, "text").drop("text")
+    return typed.join(known.hint("merge"), "text").drop("text")
 
 
 def _near_pairs(keys: DataFrame, dimension: DataFrame, edits: int, method: str) -> DataFrame:
@@ -356,4 +358,6 @@ def far_join(
         .join(known.select(*_node("k", full)).distinct(), _node("k", half))
         .filter(_reach(full) >= needed)
     )
-    return pairs.join(typed, _node("t", full)).join(known, _node("k", full))
+    return pairs.join(typed.hint("merge"), _node("t", full)).join(
+        known.hint("merge"), _node("k", full)
+    )

@@ -102,7 +102,8 @@ class Star:
         """One row per player, season and team, and a combined row where there are several.
 
         ``players`` (a column ``Player``) keeps only these, from the line items on: their customers
-        and their orders are staged, and a bitmap of the order keys stands before the totals.
+        and their orders are staged, and a bitmap of the order keys stands before the totals. Staged
+        rows are joined by merging, as their files are far smaller than they are.
         """
         orders = self.orders(seasons).selectExpr(
             "o_orderkey as l_orderkey", "o_custkey as c_custkey", "Season", "o_orderpriority as Tm"
@@ -110,12 +111,12 @@ class Star:
         customers, among = self._customers(), None
         if players is not None:
             wanted = players.select(F.col("Player").alias("c_name")).distinct()
+            wanted = wanted.hint("merge")
             customers = staged(customers.join(wanted, "c_name", "left_semi"), "customers-of-names")
-            orders = staged(
-                orders.join(customers.select("c_custkey"), "c_custkey", "left_semi"),
-                "orders-of-names",
-            )
+            wanted = customers.select("c_custkey").hint("merge")
+            orders = staged(orders.join(wanted, "c_custkey", "left_semi"), "orders-of-names")
             among = orders.select("l_orderkey")
+            customers, orders = customers.hint("merge"), orders.hint("merge")
         per_order = self.order_totals(seasons, among)
         sums = [F.expr(f"sum({c}) as {c}") for c in _SUMS]
         per_customer = (
