@@ -20,12 +20,12 @@ ignored by ``score`` and kept by ``keep``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +69,9 @@ _KIND[0x80:0xC0], _KIND[0xC0:] = _REST, _WIDE
 
 FEATURES = 14
 
+#: bytes of texts that ``keep`` takes out of a batch at once
+TAKEN = 1 << 22
+
 #: characters of a stretch of a long text, and lines from which on a text is long
 STRETCH, LONG_LINES = 1 << 17, 1 << 14
 
@@ -506,22 +509,22 @@ def learn(
     return fit(flat[:, :-1], flat[:, -1], lines, label, share, how)
 
 
-def _scorer(shared, keep: float | None):
+def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = score_texts(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
-            if keep is None:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(score)], ["id", "score"]
-                )
-            else:
-                kept = batch.filter(pa.array(score >= keep))
-                # by position: the table may have a column of any name
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+            score = score_texts(batch.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
 
     return run
 
 
+def _scored(texts: pa.Array, field: Field) -> np.ndarray:
+    """Scores of an array of texts, of which a bounded number of bytes at once are Python strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    parts = (texts.slice(a, b - a).to_pylist() for a, b in runs(sizes, TAKEN))
+    return np.concatenate([np.empty(0), *(score_texts(part, field) for part in parts)])
+
+
 def score(
     docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -529,7 +532,7 @@ def score(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return rows.mapInArrow(_scorer(shared, None), f"id {kind}, score double").withColumnRenamed(
+    return rows.mapInArrow(_scorer(shared), f"id {kind}, score double").withColumnRenamed(
         "id", id_col
     )
 
@@ -537,10 +540,17 @@ def score(
 def keep(
     docs: DataFrame, field: Field | None, cut: float = CUT, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``cut``; all if nothing was learnt."""
+    """The rows of ``docs`` with a score of at least ``cut``; all if nothing was learnt.
+
+    Only texts go to Python, once, and only scores come back.
+    """
     if field is None:
         return docs
-    name = f"_scored_{uuid.uuid4().hex}"
-    rows = docs.select("*", F.col(text_col).cast("string").alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return rows.mapInArrow(_scorer(shared, cut), docs.schema)
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_scored(texts, shared.value))
+
+    return docs.where(scored(F.col(text_col).cast("string")) >= cut)
