@@ -487,7 +487,7 @@ def percentile_lookup(spark: SparkSession, sf: str) -> DataFrame:
     profile = staged(names.first_rows(_profile(spark, sf), "Player", first), "profiles")
     known = names.name_dimension(star.table("customer"), "c_name")
     found = _scored(names.resolve(entries, "raw", known, method="edit", cutoff=0.9))
-    return found.join(profile, F.col("match") == F.col("Player"), "left")
+    return found.join(profile.hint("merge"), F.col("match") == F.col("Player"), "left")
 
 
 @_query

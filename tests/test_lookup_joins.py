@@ -35,7 +35,7 @@ def test_neighbourhoods_are_not_broadcast(spark):
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
-@pytest.mark.parametrize("query", ["career_lookup"])
+@pytest.mark.parametrize("query", ["career_lookup", "percentile_lookup"])
 def test_lookups_broadcast_bounded_tables_only(spark, query):
     joined = broadcast_keys(entry_points.queries()[query](spark, str(FOLDER)))
     for keys in joined:
