@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,6 +44,9 @@ BLOCK = 1 << 25
 #: pre-tokens packed together
 RUN = 1 << 17
 
+#: pre-tokens of a block that are counted and numbered at once
+STEP = 1 << 20
+
 #: bytes of words and ids that a task remembers in a bucket; as much again of older ones
 REMEMBERED = 1 << 27
 _ENTRY = 200  # bytes of a remembered word besides
@@ -164,14 +168,22 @@ def _tokeniser(pattern: str, buckets: int, block_chars: int, id_type: pa.DataTyp
             numbers: defaultdict = defaultdict()
             numbers.default_factory = numbers.__len__
             number = numbers.__getitem__
-            places = [np.fromiter(map(number, find(t)), np.uint32) for t in texts]
+            # one text at a time is a Python string
+            places = [np.fromiter(map(number, find(t.as_py() or "")), np.uint32) for t in texts]
             counts = np.fromiter(map(len, places), np.int64, len(places))
             words = np.array(list(numbers), object)
+            numbers.clear()
             flat = np.concatenate(places) if places else np.empty(0, np.uint32)
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            del places
+            parts = [flat[a : a + STEP] for a in range(0, len(flat), STEP)]
+            times = np.zeros(len(words), np.int64)
+            for part in parts:
+                times += np.bincount(part, minlength=len(words))
+            order = np.argsort(-times, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            flat = rank[flat]
+            for part in parts:
+                part[:] = rank[part]
             ends = _ends(counts)
             # many empty texts make no run too long either
             for a, b in runs((counts + 1).tolist(), RUN):
@@ -188,21 +200,24 @@ def _tokeniser(pattern: str, buckets: int, block_chars: int, id_type: pa.DataTyp
     return tokenise
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:
+def _blocks(
+    batches: Iterator[pa.RecordBatch], limit: int
+) -> Iterator[tuple[list, list[pa.StringScalar]]]:
+    """Ids and texts, still in Arrow, with at most ``limit`` characters in sum; a longer text alone."""
     ids: list = []
-    texts: list[str] = []
+    texts: list[pa.StringScalar] = []
     size = 0
     for batch in batches:
-        for doc_id, text in zip(
-            batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
+        chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+        for doc_id, text, n in zip(
+            batch.column(0).to_pylist(), batch.column(1), chars, strict=True
         ):
-            text = text or ""
-            if texts and size + len(text) > limit:
+            if texts and size + n > limit:
                 yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(doc_id)
             texts.append(text)
-            size += len(text) + 16
+            size += n + 16
     if texts:
         yield ids, texts
 

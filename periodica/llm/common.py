@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,16 @@ def runs(sizes: Sequence[int], limit: int = PIECE) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_runs(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, list[str]]]:
+    """The same ranges of an array of texts by their bytes, each with its texts as Python strings.
+
+    Only those of one range are taken out of Arrow at once; NULLs are empty.
+    """
+    sizes = pc.add(pc.fill_null(pc.binary_length(texts), 0), 1).to_pylist()
+    for a, b in runs(sizes, limit):
+        yield a, b, [t or "" for t in texts.slice(a, b - a).to_pylist()]
+
+
 # --- hashes of spans of a byte array ----------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15 | 1

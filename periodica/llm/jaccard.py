@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.llm.common import A_TO_Z, Spans, mixed, runs, stored, words
+from periodica.llm.common import A_TO_Z, Spans, mixed, runs, stored, text_runs, words
 from periodica.llm.graph import components
 
 #: n-grams ranked by frequency, all that is broadcast
@@ -126,21 +126,19 @@ def _profiler(width: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays(filled, schema=schema)
 
     def frequent(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        grams, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        often = times >= _SEEN
+        grams, times = _often(sets)
         return out(
-            int(often.sum()),
-            gram=pa.array(grams[often].view(np.int64)),
-            times=pa.array(times[often].astype(np.int64)),
+            len(grams),
+            gram=pa.array(grams.view(np.int64)),
+            times=pa.array(times.astype(np.int64)),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in runs([len(t or "") + 1 for t in texts]):
-                sets = gram_sets(texts[a:b], width)
+            for a, b, texts in text_runs(batch.column("text")):
+                sets = gram_sets(texts, width)
                 nodes = [_node(s) for s in sets]
                 yield out(
                     b - a,
@@ -162,6 +160,21 @@ def _profiler(width: int, id_type: pa.DataType):
     return run
 
 
+def _often(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that at least ``_SEEN`` of the sets have, in order, and how many have them.
+
+    Empties ``sets``: of all n-grams there is one sorted array, and bits beside it.
+    """
+    grams = np.concatenate(list(sets.values()))
+    sets.clear()
+    grams.sort()
+    n = max(len(grams) - _SEEN + 1, 0)
+    often = grams[:n] == grams[len(grams) - n :]
+    often[1:] &= grams[1:n] != grams[: max(n - 1, 0)]
+    found = grams[:n][often]
+    return found, np.searchsorted(grams, found, "right") - np.searchsorted(grams, found)
+
+
 def _thinned(join: Join, order):
     """Rows (gram, node) of the thinned n-grams without a rank, and one (node, node, their number)
     per set; sets that a task has seen just before are left out."""
@@ -169,9 +182,8 @@ def _thinned(join: Join, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, _ = order.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in runs([len(t or "") + 1 for t in texts]):
-                sets = {_node(s): s for s in gram_sets(texts[a:b], join.width) if len(s)}
+            for _, _, texts in text_runs(batch.column("text")):
+                sets = {_node(s): s for s in gram_sets(texts, join.width) if len(s)}
                 if not sets:
                     continue
                 nodes = np.fromiter(sets, np.int64, len(sets))
@@ -250,15 +262,14 @@ def _prefixes(join: Join, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, rank = order.value
         for batch in batches:
-            texts, nodes = batch.column("text").to_pylist(), batch.column("node").to_numpy()
-            shared = batch.column("shared").to_pylist()
-            for a, b in runs([len(t) + 1 for t in texts]):
+            nodes, shared = batch.column("node").to_numpy(), batch.column("shared")
+            for a, b, texts in text_runs(batch.column("text")):
                 first, sizes = [], []
                 for grams, others in zip(
-                    gram_sets(texts[a:b], join.width), shared[a:b], strict=True
+                    gram_sets(texts, join.width), shared.slice(a, b - a), strict=True
                 ):
                     n = len(grams)
-                    known = np.sort(np.array(others, np.int64).view(np.uint64))
+                    known = np.sort(others.values.to_numpy().view(np.uint64))
                     alone = _alone_maybe(grams, ranked) & ~_among(grams, known)[0]
                     room = n - join.needed(n) + 1 - int(alone.sum())
                     first.append(_rare(grams[~alone], max(room, 0), ranked, rank))
