@@ -11,7 +11,8 @@ come from, so no group can grow. Only the last window of all is not full; it is
 length is a power of two.
 
 Encoding: a blank between two characters that are no white space always starts a new pre-token in
-byte-level BPE, so a text is cut there and every distinct stretch is encoded once, as long as it
+byte-level BPE, so a text is cut there, where it allows also around line breaks and before commas
+and stops that end a Latin word, and every distinct stretch is encoded once, as long as it
 stays in a worker's bounded memory. Texts go through the same way at any length. The vocabulary is
 read by the driver and broadcast; its size is fixed. The offsets are broadcast too, a row of two
 numbers for each partition of the input. A text and its ids are in a task's memory once.
@@ -41,7 +42,7 @@ from periodica.llm.common import stored
 REMEMBERED, REMEMBERED_CHARS = 1 << 20, 1 << 25
 
 #: stretches that are encoded as one text
-TOGETHER = 256
+TOGETHER = 1 << 11
 
 #: characters whose stretches are encoded together
 BLOCK = 1 << 22
@@ -51,6 +52,8 @@ ROW = 1 << 18
 
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_BLANK = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: a comma or stop after anything but a Latin letter, with which it may be one pre-token
+_LOOSE = re.compile(r"[.,] (?<![A-Za-zÀ-ÖØ-öø-ÿ][.,] )")
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -65,11 +68,27 @@ def stretches(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _led(part: str) -> str:
+    """A part with what leads it in its text: a blank, or nothing where a line break marks it."""
+    return part[1:] if part[0] == "\n" else f" {part}"
+
+
+def parts_of(text: str) -> list[str]:
+    """Its stretches, or shorter parts: line breaks begin new ones, and commas and stops that end
+    a word are parts of their own. A line break in front marks a part without a blank."""
+    flat = text.replace("\n", " ")
+    # other white space is not printable, and blanks must have solid characters on both sides
+    if "  " in flat or flat[:1] in " " or flat[-1] == " " or not flat.isprintable() or _LOOSE.search(flat):
+        return stretches(text)
+    lines = text.replace("\n", " \n\n") if "\n" in text else text
+    return lines.replace(", ", " \n, ").replace(". ", " \n. ").split(" ")
+
+
 class Encoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library, each stretch encoded once.
+    """Ids of texts by a tokenizer of the ``tokenizers`` library, each part encoded once.
 
-    A stretch within a text is known as text, with its blank left out, and encoded next to others,
-    as it would be there; where one ends is seen from the bytes of the tokens. The first stretch of
+    A part within a text is known as text, with its blank left out, and encoded next to others,
+    as it would be there; where one ends is seen from the bytes of the tokens. The first part of
     a text, which has no blank, and a last one that ends in white space are encoded alone; these
     are known as bytes.
     """
@@ -98,9 +117,9 @@ class Encoder:
         known, number = len(self.number), self.number.__getitem__
         keys = []
         for text in texts:
-            parts: list = stretches(text)
+            parts: list = parts_of(text)
             if len(parts) > 1 and parts[-1][-1].isspace():
-                parts[-1] = f" {parts[-1]}".encode()
+                parts[-1] = _led(parts[-1]).encode()
             parts[0] = parts[0].encode()
             keys.append(np.fromiter(map(number, parts), np.int64, len(parts)))
         self._learn(list(islice(reversed(self.number), len(self.number) - known))[::-1])
@@ -128,11 +147,12 @@ class Encoder:
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of neighbouring stretches, and how many each has."""
-        (found,) = self._encoded([f" {' '.join(words)}"])
+        led = [_led(w) for w in words]
+        (found,) = self._encoded(["".join(led)])
         ids = np.array(found.ids, np.uint32)
         reached = np.cumsum(self.token_bytes[ids])
-        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
-        last = np.searchsorted(reached, ends + np.arange(1, len(words) + 1))
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in led])
+        last = np.searchsorted(reached, ends)
         return ids, np.diff(last, prepend=-1)
 
     def _encoded(self, texts: list[str]) -> list:
@@ -293,13 +313,14 @@ def _cutter(width: int, whole: bool, id_type: pa.DataType):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("place", "n", "tokens")}
+                row = {n: batch.column(n)[i].as_py() for n in ("place", "n", "head", "skip", "tokens")}
                 listed = batch.column("pieces").slice(i, 1).flatten()
                 ids = listed.field(0)
                 starts, lengths, totals = (
                     listed.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)
                 )
-                stored_as = f"<u{len(row['tokens']) // row['n']}"
+                head, skip = row["head"], row["skip"]
+                stored_as = f"<u{len(row['tokens']) // (row['n'] - skip)}"
                 tokens = np.frombuffer(row["tokens"], stored_as).astype("<u4")
                 old, start, size, window, offset = _cut(row["place"], starts, lengths, width)
                 firsts = np.flatnonzero(np.diff(window, prepend=-1))
@@ -309,7 +330,9 @@ def _cutter(width: int, whole: bool, id_type: pa.DataType):
                 for a, b in zip(firsts.tolist(), ends.tolist(), strict=True):
                     if (int(to[b - 1] - to[a] + size[a]) == width) != whole:
                         continue
-                    data = tokens[to[a] - size[a] : to[b - 1]].tobytes()
+                    begin, end = int(to[a] - size[a]), int(to[b - 1])
+                    gone = skip if begin >= head else 0
+                    data = tokens[begin - gone : end - gone].tobytes()
                     some = ids.take(pa.array(old[a:b])).to_pylist()
                     numbers = (start[a:b], size[a:b], totals[old[a:b]], offset[a:b])
                     out.append((int(window[a]), int(offset[a]), data, (some, *numbers)))
@@ -327,6 +350,24 @@ def _cutter(width: int, whole: bool, id_type: pa.DataType):
     return cut
 
 
+def _outer(placed: DataFrame, width: int) -> DataFrame:
+    """Rows with their first ``head`` tokens and those after the last window that ends in them.
+
+    ``skip`` tokens between the two are left out, whole windows; rows of nothing else go.
+    """
+    width, n = F.lit(width).cast("long"), F.col("n")
+    head = F.pmod(-F.col("place"), width)
+    tail = F.pmod(F.col("place") + n, width)
+    size = (F.octet_length("tokens") / n).cast("long")
+    ends = F.concat(
+        F.substring("tokens", F.lit(1), (head * size).cast("int")),
+        F.substring("tokens", ((n - tail) * size + 1).cast("int"), (tail * size).cast("int")),
+    )
+    skip = F.greatest(n - head - tail, F.lit(0).cast("long"))
+    rows = placed.withColumns({"head": head, "skip": skip}).where("skip < n")
+    return rows.withColumn("tokens", F.when(F.col("skip") > 0, ends).otherwise(F.col("tokens")))
+
+
 def _merged(fragments: DataFrame, width: int, pad_id: int) -> DataFrame:
     """Boundary records put together by window; the last window of all is padded."""
     listed = F.array_sort(F.collect_list(F.struct("at", "tokens", "pieces")))
@@ -374,9 +415,10 @@ def pack(
         "sequence_id long, at long, tokens binary, "
         f"pieces {_piece_sql(kind.simpleString(), 'offset')}"
     )
+    all_tokens = placed.withColumns({"head": F.col("n"), "skip": F.lit(0).cast("long")})
     inner, ends = (
-        placed.mapInArrow(_cutter(width, whole, to_arrow_type(kind)), form)
-        for whole in (True, False)
+        rows.mapInArrow(_cutter(width, whole, to_arrow_type(kind)), form)
+        for rows, whole in ((all_tokens, True), (_outer(placed, width), False))
     )
     columns = ("sequence_id", "n_tokens", "tokens", "pieces")
     complete = inner.withColumn("n_tokens", F.lit(width).cast("long"))
