@@ -52,14 +52,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row its id, the number of its tokens, their ids and a digest of the decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    # stored in between: a task that encodes and decodes has two Python workers instead of one
-    encoded = stored(bpe.encode(docs, ranks, public_tokenizers.PATTERN), "encoded")
-    # ids repeat after the mix, so each row goes through decoding whole
-    rows = encoded.select(F.struct("doc_id", "ids").alias("row"), "ids")
-    return bpe.decode(rows, ranks, "row").select(
-        "row.doc_id",
-        F.size("row.ids").cast("long").alias("n_tokens"),
-        "row.ids",
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    # ids of rows repeat after the mix, so the tokens go through decoding with their row, once
+    return bpe.decode(encoded, ranks, with_ids=True).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

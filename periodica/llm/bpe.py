@@ -413,7 +413,7 @@ def encode(
     )
 
 
-def _decoder(vocabulary) -> Callable:
+def _decoder(vocabulary, with_ids: bool = False) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(vocabulary)
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -430,14 +430,14 @@ def _decoder(vocabulary) -> Callable:
                 ids = flat[at[a] : at[b]]
                 data = _gather(table, offsets, ids)
                 ends = _ends(sizes[ids])[at[a : b + 1] - at[a]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        _binary((at[a : b + 1] - at[a]) * 4, ids.astype("<u4")),
-                        _binary(ends, data),
-                    ],
-                    ["id", "token_bytes", "decoded"],
-                )
+                columns = {
+                    "id": batch.column(0).slice(a, b - a),
+                    "token_bytes": _binary((at[a : b + 1] - at[a]) * 4, ids.astype("<u4")),
+                    "decoded": _binary(ends, data),
+                }
+                if with_ids:
+                    columns["ids"] = lists.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return decode
 
@@ -451,15 +451,18 @@ def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     )
 
 
-def decode(encoded: DataFrame, vocabulary: bytes, id_col: str = "doc_id") -> DataFrame:
+def decode(
+    encoded: DataFrame, vocabulary: bytes, id_col: str = "doc_id", with_ids: bool = False
+) -> DataFrame:
     """Per row its id, ``token_bytes`` (ids as little-endian 32 bits) and the ``decoded`` bytes.
 
-    A NULL array counts as one without ids; ids outside the vocabulary end the job.
+    ``with_ids`` adds the row's ``ids``. A NULL array counts as one without ids; ids outside the
+    vocabulary end the job.
     """
     rows = encoded.select(
         F.col(id_col).alias("id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
     )
     kind = rows.schema["id"].dataType.simpleString()
     ranks = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    out = rows.mapInArrow(_decoder(ranks), f"id {kind}, token_bytes binary, decoded binary")
-    return out.withColumnRenamed("id", id_col)
+    form = f"id {kind}, token_bytes binary, decoded binary" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(_decoder(ranks, with_ids), form).withColumnRenamed("id", id_col)

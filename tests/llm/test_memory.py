@@ -1,4 +1,4 @@
-"""Tasks take texts out of Arrow bit by bit, count n-grams in place and have one Python worker each."""
+"""Tasks take texts out of Arrow bit by bit, count n-grams in place and get tokens once."""
 
 from __future__ import annotations
 
@@ -56,9 +56,11 @@ def test_blocks_leave_texts_in_arrow():
     assert [t.as_py() for t in found[0][1]] == ["é" * 5, None]
 
 
-def test_no_task_decodes_what_it_encodes(spark, documents):
-    """Encoding is stored, so a task of the last stage has one Python worker, not two."""
+def test_tokens_go_to_decoding_once(spark, documents):
+    """Not once in their row and once beside it."""
     found = corpus_pipeline.tokens(spark, documents.where("doc_id < 60"), "unused")
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "FlatMapCoGroupsInArrow" not in plan
-    assert found.count() == documents.where("doc_id < 60").count()
+    assert "struct(" not in plan and plan.count("MapInArrow") == 1
+    rows = found.collect()
+    assert len(rows) == documents.where("doc_id < 60").count()
+    assert all(r["n_tokens"] == len(r["ids"]) for r in rows)
