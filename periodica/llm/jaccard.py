@@ -13,15 +13,22 @@ similarity reaches the threshold; linked documents form groups.
 3. The first n-grams of the others are shuffled. What meets under an n-gram and is near enough in
    size is linked to the first of them, a row per node, never a pair of each with each. The
    connected parts of that candidate graph hold all links.
-4. A part's sets are stored in a trie, those n-grams first that most of its sets have. A set is
+4. A part with more than ``room`` n-grams is candidates of candidates more than copies: the more
+   documents, the more of them share an n-gram by chance. Its sets are cut into ranges of hashes, so
+   many that sets that link have at least one range in common, all of its n-grams; these ranges take
+   the place of the n-grams of step 3, and smaller parts come out.
+5. A part's sets are stored in a trie, those n-grams first that most of its sets have. A set is
    compared with all others by one descent: the overlap with a path is counted once for all sets
    below, and a subtree is left as soon as what remains of the set and of the subtree's sets cannot
-   reach the threshold. Sets that are connected already need no comparison, so a part is done when
-   at most one of its groups has sets that have not descended; near copies take few descents.
-5. A part with more than ``room`` n-grams is not brought into one task. A few of its sets, its
-   pivots, are compared with all others, in as many tasks as its size asks for. All sets outside the
-   largest group that results are then compared with all in the same way, in blocks. So each pair is
-   either compared or connected through others, whatever the size of the part.
+   reach the threshold. A descent goes only to sets that are not connected to its own already, and
+   whose bitmaps (each n-gram turns one bit over) differ in no more bits than sets that link differ
+   in n-grams; where there are none, it is left out. A part is done when at most one of its groups
+   has sets that have not descended; near copies take few descents, and so do sets that are far apart.
+6. A part that still has more than ``room`` n-grams is not brought into one task. A few of its sets,
+   its pivots, are compared with all others, in as many tasks as its size asks for. All sets outside
+   the largest group that results are then compared with all in the same way, in blocks of half a
+   task's room. So each pair is either compared or connected through others, whatever the size of
+   the part.
 
 A document with fewer words than n has its whole sequence as its one n-gram. One without words, or
 a NULL, has none, and links with nothing. Ids may be NULL or repeat: NULL is no component's id
@@ -33,8 +40,11 @@ would be taken for one; for a billion documents the odds of any such pair are 1
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +63,7 @@ _THIN = 3
 _BLOCK_GRAMS = 1 << 22  # n-grams counted together in a task
 _SEEN = 4  # times in a block from which an n-gram is counted over all blocks
 _PIVOTS = 32
-_BLOCK_SETS = 256  # sets of a block that are compared with all of a large part
+_LEAST = 64  # n-grams that a set counts for at least in the room of a task
 
 
 @dataclass(frozen=True)
@@ -335,6 +345,76 @@ def _candidates(percent: int):
     return run
 
 
+@lru_cache(1 << 12)
+def _band(n: int, percent: int) -> tuple[int, int, int]:
+    """The band of sizes that ``n`` is in: its number, its least size and that of the next band.
+
+    A set links with none of two bands below its own.
+    """
+    number, low, high = 0, 1, 100 // percent + 1
+    while n >= high:
+        number, low, high = number + 1, high, 100 * high // percent + 1
+    return number, low, high
+
+
+@lru_cache(1 << 12)
+def _ranges(low: int, high: int, percent: int) -> tuple[int, int]:
+    """Ranges of hashes into which sets are cut, and how many may be empty, so that two sets that
+    link, the smaller one of ``low`` up to ``high`` n-grams, have one more than those in common."""
+    differ = (high - 1) * (100 - percent) // percent
+    spare = 0
+    for _ in range(3 if differ else 0):
+        empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+        spare = min(math.ceil(empty + 4 * math.sqrt(empty)), differ + 1)
+    return differ + 1 + spare, spare
+
+
+def signatures(grams: np.ndarray, join: Join) -> np.ndarray:
+    """Hashes of the ranges of a sorted set; sets that link have one in common."""
+    n = len(grams)
+    number, low, high = _band(n, join.percent)
+    bands = [(number, low, high)]
+    if join.needed(n) < low:  # it may be the larger one of two
+        bands.append(_band(low - 1, join.percent))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(grams))])
+    out = []
+    for number, low, high in bands:
+        k, spare = _ranges(low, high, join.percent)
+        edges = np.arange(1, k, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // k)
+        ends = np.concatenate([[0], np.searchsorted(grams, edges), [n]])
+        place = (number << 32) + np.arange(k)
+        keys = mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ mixed(place.astype(np.uint64)))
+        full = ends[1:] > ends[:-1]
+        out.append(keys[full])
+        if k - int(full.sum()) > spare:  # all ranges in common may be empty ones
+            out.append(mixed(np.array([(number << 32) + k], np.uint64)))
+    return np.concatenate(out)
+
+
+def _signed(join: Join):
+    """Rows (gram, node, n) of the ranges of each set, their hashes in place of n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, parts = (batch.column(c).to_numpy() for c in ("node", "part"))
+            for a, b, texts in text_runs(batch.column("text")):
+                sets = gram_sets(texts, join.width)
+                keys = [signatures(s, join) for s in sets]
+                counts = [len(k) for k in keys]
+                own = mixed(np.repeat(parts[a:b].astype(np.uint64), counts))
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((np.concatenate(keys) ^ own).view(np.int64)),
+                        pa.array(np.repeat(nodes[a:b], counts)),
+                        pa.array(np.repeat(sizes, counts)),
+                    ],
+                    ["gram", "node", "n"],
+                )
+
+    return run
+
+
 # --- the trie ---------------------------------------------------------------------------------
 
 
@@ -351,7 +431,7 @@ class Trie:
         keys = [s.astype(">u4").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=keys.__getitem__)
         depth, parent, owner = [0], [-1], [-1]
-        end = np.zeros(len(sets), np.int64)
+        end = self.end = np.zeros(len(sets), np.int64)
         path = [0]
         before: np.ndarray = np.empty(0, np.int64)
         for i in order:
@@ -402,9 +482,26 @@ class Trie:
         lengths = ends - starts
         return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
-    def similar(self, probe: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Indices of the sets that link with ``probe``, whose numbers are marked in ``mask``."""
+    def _above(self, sets: np.ndarray) -> np.ndarray:
+        """Which nodes lead to any of the sets."""
+        above = np.zeros(len(self.depth), bool)
+        level = np.unique(self.end[sets])
+        while len(level):
+            above[level] = True
+            level = np.unique(self.parent[level])
+            level = level[(level >= 0) & ~above[level]]
+        return above
+
+    def similar(
+        self, probe: np.ndarray, mask: np.ndarray, among: np.ndarray | None = None
+    ) -> np.ndarray:
+        """Indices of the sets (of all, or of those ``among`` them) that link with ``probe``, whose
+        numbers are marked in ``mask``."""
         t, n = self.percent, len(probe)
+        wanted = None
+        if among is not None:
+            above, wanted = self._above(among), np.zeros(len(self.sizes), bool)
+            wanted[among] = True
         level = np.zeros(1, np.int64)
         overlap = np.zeros(1, np.int64)
         found = []
@@ -414,17 +511,19 @@ class Trie:
                 count = self.first_end[level + 1] - self.first_end[level]
                 sets = self.ends[here]
                 shared = np.repeat(overlap, count)
-                found.append(sets[100 * shared >= t * (n + self.sizes[sets] - shared)])
+                links = 100 * shared >= t * (n + self.sizes[sets] - shared)
+                found.append(sets[links if wanted is None else links & wanted[sets]])
             count = self.first_kid[level + 1] - self.first_kid[level]
             kids = self.kids[self._spread(self.first_kid[level], self.first_kid[level + 1])]
+            overlap = np.repeat(overlap, count)
+            if wanted is not None:
+                kids, overlap = kids[above[kids]], overlap[above[kids]]
             if not len(kids):
                 break
             # the kids' own n-grams, counted at once; every node but the root has some
             lengths = self.offset[kids + 1] - self.offset[kids]
             hits = mask[self.grams[self._spread(self.offset[kids], self.offset[kids + 1])]]
-            overlap = np.repeat(overlap, count) + np.add.reduceat(
-                hits.astype(np.int64), np.cumsum(lengths) - lengths
-            )
+            overlap += np.add.reduceat(hits.astype(np.int64), np.cumsum(lengths) - lengths)
             left = n - np.searchsorted(probe, self.last[kids], side="right")
             size = np.clip(self.depth[kids] + left, self.least[kids], self.most[kids])
             reach = overlap + np.minimum(left, size - self.depth[kids])
@@ -443,27 +542,67 @@ def _numbered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     return [np.sort(s) for s in np.split(number[place], ends)], len(grams)
 
 
+class _Linker:
+    """Finds which of some sets a set links with."""
+
+    def __init__(self, sets: list[np.ndarray], universe: int, percent: int):
+        self.percent = percent
+        self.trie = Trie(sets, percent)
+        self.sizes = self.trie.sizes
+        mean = int(self.sizes.mean()) if len(sets) else 0
+        self.bits = 1 << min(max(2 * mean - 1, 1).bit_length(), 12)
+        self.bits = max(self.bits, 64)
+        self.maps = np.empty((len(sets), self.bits // 64), np.uint64)
+        for i, numbers in enumerate(sets):
+            self.maps[i] = self._bitmap(numbers)
+        self.mask = np.zeros(universe, bool)
+
+    def _bitmap(self, numbers: np.ndarray) -> np.ndarray:
+        odd = np.bincount(numbers % self.bits, minlength=self.bits) & 1
+        return np.packbits(odd.astype(bool)).view(np.uint64)
+
+    def linked(self, probe: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Those ``among`` the sets (their indices) that link with ``probe``."""
+        n = len(probe) + self.sizes[among]
+        least = -(-self.percent * n // (100 + self.percent))  # overlap of two that link
+        sized = least <= np.minimum(len(probe), self.sizes[among])
+        among, n, least = among[sized], n[sized], least[sized]
+        apart = np.bitwise_count(self.maps[among] ^ self._bitmap(probe)).sum(axis=1, dtype=np.int64)
+        among = among[apart <= n - 2 * least]
+        if not len(among):
+            return among
+        self.mask[probe] = True
+        found = self.trie.similar(probe, self.mask, among)
+        self.mask[probe] = False
+        return found
+
+
 def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """A label per set, equal for sets that links connect."""
     numbered, universe = _numbered(sets)
-    trie = Trie(numbered, percent)
+    linker = _Linker(numbered, universe, percent)
     label = np.arange(len(sets))
-    waiting = np.ones(len(sets), bool)
-    mask = np.zeros(universe, bool)
-    while True:
-        open_labels = np.unique(label[waiting])
-        if len(open_labels) <= 1:
-            return label
+    waiting = {i: [i] for i in range(len(sets))}
+    size = [1] * len(sets)
+    order = [(1, i) for i in range(len(sets))]
+    while len(waiting) > 1:
         # the smallest group descends next; what it doesn't meet, it doesn't link with
-        size = np.bincount(label, minlength=len(sets))
-        mine = open_labels[np.argmin(size[open_labels])]
-        probe = int(np.flatnonzero(waiting & (label == mine))[0])
-        mask[numbered[probe]] = True
-        met = np.unique(label[trie.similar(numbered[probe], mask)])
-        mask[numbered[probe]] = False
-        waiting[probe] = False
+        held, mine = heapq.heappop(order)
+        if mine not in waiting or size[mine] != held:
+            continue
+        probe = waiting[mine].pop()
+        found = linker.linked(numbered[probe], np.flatnonzero(label != mine))
+        met = np.unique(label[found])
         if len(met):
             label[np.isin(label, met)] = mine
+        for other in met.tolist():
+            size[mine] += size[other]
+            waiting[mine] += waiting.pop(other, [])
+        if waiting[mine]:
+            heapq.heappush(order, (size[mine], mine))
+        else:
+            del waiting[mine]
+    return label
 
 
 def _links(nodes: np.ndarray, label: np.ndarray) -> pa.Table:
@@ -474,12 +613,16 @@ def _links(nodes: np.ndarray, label: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(leader[other]), "b": pa.array(nodes[other])})
 
 
+def _own_rows(table: pa.Table) -> pa.Table:
+    """The rows of a table, each node once."""
+    _, once = np.unique(table.column("node").to_numpy(), return_index=True)
+    return table.take(pa.array(once))
+
+
 def _own_sets(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Nodes and their sets, each once."""
-    nodes = table.column("node").to_numpy()
-    _, once = np.unique(nodes, return_index=True)
-    texts = table.column("text").take(pa.array(once)).to_pylist()
-    return nodes[once], gram_sets(texts, width)
+    table = _own_rows(table)
+    return table.column("node").to_numpy(), gram_sets(table.column("text").to_pylist(), width)
 
 
 def _verifier(join: Join):
@@ -491,24 +634,28 @@ def _verifier(join: Join):
 
 
 def _comparer(join: Join):
-    """Links between a block of a large part's sets and some of its sets."""
+    """Links between a block of a large part's sets and some of its sets, one for each group of
+    linked sets that a set of the block meets."""
 
     def compare(members: pa.Table, block: pa.Table) -> pa.Table:
-        nodes, sets = _own_sets(members, join.width)
         block = block.rename_columns([c.removeprefix("b_") for c in block.column_names])
+        members, block = _own_rows(members), _own_rows(block)
+        nodes, sets = _own_sets(members, join.width)
         block_nodes, block_sets = _own_sets(block, join.width)
         if not len(nodes) or not len(block_nodes):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         numbered, universe = _numbered(block_sets + sets)
-        trie = Trie(numbered[: len(block_sets)], join.percent)
-        mask = np.zeros(universe, bool)
+        linker = _Linker(numbered[len(block_sets) :], universe, join.percent)
+        both = [block.column("label").to_numpy(), members.column("label").to_numpy()]
+        label, n = np.concatenate(both), len(block_nodes)
         a, b = [], []
-        for node, probe in zip(nodes, numbered[len(block_sets) :], strict=True):
-            mask[probe] = True
-            for k in trie.similar(probe, mask):
-                a.append(int(node))
-                b.append(int(block_nodes[k]))
-            mask[probe] = False
+        for i, probe in enumerate(numbered[:n]):
+            found = linker.linked(probe, np.flatnonzero(label[n:] != label[i]))
+            met, first = np.unique(label[n:][found], return_index=True)
+            a += [int(block_nodes[i])] * len(met)
+            b += nodes[found[first]].tolist()
+            if len(met):
+                label[np.isin(label, met)] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
@@ -539,30 +686,42 @@ def _parts(prefixes: DataFrame, join: Join, name: str) -> DataFrame:
     return components(pairs, name).select("node", F.col("component").alias("part"))
 
 
+def _weight() -> Column:
+    """N-grams that a set counts for in the room of a task."""
+    return F.greatest(F.col("n"), F.lit(_LEAST))
+
+
 def _verified(found: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Links of the parts that one task takes, and the others with the number of their n-grams."""
-    sizes = found.groupBy("part").agg(F.sum("n").alias("grams"))
+    sizes = found.groupBy("part").agg(F.sum(_weight()).alias("grams"))
     large = stored(sizes.where(F.col("grams") > join.room), "jaccard-sizes")
     small = found.join(large, "part", "left_anti")
     return small.groupBy("part").applyInArrow(_verifier(join), _EDGES), large
 
 
+def _finer(parts: DataFrame, join: Join) -> DataFrame:
+    """The sets of too large parts in smaller ones, by ranges they share; without those that share none."""
+    rows = parts.select("part", "node", "text").mapInArrow(_signed(join), "gram long, node long, n long")
+    return parts.drop("part").join(_parts(rows, join, "jaccard-finer-parts"), "node")
+
+
 def _large(parts: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     """Links of the parts that are too large for one task, from rows (part, node, n, text)."""
+    half = max(join.room // 2, 1)  # a task gets a share of a part and a block of it
     parts = parts.join(
-        sizes.select("part", F.ceil(F.col("grams") / join.room).cast("int").alias("shares")), "part"
+        sizes.select("part", F.ceil(F.col("grams") / half).cast("int").alias("shares")), "part"
     )
     parts = parts.withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
     parts = stored(parts, "jaccard-large")
 
-    def against(blocks: DataFrame) -> DataFrame:
-        """Every set of a part with those of every block (part, block, node, text)."""
+    def against(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Every set of a part with those of every block (part, block, node, label, text)."""
         keys = ["part", "block", "share"]
         listed = blocks.select("part", "block").distinct()
-        members = parts.join(listed, "part").select(*keys, "node", "text")
+        members = rows.join(listed, "part").select(*keys, "node", "label", "text")
         each = F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)
         spread = blocks.join(parts.select("part", "shares").distinct(), "part").select(
-            "part", "block", F.explode(each).alias("share"), "node", "text"
+            "part", "block", F.explode(each).alias("share"), "node", "label", "text"
         )
         # the two sides come from one table; new names for one of them tell them apart
         spread = spread.toDF(*[f"b_{c}" for c in spread.columns])
@@ -573,26 +732,27 @@ def _large(parts: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
         )
 
     by_hash = Window.partitionBy("part").orderBy(F.xxhash64("node", F.lit(5)), "node")
-    pivots = parts.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= _PIVOTS)
-    first = stored(
-        against(pivots.select("part", F.lit(0).cast("long").alias("block"), "node", "text")),
-        "jaccard-pivots",
-    )
+    own = parts.withColumn("label", F.col("node"))
+    pivots = own.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= _PIVOTS)
+    pivots = pivots.select("part", F.lit(0).cast("long").alias("block"), "node", "label", "text")
+    first = stored(against(own, pivots), "jaccard-pivots")
     found = components(first, "jaccard-pivot-groups")
-    labelled = parts.select("part", "node", "text").join(found, "node", "left")
-    size = labelled.where("component is not null").groupBy("part", "component").count()
-    most = size.groupBy("part").agg(
-        F.max(F.struct("count", "component")).alias("_most")
-    ).select("part", F.col("_most.component").alias("main"))
-    outside = labelled.join(most, "part", "left").where(
-        ~F.col("component").eqNullSafe(F.col("main")) | F.col("component").isNull()
-    )
+    labelled = parts.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = stored(labelled.drop("component"), "jaccard-labelled")
+    size = labelled.groupBy("part", "label").count()
+    most = size.groupBy("part").agg(F.max(F.struct("count", "label")).alias("_most"))
+    most = most.select("part", F.col("_most.label").alias("main"))
+    outside = labelled.join(most, "part").where(F.col("label") != F.col("main"))
     # blocks by hash, about as large as they should be
-    number = outside.groupBy("part").agg(F.ceil(F.count("*") / _BLOCK_SETS).cast("int").alias("_b"))
+    number = outside.groupBy("part").agg(F.ceil(F.sum(_weight()) / half).cast("int").alias("_b"))
     blocks = outside.join(number, "part").select(
-        "part", F.pmod(F.xxhash64("node", F.lit(9)), "_b").cast("long").alias("block"), "node", "text"
+        "part",
+        F.pmod(F.xxhash64("node", F.lit(9)), "_b").cast("long").alias("block"),
+        "node",
+        "label",
+        "text",
     )
-    return first.unionByName(against(stored(blocks, "jaccard-outside")))
+    return first.unionByName(against(labelled, stored(blocks, "jaccard-outside")))
 
 
 def groups(
@@ -666,9 +826,13 @@ def _solved(
     found = stored(found, "jaccard-in-parts")
     links, large = _verified(found, join)
     if not large.isEmpty():
-        links = links.unionByName(
-            _large(found.join(large.select("part"), "part", "left_semi"), large, join)
-        )
+        found = found.join(large.select("part"), "part", "left_semi")
+        found = stored(_finer(found, join), "jaccard-in-finer-parts")
+        more, large = _verified(found, join)
+        links = links.unionByName(more)
+        if not large.isEmpty():
+            found = found.join(large.select("part"), "part", "left_semi")
+            links = links.unionByName(_large(found, large, join))
     linked = components(stored(links, "jaccard-links"), "jaccard-groups")
     return profile, linked
 
