@@ -62,6 +62,8 @@ _THIN = 3
 
 _BLOCK_GRAMS = 1 << 22  # n-grams counted together in a task
 _SEEN = 4  # times in a block from which an n-gram is counted over all blocks
+_BUCKET_GRAMS = 1 << 18  # thinned n-grams brought together in a task
+_SENT = 1 << 20  # thinned n-grams that a task holds before it sends them
 _PIVOTS = 32
 _LEAST = 64  # n-grams that a set counts for at least in the room of a task
 
@@ -99,7 +101,7 @@ def gram_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         grams = mixed(grams)
         for i, j in zip(edge, edge[1:], strict=False):
             if j - i >= width:
-                out.append(np.unique(grams[i : j - width + 1]))
+                out.append(_distinct(np.sort(grams[i : j - width + 1])))
             elif j > i:
                 whole = np.uint64(j - i) + (hashed[i:j] * _FACTORS[: j - i]).sum(dtype=np.uint64)
                 out.append(mixed(np.array([whole], np.uint64)))
@@ -108,6 +110,13 @@ def gram_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Of numbers in order each once."""
+    fresh = np.ones(len(numbers), bool)
+    fresh[1:] = numbers[1:] != numbers[:-1]
+    return numbers[fresh]
+
+
 def _node(grams: np.ndarray) -> int:
     digest = hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
@@ -185,81 +194,102 @@ def _often(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(grams, found, "right") - np.searchsorted(grams, found)
 
 
-def _thinned(join: Join, order):
-    """Rows (gram, node) of the thinned n-grams without a rank, and one (node, node, their number)
-    per set; sets that a task has seen just before are left out."""
+_BUCKETS = "bucket int, grams binary, nodes binary, counts binary"
+
+
+def _thinned(join: Join, order, buckets: int):
+    """Blocks of the thinned n-grams without a rank and of the nodes that have them, by ranges of
+    n-grams, and blocks of nodes and how many they have; a node comes once in a block."""
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    schema = pa.schema(list(zip(("bucket", "grams", "nodes", "counts"), types, strict=True)))
+
+    def sent(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes = np.fromiter(held, np.int64, len(held))
+        counts = np.fromiter(map(len, held.values()), np.int64, len(held))
+        grams = np.concatenate(list(held.values()))
+        held.clear()
+        by_gram = np.argsort(grams)
+        owners = np.repeat(nodes, counts)[by_gram]
+        grams = grams[by_gram]
+        cuts = np.flatnonzero(np.diff(_bucket(grams, buckets), prepend=-1, append=-1))
+        spans = [(int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        # the counts go along with any bucket
+        rows = [(int(nodes[0]) % buckets, None, nodes.tobytes(), counts.tobytes())]
+        for a, b in spans:
+            bucket = int(_bucket(grams[a : a + 1], buckets)[0])
+            rows.append((bucket, grams[a:b].tobytes(), owners[a:b].tobytes(), None))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, _ = order.value
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
             for _, _, texts in text_runs(batch.column("text")):
-                sets = {_node(s): s for s in gram_sets(texts, join.width) if len(s)}
-                if not sets:
-                    continue
-                nodes = np.fromiter(sets, np.int64, len(sets))
-                thin = [s[_alone_maybe(s, ranked)] for s in sets.values()]
-                counts = np.fromiter(map(len, thin), np.int64, len(thin))
-                grams = np.concatenate(thin).view(np.int64)
-                none = np.zeros(len(grams), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([grams, nodes])),
-                        pa.array(np.concatenate([np.repeat(nodes, counts), nodes])),
-                        pa.array(
-                            np.concatenate([none, counts]),
-                            mask=np.concatenate([none == 0, counts < 0]),
-                        ),
-                    ],
-                    ["gram", "node", "thin"],
-                )
+                for grams in gram_sets(texts, join.width):
+                    if len(grams) and (node := _node(grams)) not in held:
+                        held[node] = grams[_alone_maybe(grams, ranked)]
+                        size += len(held[node])
+                if size > _SENT:
+                    yield sent(held)
+                    size = 0
+        if held:
+            yield sent(held)
 
     return run
 
 
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of n-grams that each is in, of so many."""
+    high = grams >> np.uint64(32)
+    return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _alone_maybe(grams: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     """Which n-grams are thinned ones without a rank."""
-    return (grams % np.uint64(_THIN) == 0) & ~_among(grams, ranked)[0]
+    thin = grams % np.uint64(_THIN) == 0
+    thin[thin] = ~_among(grams[thin], ranked)[0]
+    return thin
+
+
+def _shared(blocks: pa.Table) -> pa.Table:
+    """Of a bucket's blocks rows (gram, node) of the n-grams that several nodes have, and (node, thin)
+    of the counts."""
+
+    def joined(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+
+    counted = blocks.filter(blocks.column("counts").is_valid())
+    found = blocks.filter(blocks.column("grams").is_valid())
+    grams, nodes = joined(found, "grams", np.uint64), joined(found, "nodes", np.int64)
+    by_gram = np.argsort(grams, kind="stable")  # blocks are in order already
+    grams, nodes = _several(grams[by_gram], nodes[by_gram])
+    # copies of a document come once from each block
+    by_both = np.lexsort((nodes, grams))
+    grams, nodes = grams[by_both], nodes[by_both]
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
+    grams, nodes = _several(grams[fresh], nodes[fresh])
+    count_nodes, counts = joined(counted, "nodes", np.int64), joined(counted, "counts", np.int64)
+    return pa.table(
+        {
+            "gram": pa.concat_arrays(
+                [pa.array(grams.view(np.int64)), pa.nulls(len(counts), pa.int64())]
+            ),
+            "node": pa.array(np.concatenate([nodes, count_nodes])),
+            "thin": pa.concat_arrays([pa.nulls(len(grams), pa.int64()), pa.array(counts)]),
+        }
+    )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of gram and node those whose gram several nodes have; and all counts."""
-    held, told = None, False
-    for batch in batches:
-        counted = batch.column("thin").is_valid().to_numpy(zero_copy_only=False)
-        if counted.any():
-            counts = batch.filter(pa.array(counted))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(counts.num_rows, pa.int64()), counts.column("node"), counts.column("thin")],
-                ["gram", "node", "thin"],
-            )
-        grams = batch.column("gram").to_numpy()[~counted]
-        nodes = batch.column("node").to_numpy()[~counted]
-        if held is not None:
-            grams, nodes = np.append(held[0], grams), np.append(held[1], nodes)
-        if not len(grams):
-            continue
-        # copies of a document come once from each task
-        fresh = np.ones(len(grams), bool)
-        fresh[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
-        grams, nodes = grams[fresh], nodes[fresh]
-        same = grams[1:] == grams[:-1]
-        keep = np.zeros(len(grams), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        last_told = bool(same[-1]) if len(same) else told
-        if held is not None and told:
-            keep[0] = False  # given out with the batch before
-        if not last_told:
-            keep[-1] = False  # the next batch tells
-        held, told = (grams[-1], nodes[-1]), last_told
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(grams[keep]),
-                pa.array(nodes[keep]),
-                pa.nulls(int(keep.sum()), pa.int64()),
-            ],
-            ["gram", "node", "thin"],
-        )
+def _several(grams: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of n-grams, in order, that are there more than once."""
+    same = grams[1:] == grams[:-1]
+    keep = np.zeros(len(grams), bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    return grams[keep], nodes[keep]
 
 
 def _prefixes(join: Join, order):
@@ -791,12 +821,13 @@ def _solved(
         "jaccard-profile",
     )
     order = spark.sparkContext.broadcast(_ranking(profile))
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    buckets = total // _THIN // _BUCKET_GRAMS + 1
     thin = (
         rows.select("text")
-        .mapInArrow(_thinned(join, order), "gram long, node long, thin long")
-        .repartition("gram")
-        .sortWithinPartitions("gram", "node")
-        .mapInArrow(_shared, "gram long, node long, thin long")
+        .mapInArrow(_thinned(join, order, buckets), _BUCKETS)
+        .groupBy("bucket")
+        .applyInArrow(_shared, "gram long, node long, thin long")
     )
     # a node's shared n-grams are no more than its set
     per_node = thin.groupBy("node").agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from test_jaccard import answer, plain
 
@@ -78,3 +80,36 @@ def test_a_large_family(make_docs):
     base = [f"w{rng.randint(0, 999)}" for _ in range(90)]
     rows = [(i, " ".join(edited(rng, base, 0.12 if i % 2 else 0.02))) for i in range(70)]
     assert answer(make_docs(rows), Join(4, 85, room=2000)) == plain(rows, 4, 85)
+
+
+def test_thinned_grams_move_in_blocks():
+    """A row per n-gram was sorted and moved; now a row per task and range of n-grams is."""
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randint(0, 400)}" for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [texts[0], "", None, "v1 v2"]
+
+    class Order:
+        value = (np.unique(np.concatenate(jaccard.gram_sets(texts[:3], 2))), None)
+
+    buckets = 5
+    halves = [pa.record_batch({"text": pa.array(t, pa.string())}) for t in (texts[:40], texts[20:])]
+    blocks = [b for h in halves for b in jaccard._thinned(Join(2, 80), Order, buckets)(iter([h]))]
+    assert sum(b.num_rows for b in blocks) <= 2 * (buckets + 1)
+    table = pa.Table.from_batches(blocks)
+    found, counts = set(), {}
+    for k in range(buckets):
+        rows = jaccard._shared(table.filter(pc.equal(table.column("bucket"), k)))
+        for gram, node, thin in zip(*rows.to_pydict().values()):
+            if gram is None:
+                counts[node] = thin
+            else:
+                assert (gram, node) not in found
+                found.add((gram, node))
+    sets = {jaccard._node(s): s[jaccard._alone_maybe(s, Order.value[0])] for s in jaccard.gram_sets(texts, 2) if len(s)}
+    assert counts == {node: len(s) for node, s in sets.items()}
+    having = {}
+    for node, s in sets.items():
+        for gram in s.view(np.int64).tolist():
+            having.setdefault(gram, set()).add(node)
+    assert found == {(g, n) for g, nodes in having.items() if len(nodes) > 1 for n in nodes}
+    assert found
