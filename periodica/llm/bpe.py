@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import runs, shared_dir
+from periodica.llm.common import give_back, runs, shared_dir
 
 #: characters of a block; a longer text is a block of its own
 BLOCK = 1 << 25
@@ -194,8 +194,11 @@ def _tokeniser(pattern: str, buckets: int, block_chars: int, id_type: pa.DataTyp
                     counts=[counts[a:b].tolist()],
                     places=[_pack(flat[ends[a] : ends[b]])],
                 )
+            del flat, parts, times, rank
             words = [w.encode() for w in words[order]]
             yield _word_rows(id_type, block, words, buckets)
+            del words, order
+            give_back()
 
     return tokenise
 
@@ -307,6 +310,8 @@ def _encoder(vocabulary, remembered: int = REMEMBERED) -> Callable:
                     out, held = defaultdict(list), 0
         if out:
             yield pa.RecordBatch.from_pydict(out, _IDS_SCHEMA)
+        known, older, out, found = {}, {}, {}, []
+        give_back()
 
     return encode
 
@@ -438,6 +443,7 @@ def _decoder(vocabulary, with_ids: bool = False) -> Callable:
                 if with_ids:
                     columns["ids"] = lists.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return decode
 

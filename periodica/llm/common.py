@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -121,6 +123,14 @@ def text_runs(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, l
         yield a, b, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task keeps it otherwise,
+    and an executor may have more workers than tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- hashes of spans of a byte array ----------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15 | 1

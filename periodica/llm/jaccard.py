@@ -51,8 +51,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.llm.common import A_TO_Z, Spans, mixed, runs, stored, text_runs, words
+from periodica.llm.common import A_TO_Z, Spans, give_back, mixed, runs, stored, text_runs, words
 from periodica.llm.graph import components
+from periodica.operators.keys import possibly_in
 
 #: n-grams ranked by frequency, all that is broadcast
 FREQUENT = 1 << 18
@@ -62,8 +63,10 @@ _THIN = 3
 
 _BLOCK_GRAMS = 1 << 22  # n-grams counted together in a task
 _SEEN = 4  # times in a block from which an n-gram is counted over all blocks
-_BUCKET_GRAMS = 1 << 18  # thinned n-grams brought together in a task
-_SENT = 1 << 20  # thinned n-grams that a task holds before it sends them
+_BUCKET_GRAMS = 1 << 17  # thinned n-grams brought together in a task, and
+_BUCKETS_MOST = 1 << 12, 1 << 20  # in more buckets than these so many
+_SENT = 1 << 17  # thinned n-grams that a task holds before it sends them
+_CHOSEN_BITS = 1 << 24  # of the map that tells which texts may be wanted
 _PIVOTS = 32
 _LEAST = 64  # n-grams that a set counts for at least in the room of a task
 
@@ -175,6 +178,7 @@ def _profiler(width: int, id_type: pa.DataType):
                     block, size = {}, 0
         if block:
             yield frequent(block)
+        give_back()
 
     return run
 
@@ -236,6 +240,7 @@ def _thinned(join: Join, order, buckets: int):
                     size = 0
         if held:
             yield sent(held)
+        give_back()
 
     return run
 
@@ -246,6 +251,12 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def _bucket_count(thinned: int) -> int:
+    """Ranges for so many n-grams: what a task gets is bounded, and blocks do not get too small."""
+    many, grams = _BUCKETS_MOST
+    return 1 + max(min(thinned // _BUCKET_GRAMS, many), thinned // grams)
+
+
 def _alone_maybe(grams: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     """Which n-grams are thinned ones without a rank."""
     thin = grams % np.uint64(_THIN) == 0
@@ -323,6 +334,7 @@ def _prefixes(join: Join, order):
                     ],
                     ["gram", "node", "n"],
                 )
+        give_back()
 
     return run
 
@@ -441,6 +453,7 @@ def _signed(join: Join):
                     ],
                     ["gram", "node", "n"],
                 )
+        give_back()
 
     return run
 
@@ -822,7 +835,7 @@ def _solved(
     )
     order = spark.sparkContext.broadcast(_ranking(profile))
     total = profile.agg(F.sum("n")).first()[0] or 0
-    buckets = total // _THIN // _BUCKET_GRAMS + 1
+    buckets = _bucket_count(total // _THIN)
     thin = (
         rows.select("text")
         .mapInArrow(_thinned(join, order, buckets), _BUCKETS)
@@ -847,8 +860,9 @@ def _solved(
         "jaccard-chosen",
     )
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text"))
-    # the texts move here, those of repeated rows once
-    found = rows.join(chosen, same).groupBy("node", "n").agg(
+    # the texts of these move here, those of repeated rows once, hardly any others
+    wanted = possibly_in(rows, "text_hash", chosen.select("_text"), _CHOSEN_BITS)
+    found = wanted.join(chosen, same).groupBy("node", "n").agg(
         F.first("text").alias("text"), F.first("shared").alias("shared")
     )
     found = stored(found, "jaccard-texts")

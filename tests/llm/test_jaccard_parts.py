@@ -113,3 +113,12 @@ def test_thinned_grams_move_in_blocks():
             having.setdefault(gram, set()).add(node)
     assert found == {(g, n) for g, nodes in having.items() if len(nodes) > 1 for n in nodes}
     assert found
+
+
+def test_what_a_task_brings_together_is_bounded():
+    assert jaccard._bucket_count(0) == 1
+    assert (1 << 24) // jaccard._bucket_count(1 << 24) <= 1 << 17
+    for thinned in (1 << 30, 1 << 33, 1 << 40):
+        buckets = jaccard._bucket_count(thinned)
+        assert buckets > 1 << 12 or thinned < 1 << 33
+        assert thinned // buckets <= 1 << 20
